@@ -11,6 +11,14 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body refers to it.
+
+    Inside one row a common sub-expression of lambdas is otherwise evaluated per use.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- time ----------------------------------------------------------------------
 def bucket_key(ts: Column | str, period: str) -> Column:
     """Month ``yyyy-MM`` or the Monday date of the week, as text."""

@@ -18,6 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opinara import config
+from opinara.functions.scalars import let
 from opinara.functions.text import clean_alias, is_usable_alias
 
 SUBJECT_ALIASES = "array<struct<subject:string,aliases:array<struct<alias:string,ambiguous:boolean>>>>"
@@ -101,10 +102,13 @@ def _accepted_spans(lowered: Column, aliases: Column, strict: bool, cues: tuple[
     return F.aggregate(aliases, F.expr(_SPANS), add_alias)
 
 
-def mention_counts(text: Column | str, subjects: Column, strict: bool = True,
+def mention_counts(lowered: Column | str, subjects: Column, strict: bool = True,
                    cues: tuple[str, ...] = config.CONTEXT_CUES) -> Column:
-    """``array<struct<subject, n, first_start>>`` of the subjects mentioned in ``text``."""
-    lowered = F.lower(F.col(text) if isinstance(text, str) else text)
+    """``array<struct<subject, n, first_start>>`` of the subjects mentioned in a lower-cased text.
+
+    Pass a column, not an expression: the lambdas below refer to it once per alias and hit.
+    """
+    lowered = F.col(lowered) if isinstance(lowered, str) else lowered
     present = F.filter(subjects, lambda s: F.exists(s["aliases"], lambda a: F.contains(lowered, a["alias"])))
     spans = F.transform(present, lambda s: F.struct(
         s["subject"].alias("subject"), _accepted_spans(lowered, s["aliases"], strict, cues).alias("spans")))
@@ -141,11 +145,12 @@ class AliasSet:
         return r"(?U)\b(?:" + "|".join(re.escape(w) for w in words) + r")\b" if words else r"(?!)"
 
     def with_candidates(self, texts: DataFrame, text: str, doc_id: list[str]) -> DataFrame:
-        """``texts`` that may mention a subject, with ``_subjects`` to try on each."""
+        """``texts`` that may mention a subject: adds ``_lc`` (lower case) and ``_subjects`` to try."""
+        lowered = texts.withColumn("_lc", F.lower(text))
         if self.inline:
-            return (texts.filter(F.lower(text).rlike(self.pattern()))
+            return (lowered.filter(F.col("_lc").rlike(self.pattern()))
                     .withColumn("_subjects", self.literal()))
-        return texts.join(self._candidates_by_token(texts, text, doc_id), doc_id)
+        return lowered.join(self._candidates_by_token(texts, text, doc_id), doc_id)
 
     def _candidates_by_token(self, texts: DataFrame, text: str, doc_id: list[str]) -> DataFrame:
         """Candidate subjects per text through an equi-join of tokens and alias anchors.
@@ -169,7 +174,8 @@ def count_subjects(texts: DataFrame, aliases: AliasSet, text: str = "text", doc_
     """``(doc_id.., subject, n, first_start)``: mentions per text and subject."""
     doc_id = [doc_id] if isinstance(doc_id, str) else list(doc_id)
     return (aliases.with_candidates(texts.select(*doc_id, text), text, doc_id)
-            .select(*doc_id, F.inline(mention_counts(text, F.col("_subjects"), strict, cues))))
+            .select(*doc_id, F.inline_outer(mention_counts("_lc", F.col("_subjects"), strict, cues)))
+            .filter("subject is not null"))
 
 
 def find_subjects(texts: DataFrame, aliases: AliasSet, text: str = "text", doc_id: list[str] | str = "doc_id",
@@ -179,15 +185,16 @@ def find_subjects(texts: DataFrame, aliases: AliasSet, text: str = "text", doc_i
 
 def attribute(counts: Column) -> Column:
     """Subjects a passage is about, out of its mention counts: the most mentioned one, and every
-    other with at least two mentions; none when the passage lists too many.
+    other with at least two mentions; null when the passage lists too many.
 
     Ties for the most mentioned go to the earliest hit, then to the subject's name.
     """
-    best = F.array_min(F.transform(counts, lambda c: F.struct(
-        (-c["n"]).alias("n"), c["first_start"].alias("at"), c["subject"].alias("subject"))))["subject"]
-    kept = F.filter(counts, lambda c: (c["subject"] == best) | (c["n"] >= config.SUBSTANTIVE_MENTIONS))
-    listed = F.size(counts) > config.LIST_SUBJECT_LIMIT
-    return F.when(listed, F.slice(kept, 1, 0)).otherwise(kept)
+    def chosen(found: Column) -> Column:
+        best = F.array_min(F.transform(found, lambda c: F.struct(
+            (-c["n"]).alias("n"), c["first_start"].alias("at"), c["subject"].alias("subject"))))["subject"]
+        kept = let(best, lambda b: F.filter(found, lambda c: (c["subject"] == b) | (c["n"] >= config.SUBSTANTIVE_MENTIONS)))
+        return F.when(F.size(found) <= config.LIST_SUBJECT_LIMIT, kept)
+    return let(counts, chosen)
 
 
 def emit_set(counts: DataFrame, doc_id: list[str] | str = "doc_id") -> DataFrame:
@@ -195,7 +202,7 @@ def emit_set(counts: DataFrame, doc_id: list[str] | str = "doc_id") -> DataFrame
     doc_id = [doc_id] if isinstance(doc_id, str) else list(doc_id)
     packed = counts.groupBy(*doc_id).agg(F.array_sort(F.collect_list(
         F.struct("subject", "n", "first_start"))).alias("_c"))
-    return packed.select(*doc_id, F.inline(attribute(F.col("_c"))))
+    return packed.select(*doc_id, F.inline_outer(attribute(F.col("_c")))).filter("subject is not null")
 
 
 def episodes_naming_a_subject(episodes: DataFrame, aliases: AliasSet) -> DataFrame:

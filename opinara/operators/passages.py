@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinara import config
+from opinara.functions.scalars import let
 from opinara.functions.text import deep_link, minute_bucket, passage_id, word_count
 from opinara.operators.mentions import AliasSet, attribute, mention_counts
 
@@ -57,18 +58,22 @@ def expand_passages(segments: DataFrame, triggers: Column, keep: list[str] = ())
         hi = F.col("_at") + step - _steps_left(step, left, right)
         return (F.get("segs", hi)["_before"] + F.get("segs", hi)["_words"] - F.get("segs", lo)["_before"])
 
+    def passage(step: Column) -> Column:
+        lo = F.col("_at") - _steps_left(step, left, right)
+        hi = F.col("_at") + step - _steps_left(step, left, right)
+        first, final = F.get("segs", lo), F.get("segs", hi)
+        return F.struct(
+            first["seg_idx"].alias("lo"), final["seg_idx"].alias("hi"), words_after(step).alias("words"),
+            first["start"].alias("start_s"),
+            F.array_join(F.transform(F.slice("segs", lo + 1, hi - lo + 1), lambda s: s["text"]), " ").alias("text"))
+
     enough = F.filter(F.sequence(F.lit(0), last), lambda s: words_after(s) >= config.TARGET_WORDS)
-    grown = one.withColumn("_step", F.coalesce(F.get(enough, F.lit(0)), last))
-    grown = (grown.withColumn("_lo", F.col("_at") - _steps_left(F.col("_step"), left, right))
-             .withColumn("_hi", F.col("_at") + F.col("_step") - _steps_left(F.col("_step"), left, right)))
-    first, final = F.get("segs", F.col("_lo")), F.get("segs", F.col("_hi"))
-    return grown.select(
-        "guid", F.col("t.seg_idx").alias("seg_idx"), first["seg_idx"].alias("lo"), final["seg_idx"].alias("hi"),
-        (final["_before"] + final["_words"] - first["_before"]).alias("words"),
-        first["start"].alias("start_s"), F.col("t.speaker").alias("speaker"),
-        F.array_join(F.transform(F.slice("segs", F.col("_lo") + 1, F.col("_hi") - F.col("_lo") + 1),
-                                 lambda s: s["text"]), " ").alias("text"),
-        *[F.col(f"t.{c}").alias(c) for c in keep])
+    grown = let(F.coalesce(F.get(enough, F.lit(0)), last), passage)
+    # The generator keeps later filters on the passage from being pushed into, and repeating, its
+    # construction.
+    return (one.select("guid", "t", F.inline_outer(F.array(grown)))
+            .select("guid", F.col("t.seg_idx").alias("seg_idx"), "lo", "hi", "words", "start_s",
+                    F.col("t.speaker").alias("speaker"), "text", *[F.col(f"t.{c}").alias(c) for c in keep]))
 
 
 def one_per_minute(passages: DataFrame) -> DataFrame:
@@ -89,13 +94,13 @@ def build_passages(segments: DataFrame, aliases: AliasSet, episodes: DataFrame |
         passages = expand_passages(segments, F.lower("text").rlike(aliases.pattern()))
     else:
         hits = aliases.with_candidates(segments.select("guid", "seg_idx", "text"), "text", ["guid", "seg_idx"])
-        named = (hits.filter(F.size(mention_counts("text", F.col("_subjects"), strict=False, cues=cues)) > 0)
+        named = (hits.filter(F.size(mention_counts("_lc", F.col("_subjects"), strict=False, cues=cues)) > 0)
                  .select("guid", "seg_idx", F.lit(True).alias("_named")))
         passages = expand_passages(segments.join(named, ["guid", "seg_idx"], "left"), F.col("_named"))
     passages = passages.filter(F.col("words") >= config.MIN_WORDS)
     counted = aliases.with_candidates(passages, "text", ["guid", "seg_idx"])
-    about = (counted.withColumn("_about", attribute(mention_counts("text", F.col("_subjects"), True, cues)))
-             .drop("_subjects").select("*", F.inline("_about")).drop("_about", "first_start"))
+    about = (counted.select("*", F.inline_outer(attribute(mention_counts("_lc", F.col("_subjects"), True, cues))))
+             .filter("subject is not null").drop("_subjects", "_lc", "first_start"))
     picked = one_per_minute(about.withColumnRenamed("n", "mentions"))
     if episodes is None:
         return picked

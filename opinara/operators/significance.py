@@ -1,7 +1,7 @@
 """Resampling tests on pooled correlations, with iterations spread over the cluster.
 
-Shuffles and draws are ordered by MD5 of (seed, iteration, subject, position): reproducible
-on any engine and independent of partitioning.
+Shuffles and draws depend on the seed, the iteration and the subject alone, never on how rows
+are partitioned, so a repeated task repeats its numbers.
 """
 
 from __future__ import annotations
@@ -15,49 +15,85 @@ def _hash_key(*parts) -> Column:
     return F.md5(F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]).cast("binary"))
 
 
-def observed_r(pairs: DataFrame) -> DataFrame:
-    """Single row: pooled r and pair count of subjects with at least three pairs."""
-    per = moments(pairs, ["subject"]).filter("n >= 3")
-    return per.agg(F.sum("sxx").alias("sxx"), F.sum("syy").alias("syy"), F.sum("sxy").alias("sxy"),
-                   F.sum("n").alias("n")).select(
-        pooled_r(F.col("sxx"), F.col("syy"), F.col("sxy"), F.col("n")).alias("r"), "n", "sxx", "syy")
-
-
-def permutation_test(pairs: DataFrame, iters: int, seed: int = 42, blocks: int = 200) -> DataFrame:
+def _packed_subjects(pairs: DataFrame) -> DataFrame:
+    """Each subject's series as one row of demeaned arrays, as long as the calendar."""
+    rows = Window.partitionBy("subject").orderBy("period")
+    packed = (pairs.withColumn("idx", F.row_number().over(rows) - 1)
+              .groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("idx", "x", "y"))).alias("s"))
+              .filter(F.size("s") >= 3))
+    mean = lambda f: F.aggregate("s", F.lit(0.0), lambda a, e: a + e[f]) / F.size("s")
+    return (packed.withColumn("_mx", mean("x")).withColumn("_my", mean("y"))
+            .select("subject", F.transform("s", lambda e: e["x"] - F.col("_mx")).alias("dx"),
+                    F.transform("s", lambda e: e["y"] - F.col("_my")).alias("dy")))
+
+
+def _sums_by_generator(work: DataFrame, iters: int, per_block: int, seed: int) -> DataFrame:
+    """Shuffles from numpy's counter-based generator, keyed by (seed, subject, block)."""
+    def sums(batches):
+        import numpy as np
+        import pandas as pd
+        for batch in batches:
+            totals: dict[int, np.ndarray] = {}
+            observed = np.zeros(3)
+            for key, block, dx, dy in zip(batch["key"], batch["block"], batch["dx"], batch["dy"]):
+                dx, dy = np.asarray(dx, float), np.asarray(dy, float)
+                if block == 0:
+                    observed += (dx @ dy, dx @ dx, dy @ dy)
+                n = min((block + 1) * per_block, iters) - block * per_block
+                if n > 0:
+                    rng = np.random.Generator(np.random.Philox(key=[(int(key) ^ seed) & (2**64 - 1), int(block)]))
+                    totals[block] = totals.get(block, 0.0) + rng.permuted(np.tile(dy, (n, 1)), axis=1) @ dx
+            yield pd.DataFrame({"iter": [-1], "sxy": observed[0], "sxx": observed[1], "syy": observed[2]})
+            for block, sxy in totals.items():
+                first = block * per_block
+                yield pd.DataFrame({"iter": np.arange(first, first + len(sxy)), "sxy": sxy, "sxx": 0.0, "syy": 0.0})
+    keyed = work.select(F.xxhash64("subject").alias("key"), "block", "dx", "dy")
+    return keyed.mapInPandas(sums, "iter bigint, sxy double, sxx double, syy double")
+
+
+def _sums_by_digest(work: DataFrame, iters: int, per_block: int, seed: int) -> DataFrame:
+    """Shuffles ordered by MD5: slower, and reproducible by any engine that has MD5."""
+    start = F.col("block") * per_block
+    numbered = (work.withColumn("iter", F.explode(F.sequence(
+        F.when(F.col("block") == 0, -1).otherwise(start), start + per_block - 1))).filter(F.col("iter") < iters))
+    prefix = F.concat_ws(":", F.lit(str(seed)), F.col("iter").cast("string"), F.col("subject"), F.lit(""))
+    shuffled = F.transform(F.array_sort(F.transform("dy", lambda v, i: F.struct(
+        F.md5(F.concat(prefix, i.cast("string")).cast("binary")).alias("k"), v.alias("y")))), lambda h: h["y"])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    observed = F.col("iter") < 0
+    return numbered.withColumn("shuffled", F.when(observed, F.col("dy")).otherwise(shuffled)).select(
+        "iter", dot("dx", "shuffled").alias("sxy"), F.when(observed, dot("dx", "dx")).otherwise(0.0).alias("sxx"),
+        F.when(observed, dot("dy", "dy")).otherwise(0.0).alias("syy"))
+
+
+def permutation_test(pairs: DataFrame, iters: int, seed: int = 42, blocks: int = 200,
+                     method: str = "generator") -> DataFrame:
     """Two-sided permutation p of the pooled r; returns are shuffled within their subject.
 
     Shuffling changes neither sxx nor syy, so an iteration only needs sxy.  A subject's series
-    is packed into two arrays (its length is the number of calendar periods), iterations are
-    spread as blocks, and each (subject, iteration) shuffles inside one row.  What is exchanged
-    between tasks is one partial sum per iteration.
+    is packed into one row and iterations are spread over the cluster as blocks; the number of
+    partitions is fixed because the work lies in the iterations, not in the bytes.  What is
+    exchanged between tasks is one partial sum per iteration and task.  Iteration -1 is the
+    observed order, so one pass over the pairs gives both sides of the comparison.
     """
-    rows = Window.partitionBy("subject").orderBy("period")
-    packed = (pairs.withColumn("idx", F.row_number().over(rows) - 1)
-              .groupBy("subject").agg(F.array_sort(F.collect_list(F.struct("idx", "x", "y"))).alias("s"))
-              .filter(F.size("s") >= 3)
-              .withColumn("mx", F.aggregate("s", F.lit(0.0), lambda a, e: a + e["x"]) / F.size("s"))
-              .withColumn("my", F.aggregate("s", F.lit(0.0), lambda a, e: a + e["y"]) / F.size("s")))
-    per_block = -(-iters // blocks)
-    work = (packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            .repartition("subject", "block")
-            .withColumn("iter", F.explode(F.sequence(F.col("block") * per_block,
-                                                     (F.col("block") + 1) * per_block - 1)))
-            .filter(F.col("iter") < iters))
-    shuffled = F.array_sort(F.transform("s", lambda e: F.struct(
-        _hash_key(seed, F.col("iter").cast("string"), F.col("subject"), e["idx"].cast("string")).alias("k"),
-        e["y"].alias("y"))))
-    sxy = F.aggregate(F.zip_with("s", "shuffled", lambda e, h: (e["x"] - F.col("mx")) * (h["y"] - F.col("my"))),
-                      F.lit(0.0), lambda a, v: a + v)
-    null = (work.withColumn("shuffled", shuffled).select("iter", sxy.alias("sxy"))
-            .groupBy("iter").agg(F.sum("sxy").alias("sxy")))
-    obs = observed_r(pairs)
-    r = obs.select("r").scalar()
-    sxx, syy = obs.select("sxx").scalar(), obs.select("syy").scalar()
-    extreme = F.abs(F.try_divide(F.col("sxy"), F.sqrt(sxx) * F.sqrt(syy))) >= F.abs(r)
-    return (null.agg(F.count_if(extreme).alias("hits"))
-            .select(F.coalesce(r, F.lit(0.0)).alias("r"), F.lit(iters).alias("iters"),
-                    F.when(r.isNull(), F.lit(0)).otherwise(F.col("hits")).cast("bigint").alias("hits"))
-            .withColumn("p", F.when(r.isNull(), F.lit(1.0)).otherwise((F.col("hits") + 1) / F.lit(iters + 1.0))))
+    sums_of = {"generator": _sums_by_generator, "digest": _sums_by_digest}[method]
+    blocks = max(1, min(blocks, iters))
+    work = (_packed_subjects(pairs).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            .repartition(blocks, "subject", "block"))
+    per_iter = sums_of(work, iters, -(-iters // blocks), seed).groupBy("iter").agg(
+        F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"), F.sum("syy").alias("syy"))
+    observed = F.col("iter") < 0
+    # One number per iteration: bounded by ``iters``.
+    whole = per_iter.agg(F.max(F.when(observed, F.col("sxy"))).alias("sxy"),
+                         F.max(F.when(observed, F.sqrt("sxx") * F.sqrt("syy"))).alias("scale"),
+                         F.collect_list(F.when(~observed, F.col("sxy"))).alias("null"))
+    r = F.try_divide("sxy", "scale")
+    hits = F.size(F.filter("null", lambda v: F.abs(v / F.col("scale")) >= F.abs(F.col("r0"))))
+    return (whole.withColumn("r0", r)
+            .select(F.coalesce("r0", F.lit(0.0)).alias("r"), F.lit(iters).alias("iters"),
+                    F.when(F.col("r0").isNull(), 0).otherwise(hits).cast("bigint").alias("hits"), F.col("r0"))
+            .withColumn("p", F.when(F.col("r0").isNull(), 1.0).otherwise((F.col("hits") + 1) / F.lit(iters + 1.0)))
+            .drop("r0"))
 
 
 def dense_index(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:

@@ -227,20 +227,25 @@ def register_reader(name: str, reader) -> None:
     READERS[name] = reader
 
 
-def read_sources(spark: SparkSession, landed: list[tuple[str, str, str]]) -> DataFrame:
-    """Union of ``(reader, path, source)`` entries; a path with no files adds nothing."""
+def union_sources(parts: list[DataFrame | None]) -> DataFrame | None:
+    """All records of the sources that delivered; a source that is None adds nothing."""
     out = None
-    for reader, path, source in landed:
-        if not _exists(spark, path):
-            continue
-        part = READERS[reader](spark, path, source)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        from opinara import schemas
-        return spark.createDataFrame([], schemas.RAW_RECORD)
+    for part in parts:
+        if part is not None:
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def read_sources(spark: SparkSession, landed: list[tuple[str, str, str]]) -> DataFrame:
+    """Union of ``(reader, path, source)`` entries; a path with no files adds nothing."""
+    from opinara import schemas
+
+    parts = [READERS[reader](spark, path, source) if _exists(spark, path) else None
+             for reader, path, source in landed]
+    out = union_sources(parts)
+    return spark.createDataFrame([], schemas.RAW_RECORD) if out is None else out
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -7,7 +7,7 @@ a lost executor only repeats tasks; the file commit makes the result visible at
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -99,7 +99,7 @@ LEDGER_BUCKETS = 64
 def upsert_ledger(spark: SparkSession, path: str, batch: DataFrame, schema: StructType,
                   write_seq: str | None = None) -> None:
     """Ledger rows are keyed by guid; a hash bucket of it is the partition that gets rewritten."""
-    bucketed = StructType(list(schema.fields)).add("guid_bucket", "int")
+    bucketed = StructType(list(schema.fields)).add("guid_bucket", IntegerType())
     batch = batch.withColumn("guid_bucket", F.pmod(F.hash("guid"), F.lit(LEDGER_BUCKETS)).cast("int"))
     upsert(spark, path, batch, ["guid"], bucketed, "guid_bucket", write_seq)
 

@@ -14,6 +14,9 @@ def py_round(x: str, digits: int) -> str:
             f"ELSE {low} - 2 * floor({low} / 2) END) / {scale}e0 AS DOUBLE)")
 
 
+# White space that SQL's plain classes do not know; removed on both sides before comparing.
+ODD_SPACES = "".join(map(chr, (160, 8195, 8232, 8233, 12288, 133, 28, 29, 30, 31)))
+
 VIEWS: dict[str, str] = {
     "items_e": """
         SELECT 'ev:' || event_id AS external_id, 'U' || (user_id % 10) AS subject, ts, event_id AS ingest_seq,
