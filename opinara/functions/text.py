@@ -87,8 +87,8 @@ def clean_headline(text: Column | str) -> Column:
     quote cannot be a literal, so it is finished in the JVM; the rest goes to Python.
     """
     raw = F.coalesce(_col(text), F.lit(""))
-    plain_bytes = raw.rlike(r"""^b'[^'\\]*'$|^b"[^"\\]*"$""") & ~raw.rlike(r"[^\x00-\x7F]")
-    plain_text = raw.rlike(r"^[A-Za-z]+[ ,][^\n]*[A-Za-z]") & ~raw.rlike(r"^(?i:not|lambda|[bruf]{1,2}['\"])")
+    plain_bytes = raw.rlike(r"""^b'[^'\\\r\n]*'\z|^b"[^"\\\r\n]*"\z""") & ~raw.rlike(r"[^\x01-\x7F]")
+    plain_text = raw.rlike(r"^[A-Za-z]+[ ,][^\n]*[A-Za-z]") & ~raw.rlike(r"^(?:True|False|None)\b")
     stripped = F.regexp_replace(strip(raw), r'^"+|"+$', "")
     inner = F.regexp_extract(raw, r"""^b(['"])(.*)\1$""", 2)
     easy = plain_bytes | plain_text

@@ -17,10 +17,24 @@ SESSION_CONF = {
 }
 
 
+def ship_functions() -> None:
+    """Let Python workers run this package's functions without having it installed.
+
+    Functions and classes of the package travel by value inside the plan, which also reaches
+    the helper process of stateful streams.
+    """
+    import opinara
+    from pyspark import cloudpickle
+
+    if "opinara" not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(opinara)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else built."""
     for key, value in SESSION_CONF.items():
         spark.conf.set(key, value)
+    ship_functions()
     return spark
 
 
