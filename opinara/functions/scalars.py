@@ -29,6 +29,13 @@ def bucket_key(ts: Column | str, period: str) -> Column:
     raise ValueError(f"unknown period: {period}")
 
 
+def bucket_start(ts: Column | str, period: str) -> Column:
+    """First instant of the month or week: the key to group by; format it after grouping."""
+    if period not in ("month", "week"):
+        raise ValueError(f"unknown period: {period}")
+    return F.date_trunc(period, _col(ts))
+
+
 def period_calendar(spark: SparkSession, now: str, period: str, n: int):
     """The last ``n`` periods, newest first: ``label, start_unix, end_unix``."""
     if period not in ("month", "week"):

@@ -64,7 +64,13 @@ def aliases_by_subject(alias_dim: DataFrame) -> DataFrame:
 
 # --- counting, as one expression -------------------------------------------------------------
 def _word_pattern(alias: Column) -> Column:
-    return F.concat(F.lit(r"(?U)\b\Q"), alias, F.lit(r"\E\b"))
+    """Whole-word pattern that compares the literal first.
+
+    A leading word boundary would be tested at every character; looking back for it after the
+    literal has matched means the same and costs next to nothing.
+    """
+    quoted = F.concat(F.lit(r"\Q"), alias, F.lit(r"\E"))
+    return F.concat(F.lit("(?U)"), quoted, F.lit(r"(?<=\b"), quoted, F.lit(r")\b"))
 
 
 def _hit_positions(lowered: Column, alias: Column) -> Column:
@@ -109,12 +115,28 @@ def mention_counts(lowered: Column | str, subjects: Column, strict: bool = True,
     Pass a column, not an expression: the lambdas below refer to it once per alias and hit.
     """
     lowered = F.col(lowered) if isinstance(lowered, str) else lowered
-    present = F.filter(subjects, lambda s: F.exists(s["aliases"], lambda a: F.contains(lowered, a["alias"])))
-    spans = F.transform(present, lambda s: F.struct(
-        s["subject"].alias("subject"), _accepted_spans(lowered, s["aliases"], strict, cues).alias("spans")))
-    return F.transform(F.filter(spans, lambda s: F.size(s["spans"]) > 0), lambda s: F.struct(
-        s["subject"].alias("subject"), F.size(s["spans"]).alias("n"),
-        F.array_min(F.transform(s["spans"], lambda x: x["s"])).alias("first_start")))
+
+    def of_one_alias(alias: Column) -> Column:
+        """Nothing to compare with: the pieces between the hits say it all."""
+        return let(F.split(lowered, _word_pattern(alias["alias"]), -1), lambda pieces: F.struct(
+            (F.size(pieces) - 1).alias("n"), F.length(F.get(pieces, F.lit(0))).alias("first_start")))
+
+    def of_many_aliases(aliases: Column) -> Column:
+        return let(_accepted_spans(lowered, aliases, strict, cues), lambda spans: F.struct(
+            F.size(spans).alias("n"), F.array_min(F.transform(spans, lambda x: x["s"])).alias("first_start")))
+
+    def of_subject(aliases: Column) -> Column:
+        alone = F.size(aliases) == 1
+        if strict:
+            alone = alone & ~F.get(aliases, F.lit(0))["ambiguous"]
+        return F.when(alone, of_one_alias(F.get(aliases, F.lit(0)))).otherwise(of_many_aliases(aliases))
+
+    found = F.transform(subjects, lambda s: F.struct(
+        s["subject"].alias("subject"), F.filter(s["aliases"], lambda a: F.contains(lowered, a["alias"])).alias("aliases")))
+    counted = F.transform(F.filter(found, lambda s: F.size(s["aliases"]) > 0), lambda s: F.struct(
+        s["subject"].alias("subject"), of_subject(s["aliases"]).alias("c")))
+    return F.transform(F.filter(counted, lambda s: s["c"]["n"] > 0), lambda s: F.struct(
+        s["subject"].alias("subject"), s["c"]["n"].alias("n"), s["c"]["first_start"].alias("first_start")))
 
 
 # --- candidates --------------------------------------------------------------------------------
@@ -148,8 +170,7 @@ class AliasSet:
         """``texts`` that may mention a subject: adds ``_lc`` (lower case) and ``_subjects`` to try."""
         lowered = texts.withColumn("_lc", F.lower(text))
         if self.inline:
-            return (lowered.filter(F.col("_lc").rlike(self.pattern()))
-                    .withColumn("_subjects", self.literal()))
+            return lowered.filter(F.col("_lc").rlike(self.pattern())).withColumn("_subjects", self.literal())
         return lowered.join(self._candidates_by_token(texts, text, doc_id), doc_id)
 
     def _candidates_by_token(self, texts: DataFrame, text: str, doc_id: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinara import config
 from opinara.functions.rounding import py_round
-from opinara.functions.scalars import age_hours, bucket_key, reading_label
+from opinara.functions.scalars import age_hours, bucket_key, bucket_start, reading_label
 from opinara.operators.records import citation_struct
 
 
@@ -39,10 +39,10 @@ def period_readings(items: DataFrame, period: str = "month", min_items: int = 1,
     """Mean stance per group and month or week; thin buckets and undated items are dropped."""
     by = [by] if isinstance(by, str) else list(by)
     raw = (items.filter(F.col("ts").isNotNull() & F.col("score").isNotNull())
-           .groupBy(*by, bucket_key("ts", period).alias("period"))
+           .groupBy(*by, bucket_start("ts", period).alias("_start"))
            .agg(F.avg(F.col("score").cast("bigint")).alias("_mean"), F.count(F.lit(1)).alias("n")))
     return (raw.filter(F.col("n") >= min_items)
-            .select(*by, "period", py_round("_mean", 1).alias("consensus"), "n"))
+            .select(*by, bucket_key("_start", period).alias("period"), py_round("_mean", 1).alias("consensus"), "n"))
 
 
 # --- citations ---------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from opinara.operators.study import moments, pooled_r
+from opinara.session import scratch_path
 
 
 def _hash_key(*parts) -> Column:
@@ -66,20 +67,28 @@ def _sums_by_digest(work: DataFrame, iters: int, per_block: int, seed: int) -> D
         F.when(observed, dot("dy", "dy")).otherwise(0.0).alias("syy"))
 
 
-def permutation_test(pairs: DataFrame, iters: int, seed: int = 42, blocks: int = 200,
+def _blocks_for(pairs: DataFrame, iters: int) -> tuple[int, int]:
+    """Blocks of iterations, and partitions: many subjects need no splitting of iterations."""
+    tasks = 4 * pairs.sparkSession.sparkContext.defaultParallelism
+    subjects = max(1, pairs.select("subject").distinct().count())
+    blocks = max(1, min(iters, -(-tasks // subjects)))
+    return blocks, min(tasks, subjects * blocks)
+
+
+def permutation_test(pairs: DataFrame, iters: int, seed: int = 42, blocks: int | None = None,
                      method: str = "generator") -> DataFrame:
     """Two-sided permutation p of the pooled r; returns are shuffled within their subject.
 
     Shuffling changes neither sxx nor syy, so an iteration only needs sxy.  A subject's series
-    is packed into one row and iterations are spread over the cluster as blocks; the number of
-    partitions is fixed because the work lies in the iterations, not in the bytes.  What is
+    is packed into one row; when subjects are few, iterations are also spread as blocks.  The number
+    of partitions is fixed because the work lies in the iterations, not in the bytes.  What is
     exchanged between tasks is one partial sum per iteration and task.  Iteration -1 is the
     observed order, so one pass over the pairs gives both sides of the comparison.
     """
     sums_of = {"generator": _sums_by_generator, "digest": _sums_by_digest}[method]
-    blocks = max(1, min(blocks, iters))
+    blocks, partitions = _blocks_for(pairs, iters) if blocks is None else (max(1, min(blocks, iters)), blocks)
     work = (_packed_subjects(pairs).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            .repartition(blocks, "subject", "block"))
+            .repartition(partitions, "subject", "block"))
     per_iter = sums_of(work, iters, -(-iters // blocks), seed).groupBy("iter").agg(
         F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"), F.sum("syy").alias("syy"))
     observed = F.col("iter") < 0
@@ -96,7 +105,7 @@ def permutation_test(pairs: DataFrame, iters: int, seed: int = 42, blocks: int =
             .drop("r0"))
 
 
-def dense_index(df: DataFrame, key: str, buckets: int = 1024) -> DataFrame:
+def dense_index(df: DataFrame, key: str, buckets: int = 16_384) -> DataFrame:
     """Adds ``idx`` 0..n-1, a dense number per row with distinct ``key``.
 
     Rows are numbered inside hash buckets and shifted by the sizes of the buckets before; the
@@ -127,7 +136,13 @@ def bootstrap_ci(spark: SparkSession, pairs: DataFrame, iters: int, seed: int =
     Draws meet per-subject moments in an equi-join on the subject number; (0, 0) when no
     iteration gives an r.
     """
-    subjects = indexed if indexed is not None else dense_index(moments(pairs, ["subject"]).filter("n >= 3"), "subject")
+    subjects = indexed
+    if subjects is None:
+        # One short row per subject, used three times below: written once instead of recomputed.
+        per_subject = moments(pairs, ["subject"]).filter("n >= 3")
+        path = scratch_path(spark, "moments")
+        per_subject.write.parquet(path)
+        subjects = dense_index(spark.read.schema(per_subject.schema).parquet(path), "subject")
     n_subjects = subjects.agg(F.count(F.lit(1)).alias("n")).scalar()
     drawn = bootstrap_draws(spark, n_subjects, iters, seed).join(subjects.select("idx", "n", "sxx", "syy", "sxy"), "idx")
     rs = (drawn.groupBy("iter").agg(*[F.sum(c).alias(c) for c in ("n", "sxx", "syy", "sxy")])

@@ -14,6 +14,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Rank bounds (budgets, top-k) up to this size are applied per partition before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from opinara import schemas
 from opinara.functions.rounding import py_round
-from opinara.functions.scalars import bucket_key
+from opinara.functions.scalars import bucket_key, bucket_start
 from opinara.functions.text import clean_headline
 
 
@@ -68,13 +68,12 @@ def market_subjects(dim: DataFrame) -> DataFrame:
 
 # --- prices ---------------------------------------------------------------------------------
 def price_series(bars: DataFrame, period: str = "month", ts: str = "ts", close: str = "close") -> DataFrame:
-    """Last close per symbol and period, two decimals.
+    """Last close per symbol and period, two decimals; bars of one instant give the highest close.
 
-    Bars that share a symbol and instant are first reduced to the highest close; both steps
-    are hash aggregates over fixed-width values, so they combine on the map side.
+    One aggregate with map-side partials.  The period is grouped by its start and turned into
+    text afterwards, once per period and not once per bar.
     """
-    per_instant = (bars.filter(F.col(close).isNotNull())
-                   .groupBy("symbol", bucket_key(ts, period).alias("period"), F.col(ts).alias("_ts"))
-                   .agg(F.max(close).alias("_close")))
-    return (per_instant.groupBy("symbol", "period").agg(F.max_by("_close", "_ts").alias("_last"))
-            .select("symbol", "period", py_round("_last", 2).alias("close")))
+    last = F.max(F.struct(F.col(ts).alias("t"), F.col(close).alias("c")))
+    return (bars.filter(F.col(close).isNotNull()).groupBy("symbol", bucket_start(ts, period).alias("_start"))
+            .agg(last.alias("_last"))
+            .select("symbol", bucket_key("_start", period).alias("period"), py_round(F.col("_last.c"), 2).alias("close")))
