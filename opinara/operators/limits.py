@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from opinara import config
 from opinara.session import scratch_path
 
-_DECISION = "client string, ts timestamp, seq bigint, admitted boolean, retry_after double"
+_QUEUED = "client string, slab bigint, ts timestamp, seq bigint, us bigint, round int"
+_STATE = "client string, slab bigint, adm array<struct<us:bigint,seq:bigint>>"
 
 
 def admit_requests(spark: SparkSession, log: DataFrame, limit: int = config.RATE_LIMIT,
@@ -28,7 +29,8 @@ def admit_requests(spark: SparkSession, log: DataFrame, limit: int = config.RATE
       as minus infinity) a request sees b = #{t <= ts} free places, and the number admitted after
       the i-th request is a(i) = min(a(i-1) + 1, b(i)) = i + min(0, min over k <= i of b(k) - k).
       Only the first L requests with the same b can be admitted, which bounds what a hot client
-      ships; a round's admissions, at most L per client, go to a table for the next round.
+      ships; a round only writes its admissions, at most L per client, for the next round.  All
+      requests are marked at the end, in one pass.
     """
     columns = log.select("client", "ts", "seq")
     if limit <= 0 or window_s <= 0:
@@ -46,52 +48,59 @@ def admit_requests(spark: SparkSession, log: DataFrame, limit: int = config.RATE
             .withColumn("round", F.row_number().over(Window.partitionBy("client", "_g").orderBy("slab")).cast("int"))
             .select("client", "slab", "round"))
     root = scratch_path(spark, "limiter")
-    (hits.join(busy, ["client", "slab"]).write.partitionBy("round").parquet(f"{root}/hits"))
+    hits.join(busy, ["client", "slab"]).write.partitionBy("round").parquet(f"{root}/hits")
     calm = hits.join(busy, ["client", "slab"], "left_anti")
     calm_out = calm.select("client", "ts", "seq", F.lit(True).alias("admitted"), F.lit(None).cast("double").alias("retry_after"))
-    queued = spark.read.schema("client string, slab bigint, ts timestamp, seq bigint, us bigint, round int").parquet(f"{root}/hits")
+    queued = spark.read.schema(_QUEUED).parquet(f"{root}/hits")
     rounds = queued.agg(F.max("round")).first()[0] or 0
     if not rounds:
         return calm_out
-    # Admissions a first round depends on: calm slabs right before a chain.
+    # Round 0: the admissions that first rounds depend on, from calm slabs right before a chain.
     heads = busy.filter("round = 1").select("client", (F.col("slab") - 1).alias("slab"))
-    state = calm.join(heads, ["client", "slab"], "left_semi")
+    _admissions(calm.join(heads, ["client", "slab"], "left_semi")).write.parquet(f"{root}/state/r=0")
     for r in range(1, rounds + 1):
-        decided = _decide_round(queued.filter(F.col("round") == r), state, limit, width)
-        decided.write.parquet(f"{root}/decided/r={r}")
-        written = spark.read.schema("client string, slab bigint, ts timestamp, seq bigint, us bigint, admitted boolean, "
-                                    "retry_after double").parquet(f"{root}/decided/r={r}")
-        state = written.filter("admitted").select("client", "slab", "us")
-    done = spark.read.schema("client string, slab bigint, ts timestamp, seq bigint, us bigint, admitted boolean, "
-                             "retry_after double").parquet(f"{root}/decided")
-    return calm_out.unionByName(done.select("client", "ts", "seq", "admitted", "retry_after"))
-
-
-def _decide_round(hits: DataFrame, state: DataFrame, limit: int, width: int) -> DataFrame:
-    """One slab per client: ``hits`` of that slab, ``state`` the admissions of the slab before."""
-    thresholds = (state.groupBy("client", (F.col("slab") + 1).alias("slab"))
-                  .agg(F.array_sort(F.collect_list(F.col("us") + width)).alias("t")))
-    seen = (hits.select("client", "slab", "ts", "seq", "us").join(thresholds, ["client", "slab"], "left")
-            .withColumn("t", F.coalesce("t", F.array().cast("array<bigint>")))
-            .withColumn("b", F.lit(limit) - F.size("t") + F.size(F.filter("t", lambda x: x <= F.col("us"))))
-            .withColumn("next_t", F.get(F.filter("t", lambda x: x > F.col("us")), F.lit(0))).drop("t"))
-    order = [F.col("us"), F.col("seq")]
-    level = Window.partitionBy("client", "slab", "b").orderBy(*order)
-    candidates = (seen.filter("b > 0").select("client", "slab", "us", "seq", "b")
-                  .withColumn("_k", F.row_number().over(level)).filter(F.col("_k") <= limit))
-    line = Window.partitionBy("client", "slab").orderBy(*order)
+        before = spark.read.schema(_STATE).parquet(f"{root}/state/r={r - 1}")
+        _admit_round(queued.filter(F.col("round") == r), before, limit, width).write.parquet(f"{root}/state/r={r}")
+    state = spark.read.schema(_STATE).parquet(*[f"{root}/state/r={r}" for r in range(rounds + 1)])
+    return calm_out.unionByName(_mark(queued, state, width))
+
+
+def _admissions(admitted: DataFrame) -> DataFrame:
+    """Admitted requests of a client and slab as one ordered array of at most ``limit``."""
+    return admitted.groupBy("client", "slab").agg(F.array_sort(F.collect_list(F.struct("us", "seq"))).alias("adm"))
+
+
+def _with_thresholds(hits: DataFrame, state: DataFrame, width: int) -> DataFrame:
+    """Adds ``t``: when the places taken in the slab before become free."""
+    freed = state.select("client", (F.col("slab") + 1).alias("slab"), F.transform("adm", lambda x: x["us"] + width).alias("t"))
+    return (hits.join(freed, ["client", "slab"], "left")
+            .withColumn("t", F.coalesce("t", F.array().cast("array<bigint>"))))
+
+
+def _admit_round(hits: DataFrame, before: DataFrame, limit: int, width: int) -> DataFrame:
+    """One slab per client: ``hits`` of that slab, ``before`` the admissions of the slab before."""
+    free = F.lit(limit) - F.size("t") + F.size(F.filter("t", lambda x: x <= F.col("us")))
+    seen = _with_thresholds(hits.select("client", "slab", "seq", "us"), before, width).withColumn("b", free).drop("t")
+    level = Window.partitionBy("client", "slab", "b").orderBy("us", "seq")
+    candidates = (seen.filter("b > 0").withColumn("_k", F.row_number().over(level)).filter(F.col("_k") <= limit))
+    line = Window.partitionBy("client", "slab").orderBy("us", "seq")
     running = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = (candidates.withColumn("i", F.row_number().over(line))
                .withColumn("a", F.col("i") + F.least(F.lit(0), F.min(F.col("b") - F.col("i")).over(running))))
-    admitted = (counted.withColumn("_prev", F.coalesce(F.lag("a").over(line), F.lit(0)))
-                .filter(F.col("a") > F.col("_prev")).select("client", "slab", "us", "seq"))
-    first = admitted.groupBy("client", "slab").agg(F.min("us").alias("first_us"))
-    marked = (seen.join(admitted.withColumn("admitted", F.lit(True)), ["client", "slab", "us", "seq"], "left")
-              .join(first, ["client", "slab"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(False))))
-    # Oldest admission still in the window: the next threshold, else this slab's first one.
-    free_at = F.coalesce("next_t", F.col("first_us") + width)
-    retry = F.greatest(F.lit(1.0), (free_at - F.col("us")) / F.lit(1_000_000.0))
-    return marked.select("client", "slab", "ts", "seq", "us", "admitted", F.when(~F.col("admitted"), retry).alias("retry_after"))
+    return _admissions(counted.withColumn("_prev", F.coalesce(F.lag("a").over(line), F.lit(0))).filter("a > _prev"))
+
+
+def _mark(hits: DataFrame, state: DataFrame, width: int) -> DataFrame:
+    """Decision of every busy request, from the admissions of its own and the previous slab.
+
+    A refused client may come back when the oldest admission in its window expires: the next
+    threshold, else the first admission of its own slab.
+    """
+    both = _with_thresholds(hits.select("client", "slab", "ts", "seq", "us"), state, width).join(state, ["client", "slab"], "left")
+    admitted = F.coalesce(F.array_contains("adm", F.struct("us", "seq")), F.lit(False))
+    next_free = F.coalesce(F.get(F.filter("t", lambda x: x > F.col("us")), F.lit(0)), F.get("adm", F.lit(0))["us"] + width)
+    retry = F.greatest(F.lit(1.0), (next_free - F.col("us")) / F.lit(1_000_000.0))
+    return both.select("client", "ts", "seq", admitted.alias("admitted"), F.when(~admitted, retry).alias("retry_after"))
 
 
 def daily_budget(requests: DataFrame, budget: int = config.DAILY_BUDGET) -> DataFrame:
