@@ -104,4 +104,4 @@ EMBEDDING_DIM = 384
 # --- limits of our own ------------------------------------------------------------------
 # An alias dimension up to this many (subject, alias) rows is inlined in the plan as a
 # literal; a larger one goes through the token equi-join in ``operators.mentions``.
-MAX_INLINE_ALIASES = 2_000
+MAX_INLINE_ALIASES = 500

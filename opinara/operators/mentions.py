@@ -88,8 +88,23 @@ def _hit_positions(lowered: Column, alias: Column) -> Column:
     return F.when(F.contains(lowered, alias), walked["hits"]).otherwise(F.expr(_POSITIONS))
 
 
+def any_of(words) -> str:
+    """Pattern for one of many words that shares their prefixes.
+
+    A plain alternation is tried word by word at every boundary; shared prefixes make the cost
+    depend on the alphabet and not on the number of aliases.
+    """
+    tails: dict[str, list[str]] = {}
+    for word in sorted(set(words)):
+        tails.setdefault(word[:1], []).append(word[1:])
+    options = [re.escape(first) + (any_of(rest) if rest != [""] else "") for first, rest in tails.items() if first]
+    if "" in tails:
+        options.append("")
+    return options[0] if len(options) == 1 else "(?:" + "|".join(options) + ")"
+
+
 def cue_pattern(cues: tuple[str, ...] = config.CONTEXT_CUES) -> str:
-    return r"(?U)\b(?:" + "|".join(re.escape(c) for c in cues) + r")\b"
+    return rf"(?U)\b{any_of(cues)}\b"
 
 
 def _cue_nearby(lowered: Column, at: Column, cues: tuple[str, ...]) -> Column:
@@ -163,8 +178,7 @@ class AliasSet:
 
     def pattern(self) -> str:
         """One pattern that is true exactly for texts with at least one whole-word alias."""
-        words = sorted({alias for _, alias, _ in self.rows}, key=lambda a: (-len(a), a))
-        return r"(?U)\b(?:" + "|".join(re.escape(w) for w in words) + r")\b" if words else r"(?!)"
+        return rf"(?U)\b{any_of(alias for _, alias, _ in self.rows)}\b" if self.rows else r"(?!)"
 
     def with_candidates(self, texts: DataFrame, text: str, doc_id: list[str]) -> DataFrame:
         """``texts`` that may mention a subject: adds ``_lc`` (lower case) and ``_subjects`` to try."""
