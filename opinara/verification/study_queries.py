@@ -258,7 +258,23 @@ def j3(spark, d):
     return joined.select("subject", "period", "consensus", py_round("ret", 6).alias("ret"))
 
 
-@query("study_pooled_week", None)
+_WEEK = f""",
+wr AS (SELECT subject, strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, avg(score) AS m FROM items_o GROUP BY 1, 2 HAVING count(*) >= 3),
+wm AS (SELECT subject, period, {R_('m', 1)} AS consensus FROM wr),
+wp AS (SELECT symbol, strftime(date_trunc('week', ts), '%Y-%m-%d') AS period, arg_max(close, (ts, close)) AS close FROM bars GROUP BY 1, 2),
+wj AS (SELECT m.subject, m.period, consensus AS conviction, close FROM (SELECT *, count(*) OVER (PARTITION BY subject) AS k FROM wm) m
+       JOIN wp ON m.subject = wp.symbol AND m.period = wp.period WHERE k >= 4),
+ws AS (SELECT * FROM (SELECT subject, period, conviction, (close - lag(close) OVER w) / nullif(lag(close) OVER w, 0) AS ret, count(*) OVER (PARTITION BY subject) AS k
+       FROM wj WINDOW w AS (PARTITION BY subject ORDER BY period)) WHERE k >= 4),
+wq AS (SELECT subject, conviction AS x, kind, y FROM (SELECT subject, conviction, ret AS coincident, lead(ret) OVER w AS "lead", lag(ret) OVER w AS "lag"
+       FROM ws WINDOW w AS (PARTITION BY subject ORDER BY period)) UNPIVOT (y FOR kind IN (coincident, "lead", "lag")) WHERE y IS NOT NULL),
+moments_n AS (SELECT kind, subject, count(*) AS n, var_pop(x) * count(*) AS sxx, var_pop(y) * count(*) AS syy, covar_pop(x, y) * count(*) AS sxy
+       FROM wq GROUP BY 1, 2 HAVING count(*) >= 3)
+"""
+
+
+@query("study_pooled_week", sql(("items_o", "bars"), _WEEK + _POOL + f"""
+SELECT kind, CAST(n AS BIGINT) AS n, subjects, {R_('v', 6)} AS r, {R_('tv', 4)} AS t, abs(tv) > 2 AS significant FROM q"""))
 def study_week(spark, d):
     study = breadth_study(A.items_o(spark, d), price_series(A.bars(spark, d), "week"), "week")
     return study["pooled"].withColumn("r", py_round("r", 6)).withColumn("t", py_round("t", 4))
