@@ -30,3 +30,55 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), width=2, percent=80)
+
+
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the number of its lines and of those that match an earlier line, and which."""
+    from pyspark.sql import functions as F
+
+    from .linededup import removed_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = docs.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
+                          .cast("long").alias("n_lines"))
+    return (counted.join(removed_lines(docs), "doc_id", "left")
+            .select("doc_id", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines"),
+                    F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_removed"),
+                    F.coalesce(F.array_join("lines", ","), F.lit("")).alias("removed")))
+
+
+@query("op1_media_columns")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text stored as a PNG and read back, and the picture's cosine hash in hex."""
+    from pyspark.sql import functions as F
+
+    from .media import encode_images, read_images
+
+    read = read_images(encode_images(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return read.select("doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"),
+                       F.sha2("payload", 256).alias("payload_sha256"),
+                       F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+                       F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+                       F.lower(F.hex("hash")).alias("feature"), "width", "height", "intact")
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file that the query uses; a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op2_sentencepiece")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every text's ids and of the text that they decode to."""
+    from pyspark.sql import functions as F
+
+    from .sentencepiece_bpe import decode, encode
+
+    model = tokenizer_path()
+    both = decode(encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+                       F.sha2("text", 256).alias("decoded_sha256"))
