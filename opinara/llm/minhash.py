@@ -162,30 +162,28 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _across(percent: int):
-    """Confirmed links between members of different components in one block pair; a spanning set of them."""
+    """Confirmed links from probes to targets of other components in one block pair; a spanning set of them."""
     lowest = _lowest_agreement(percent / 100)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        rows = rows.sort_values("id", ignore_index=True)
-        ids, block = rows["id"].to_numpy(), rows["block"].to_numpy()
+        rows = rows.sort_values(["id", "probe"], ignore_index=True)
+        ids, components = rows["id"].to_numpy(), rows["component"].to_numpy()
         bands = np.stack(rows["bands"].to_numpy())
         bits = np.stack(rows["bits"].to_numpy()).view(np.uint64)
         items = [np.asarray(x).view(np.uint64) for x in rows["items"]]
+        probe, minor = rows["probe"].to_numpy(), rows["minor"].to_numpy()
+        targets = np.flatnonzero(~probe)
         here = int(np.flatnonzero((bands == rows["bucket"].iloc[0]).all(axis=0))[0])
-        root = {c: c for c in rows["component"].unique()}
+        root = {c: c for c in np.unique(components).tolist()}
 
-        def find(c):
+        def find(c: int) -> int:
             while root[c] != c:
                 root[c] = root[root[c]]
                 c = root[c]
             return c
-        components = rows["component"].to_numpy()
         out = []
-        for x in range(len(ids)):
-            others = np.arange(x + 1, len(ids))
-            others = others[(block[others] != block[x]) if i != j else (block[others] == block[x])]
-            others = others[components[others] != components[x]]
+        for x in np.flatnonzero(probe):
+            others = targets[(components[targets] != components[x]) & (~minor[targets] | (ids[targets] > ids[x]))]
             if here and len(others):  # a pair is met in the first band it shares
                 others = others[~(bands[others, :here] == bands[x, :here]).any(axis=1)]
             if not len(others):
@@ -195,7 +193,7 @@ def _across(percent: int):
                 z = (z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)
             same = 1 - np.bitwise_count(z).sum(axis=1) / HASHES
             for y in others[same >= lowest]:
-                p, q = find(components[x]), find(components[y])
+                p, q = find(int(components[x])), find(int(components[y]))
                 if p == q:
                     continue
                 s, t = items[x], items[y]
@@ -212,6 +210,26 @@ def _across(percent: int):
     return run
 
 
+def _block_pairs(own: DataFrame) -> DataFrame:
+    """Rows of ``own(bucket, id, component)`` dealt to groups ``(bucket, i, j)`` that meet all pairs across components.
+
+    Only members outside a bucket's largest component probe; they meet all members of the bucket,
+    both sides in blocks of about ``BLOCK`` rows.  Buckets of one component drop out.
+    """
+    sizes = own.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    split = (sizes.groupBy("bucket").agg(F.sum("m").alias("all"), F.max(F.struct("m", "component")).alias("top"))
+             .where(F.col("all") > F.col("top.m"))
+             .select("bucket", F.col("top.component").alias("major"), F.ceil(F.col("all") / BLOCK).cast("int").alias("nj"),
+                     F.ceil((F.col("all") - F.col("top.m")) / BLOCK).cast("int").alias("ni")))
+    rows = own.join(split, "bucket").withColumn("minor", F.col("component") != F.col("major"))
+    up_to = "explode(sequence(0, {} - 1))"
+    targets = rows.select("bucket", "id", "component", "minor", F.lit(False).alias("probe"),
+                          F.expr(up_to.format("ni")).alias("i"), F.expr("pmod(hash(id), nj)").alias("j"))
+    probes = rows.where("minor").select("bucket", "id", "component", "minor", F.lit(True).alias("probe"),
+                                        F.expr("pmod(hash(id), ni)").alias("i"), F.expr(up_to.format("nj")).alias("j"))
+    return targets.union(probes)
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs(doc_id, text)``; other columns are ignored.
 
@@ -245,15 +263,9 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     labels = saved(connected_components(links), "labels")
 
     own = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = (own.groupBy("bucket").agg(F.count("*").alias("m"), F.min("component").alias("lo"),
-                                       F.max("component").alias("hi"))
-             .where("lo <> hi").select("bucket", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")))
-    rest = saved(own.join(split, "bucket").select("bucket", "id", "component", "blocks"), "unsettled")
+    rest = saved(_block_pairs(own), "unsettled")
     if not rest.isEmpty():
-        dealt = (rest.withColumn("block", F.pmod(F.hash("id"), F.col("blocks")))
-                 .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                 .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
-        more = (dealt.join(reps.select("id", "bands", "bits"), "id").join(full, "id")
+        more = (rest.join(reps.select("id", "bands", "bits"), "id").join(full, "id")
                 .groupBy("bucket", "i", "j").applyInPandas(_across(percent), "a long, b long"))
         links = saved(links.union(more), "links")
         labels = saved(connected_components(links), "labels")
