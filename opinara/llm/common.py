@@ -84,31 +84,87 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         i = j
 
 
-def hash_words(data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray | None = None, lower: bool = False,
-               ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of ``data``: runs without ASCII white space.
+def span_hasher(data: np.ndarray, lower: bool = False):
+    """A function of starts and ends: 64-bit hashes of those spans of ``data``; ``lower`` folds A-Z.
 
-    Words end at row bounds too (and at ``breaks``).  The hash is a polynomial over a random
-    value per byte, so that one running sum serves all words; ``lower`` folds A-Z.
+    The hash is a polynomial over a random value per byte, so one running sum serves all spans.
     """
     n = len(data)
+    power, inverse = _power(max(n, 1))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((_LOWER if lower else _BYTES)[data] * power[:n], out=total[1:])
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        value = (total[ends] - total[starts]) * inverse[starts]
+        return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return hashes
+
+
+def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of ``data``: runs without ASCII white space inside a row."""
+    n = len(data)
     if not n:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = ~SPACE[data]
     first = np.zeros(n + 1, bool)
-    first[bounds[:-1]] = True
-    if breaks is not None:
-        first[breaks] = True
-    first[n] = True
+    first[bounds] = True
     before = np.empty(n, bool)
     before[0], before[1:] = False, word[:-1]
     after = np.empty(n, bool)
     after[-1], after[:-1] = False, word[1:]
     starts = np.flatnonzero(word & (~before | first[:n]))
     ends = np.flatnonzero(word & (~after | first[1:])) + 1
-    power, inverse = _power(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((_LOWER if lower else _BYTES)[data] * power[:n], out=total[1:])
-    value = (total[ends] - total[starts]) * inverse[starts]
-    return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts, ends
+    return starts, ends
+
+
+def hash_words(data: np.ndarray, bounds: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, starts and ends of the words of ``data``."""
+    starts, ends = word_spans(data, bounds)
+    return span_hasher(data, lower)(starts, ends), starts, ends
+
+
+# --- sums of arrays of a fixed size ---------------------------------------------------------
+
+def blobs(values: np.ndarray, chunk: int) -> pa.RecordBatch:
+    """``(chunk, values)`` rows of a flat array, each with ``chunk`` 8-byte values."""
+    parts = [values[i:i + chunk].tobytes() for i in range(0, len(values), chunk)]
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())],
+                                      ["chunk", "values"])
+
+
+BLOBS = "chunk int, values binary"
+
+
+def summed(parts: DataFrame, size: int, chunk: int, dtype: str) -> np.ndarray:
+    """The sum of the arrays that tasks sent as ``blobs``; added up in tasks by chunk, so the driver gets one array."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[at] = total.get(at, 0) + np.frombuffer(values, dtype)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()),
+                                          pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "values"])
+    out = np.zeros(size, dtype)
+    for at, values in parts.repartition(16, "chunk").mapInArrow(add, BLOBS).collect():
+        out[at * chunk:(at + 1) * chunk] = np.frombuffer(values, dtype)
+    return out
+
+
+# --- labelled rows ----------------------------------------------------------------------------
+
+def held_out(doc_id):
+    """Rows that no model learns from: crc32 of the decimal id leaves 2 when divided by 4."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+
+
+def labelled(docs: DataFrame, labels: DataFrame, column: str, most: int) -> DataFrame:
+    """``(doc_id, text, label)`` of up to ``most`` labelled documents, held-out ones left out.
+
+    Which ones is decided by a hash of the id; of repeated labels the largest counts.
+    """
+    chosen = (labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
+              .groupBy("doc_id").agg(F.max(column).cast("double").alias("label"))
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
+    chosen = saved(chosen, "labelled")
+    small = chosen.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    return docs.select("doc_id", "text").join(F.broadcast(chosen) if small else chosen, "doc_id")

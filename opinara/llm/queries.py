@@ -82,3 +82,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document by a model of ``labels.quality``."""
+    from pyspark.sql import functions as F
+
+    from .common import held_out
+    from .quality import fit, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+                         F.col("quality_score").alias("score"), F.col("accepted").cast("int").alias("predicted"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document by a model of ``labels.toxic``."""
+    from .toxicity import fit, severity
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return severity(docs, fit(docs, _table(spark, sf_dir, "labels")))
