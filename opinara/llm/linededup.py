@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, keep_keys, mix, saved, shuffle_partitions, text_slices
+from .common import BLOBS, blobs, hash_words, keep_keys, mix, saved, shuffle_partitions, summed, text_slices
 
 FREQUENCY_BITS = 18
 LOW_BITS = 26
@@ -50,25 +50,10 @@ def word_frequencies(docs: DataFrame) -> np.ndarray:
             for _, _, data, bounds in text_slices(batch.column(0)):
                 words, _, _ = hash_words(data, bounds)
                 total += np.bincount((words >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64), minlength=len(total))
-        if total.any():
-            chunks = total.reshape(-1, FREQUENCY_CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()),
-                                              pa.array([c.astype("<i8").tobytes() for c in chunks])], ["chunk", "counts"])
+        yield blobs(total, FREQUENCY_CHUNK)
 
-    def add(batches: Batches) -> Batches:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()),
-                                          pa.array([c.tobytes() for c in total.values()], pa.binary())], ["chunk", "counts"])
-
-    schema = "chunk int, counts binary"
-    counts = np.zeros(2**FREQUENCY_BITS, np.int64)
-    summed = docs.select("text").mapInArrow(count, schema).repartition(16, "chunk").mapInArrow(add, schema)
-    for chunk, part in summed.collect():
-        counts[chunk * FREQUENCY_CHUNK:(chunk + 1) * FREQUENCY_CHUNK] = np.frombuffer(part, "<i8")
-    return counts
+    parts = docs.select("text").mapInArrow(count, BLOBS)
+    return summed(parts, 2**FREQUENCY_BITS, FREQUENCY_CHUNK, "int64")
 
 
 def _rarity(counts: np.ndarray) -> np.ndarray:
@@ -265,16 +250,21 @@ def _matches(docs: DataFrame, place: np.ndarray, percent: int, only: np.ndarray
     return blobs.repartition(partitions, "kind", "cell").mapInArrow(_resolve(percent, only), MATCHES)
 
 
+def _words(column: str):
+    return F.array_distinct(F.filter(F.split(column, WHITE), lambda w: w != ""))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The ``(doc, line)`` of pairs whose whole word sets reach the threshold."""
     pairs = saved(pairs.select("doc", "line", "with_doc", "with_line").distinct(), "line-pairs")
     wanted = saved(pairs.select("doc", "line").union(pairs.select("with_doc", "with_line")).distinct(), "lines-wanted")
     texts = keep_keys(docs.withColumnRenamed("doc_id", "doc"), saved(wanted.select("doc").distinct(), "docs-wanted"), ["doc"])
     lines = (texts.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "value"))
-             .join(wanted, ["doc", "line"])
-             .select("doc", "line", F.array_distinct(F.filter(F.split("value", WHITE), lambda w: w != "")).alias("words")))
-    other = lines.select(F.col("doc").alias("with_doc"), F.col("line").alias("with_line"), F.col("words").alias("others"))
+             .join(wanted, ["doc", "line"]))
+    other = lines.toDF("with_doc", "with_line", "with_value")
+    # lines travel as text; word sets are made where both sides have met
     both = (pairs.join(lines, ["doc", "line"]).join(other, ["with_doc", "with_line"])
+            .select("doc", "line", _words("value").alias("words"), _words("with_value").alias("others"))
             .withColumn("common", F.size(F.array_intersect("words", "others"))))
     return (both.where(100 * F.col("common") >= percent * (F.size("words") + F.size("others") - F.col("common")))
             .select("doc", "line").distinct())
