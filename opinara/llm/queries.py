@@ -105,3 +105,51 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return severity(docs, fit(docs, _table(spark, sf_dir, "labels")))
+
+
+_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"),
+          ("block", "net/fr/"))
+
+
+def _op8_sql() -> str:
+    from .urls import UNWANTED
+
+    fits = "\n".join(f"WHEN (host = '{n.partition('/')[0]}' OR ends_with(host, '.{n.partition('/')[0]}')) "
+                     f"AND starts_with(path, '/{n.partition('/')[2]}') THEN '{n}'"
+                     for _, n in sorted(_RULES, key=lambda r: -len(r[1])))
+    words = "|".join("[^A-Za-z0-9]".join(w) for w in UNWANTED)
+    verdicts = " ".join(f"WHEN '{n}' THEN '{v}'" for v, n in _RULES)
+    return f"""
+    WITH parted AS (
+      SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz') AS host,
+             coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+    ruled AS (SELECT *, CASE {fits} END AS rule FROM parted)
+    SELECT page_id, host, path, rule,
+           CASE rule {verdicts} ELSE CASE WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])({words})([^A-Za-z0-9]|$)')
+                                          THEN 'block' ELSE 'allow' END END AS verdict
+    FROM ruled"""
+
+
+@query("op8_url_filters", _op8_sql())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of the host rules, else of the pattern rules, on every page."""
+    from .urls import PATTERN_RULES, host_rule, judge
+
+    rules = [*(host_rule(v, n) for v, n in _RULES), *PATTERN_RULES]
+    return judge(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_embedding_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), 0.98)
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 512 to 8,192 words."""
+    from .packing import pack
+
+    return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
