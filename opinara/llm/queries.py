@@ -153,3 +153,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_pii")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans by kind, and all spans with those that the method adds."""
+    from pyspark.sql import functions as F
+
+    from .pii import KINDS, find, fit, joined
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find(docs, fit(docs))
+    counts = [F.size(F.expr(f"filter(base_spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
