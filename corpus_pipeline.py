@@ -20,9 +20,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that match an earlier line."""
+    """Documents without the lines that match an earlier line; one of which no words are left goes."""
     configure(spark)
-    return linededup.drop_repeated_lines(docs)
+    return linededup.drop_repeated_lines(docs, drop_emptied=True)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,12 @@ def keep_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, on, "left_semi")
 
 
+def with_text(changed: DataFrame, column: str, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with ``text`` from ``column`` of ``changed`` and ``n_chars``, if there is one, to match."""
+    return changed.select(*(F.col(column).alias(c) if c == "text" else F.length(column).cast(docs.schema[c].dataType).alias(c)
+                            if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOBS, blobs, hash_words, keep_keys, mix, saved, shuffle_partitions, summed, text_slices
+from .common import BLOBS, blobs, hash_words, keep_keys, mix, saved, shuffle_partitions, summed, text_slices, with_text
 
 FREQUENCY_BITS = 18
 LOW_BITS = 26
@@ -316,16 +316,18 @@ def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     return later_matches(docs, percent).groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def drop_repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, percent: int = 80, drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the later matches cut out of ``text`` and ``n_chars``, if there is one, set anew.
 
-    A document whose lines all go keeps its row with an empty text; null texts stay null.
-    Other columns are returned as they came.
+    A document whose worded lines all go repeats earlier ones as a whole: it keeps its row with
+    what is left, or goes too with ``drop_emptied``.  Null texts stay null, wordless ones as
+    they are.  Other columns are returned as they came.
     """
     gone = removed_lines(docs, percent).select(F.col("doc_id").alias("__doc"), F.col("lines").alias("__gone"))
     joined = docs.join(gone, docs["doc_id"] == gone["__doc"], "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c)
-               if c == "n_chars" else docs[c] for c in docs.columns]
-    return joined.select(*columns)
+    cut = joined.withColumn("__text", text)
+    if drop_emptied:
+        cut = cut.where("__gone is null or __text is null or regexp_like(__text, '[^\\x09-\\x0D\\x20]')")
+    return with_text(cut, "__text", docs)

@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_text
+
 # --- fixed values: kinds in order, and the patterns of the base spans ------------------------
 # As specified, with possessive loops and starts bound to the start of a run (or the end of the
 # match before), which find the same spans without backtracking over long runs.
@@ -293,6 +295,4 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.aggregate(
         "spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1))))
-    columns = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c)
-               if c == "n_chars" else F.col(c) for c in docs.columns]
-    return found.select(*columns)
+    return with_text(found.withColumn("__text", text), "__text", docs)
