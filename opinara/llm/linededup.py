@@ -5,8 +5,9 @@ line, by (doc_id, line number), has a Jaccard similarity of 0.8 or more with it;
 earlier line itself stays does not matter, so every line can be decided by itself.  Three scans:
 
 1. word frequencies, in a table of fixed size (words share ``2**FREQUENCY_BITS`` counters);
-2. per line its set key and, for the rarest words that a match must share, a posting of 34 bytes
-   with set size, position and a 64-bit parity bitmap, packed into blobs by cell of the word;
+2. per line its set key and, for the rarest words that a match must share, a posting with set
+   size, position and a parity bitmap of 64 to 1,024 bits by size, packed into blobs by cell of
+   the word (two sets differ in at least as many words as their bitmaps differ in bits);
 3. the texts of candidate lines, on which the similarity is verified.
 
 Equal sets collapse per task and then per key, so a line in a third of all documents costs a
@@ -35,9 +36,11 @@ FREQUENCY_CHUNK = 4096
 WHITE = "[\\x09-\\x0D\\x20]+"
 
 LINE = np.dtype([("key", "u8"), ("other", "u4"), ("doc", "i8"), ("line", "u4")])
-POSTING = np.dtype([("word", "u4"), ("set", "u4"), ("bits", "u8"), ("doc", "i8"), ("line", "u4"), ("size", "u4"),
-                    ("at", "u2")])
-EQUAL, POSTINGS, GONE = 0, 1, 2
+_FIELDS = [("word", "u4"), ("set", "u4"), ("doc", "i8"), ("line", "u4"), ("size", "u4"), ("at", "u2")]
+#: Words of 64 bits in the bitmap of a set, by class, and the largest size of the lower classes.
+BITMAP_WORDS, CLASS_SIZES = (1, 4, 16), (96, 384)
+POSTING = tuple(np.dtype([*_FIELDS, ("bits", "u8", (w,))]) for w in BITMAP_WORDS)
+EQUAL, GONE, OPEN, POSTINGS = 0, 1, 2, 3  # postings of class c are of kind POSTINGS + c
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -90,7 +93,18 @@ def _line_sets(data: np.ndarray, bounds: np.ndarray, place: np.ndarray, percent:
     mixed = mix(word + np.uint64(0x9E3779B97F4A7C15))
     key = np.add.reduceat(mixed, head)
     other = np.add.reduceat(mix(mixed ^ np.uint64(0xD6E8FEB86659FD93)), head).astype(np.uint32)
-    bits = np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), head)
+    slot = (mixed >> np.uint64(54)).astype(np.int64)
+    bits = np.zeros((len(size), BITMAP_WORDS[-1]), np.uint64)
+    group = np.searchsorted(CLASS_SIZES, size)
+    for c, count in enumerate(BITMAP_WORDS):
+        mine = np.flatnonzero(group == c)
+        if not len(mine):
+            continue
+        member = group[line] == c
+        one, place = np.uint64(1) << (slot[member] & 63).astype(np.uint64), (slot[member] >> 6) % count
+        at = np.cumsum(size[mine]) - size[mine]
+        for w in range(count):
+            bits[mine, w] = np.bitwise_xor.reduceat(np.where(place == w, one, np.uint64(0)), at)
     prefix = size - (percent * size + 99) // 100 + 1
     prefix[100 * size < percent * (size + 1)] = 0  # only an equal set can match
     at = np.arange(len(line)) - head[line]
@@ -110,7 +124,7 @@ def _extract(place: np.ndarray, percent: int):
     def run(batches: Batches) -> Batches:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found, posted = [], []
+            found, posted = [], [[] for _ in POSTING]
             for i, _, data, bounds in text_slices(batch.column(1)):
                 if _wordless(data):
                     continue
@@ -120,11 +134,14 @@ def _extract(place: np.ndarray, percent: int):
                 records["doc"], records["line"] = ids[i + row], line_no
                 base = sum(map(len, found))
                 found.append(records)
-                posting = np.empty(len(line), POSTING)
-                posting["word"], posting["set"], posting["bits"] = word.astype(np.uint32), other[line], bits[line]
-                posting["doc"], posting["line"] = records["doc"][line], records["line"][line]
-                posting["size"], posting["at"] = size[line], np.minimum(at, 65535)
-                posted.append((line + base, (word >> np.uint64(56)).astype(np.int64), posting))
+                for c, count in enumerate(BITMAP_WORDS):
+                    mine = np.flatnonzero(np.searchsorted(CLASS_SIZES, size[line]) == c)
+                    of = line[mine]
+                    posting = np.empty(len(mine), POSTING[c])
+                    posting["word"], posting["set"], posting["bits"] = word[mine].astype(np.uint32), other[of], bits[of, :count]
+                    posting["doc"], posting["line"] = records["doc"][of], records["line"][of]
+                    posting["size"], posting["at"] = size[of], np.minimum(at[mine], 65535)
+                    posted[c].append((of + base, (word[mine] >> np.uint64(56)).astype(np.int64), posting))
             if not found:
                 continue
             lines = np.concatenate(found)
@@ -137,10 +154,11 @@ def _extract(place: np.ndarray, percent: int):
             out = list(_blobs(EQUAL, (ordered["key"] >> np.uint64(56)).astype(np.int64)[~repeat], ordered[~repeat]))
             if repeat.any():
                 out += _blobs(GONE, np.zeros(repeat.sum(), np.int64), ordered[repeat])
-            owner, cell, posting = (np.concatenate(x) for x in zip(*posted))
-            mine = earliest[owner]
-            if mine.any():
-                out += _blobs(POSTINGS, cell[mine], posting[mine])
+            for c, parts in enumerate(posted):
+                owner, cell, posting = (np.concatenate(x) for x in zip(*parts))
+                mine = earliest[owner]
+                if mine.any():
+                    out += _blobs(POSTINGS + c, cell[mine], posting[mine])
             kinds, cells, blobs = zip(*out)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(cells, pa.int32()),
                                               pa.array(blobs, pa.binary())], ["kind", "cell", "blob"])
@@ -162,28 +180,43 @@ def _position(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) % np.uint64(FILTER_BITS)
 
 
-def _candidates(posts: np.ndarray, percent: int, only: np.ndarray | None):
+def _joined(parts: list[list[np.ndarray]]) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
+    """Postings of all classes by field, and their bitmaps folded to each class's width (empty where narrower)."""
+    each = [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, POSTING)]
+    fields = {n: np.concatenate([e[n] for e in each]) for n, _ in _FIELDS}
+    bits = []
+    for c, width in enumerate(BITMAP_WORDS):
+        folded = [np.zeros((len(e), width), np.uint64) if k < c else
+                  np.bitwise_xor.reduce(e["bits"].reshape(len(e), BITMAP_WORDS[k] // width, width), axis=1) for k, e in enumerate(each)]
+        bits.append(np.concatenate(folded))
+    fields["class"] = np.repeat(np.arange(len(each)), [len(e) for e in each])
+    return fields, bits
+
+
+def _candidates(parts: list[list[np.ndarray]], percent: int, only: np.ndarray | None):
     """Pairs (later, earlier) of postings that the filters let pass; and later ones that had more."""
-    word = posts["word"].astype(np.uint64)
-    by = np.argsort(word)
-    word = word[by]
+    posts, bits = _joined(parts)
+    by = np.argsort(posts["word"])
+    word = posts["word"][by]
     alone = np.ones(len(word), bool)
     same = word[1:] == word[:-1]
     alone[1:] &= ~same
     alone[:-1] &= ~same
-    posts, word = posts[by][~alone], word[~alone]
-    by = np.lexsort((posts["line"], posts["doc"], posts["set"], posts["bits"], posts["size"], word))
-    posts, word = posts[by], word[by]
-    fresh = np.ones(len(posts), bool)
-    fresh[1:] = ((word[1:] != word[:-1]) | (posts["size"][1:] != posts["size"][:-1])
-                 | (posts["set"][1:] != posts["set"][:-1]) | (posts["bits"][1:] != posts["bits"][:-1]))
-    posts, word = posts[fresh], word[fresh]
-    size, at, bits = posts["size"].astype(np.int64), posts["at"].astype(np.int64), posts["bits"]
-    doc, line = posts["doc"].copy(), posts["line"].astype(np.int64)
+    by = by[~alone]
+    by = by[np.lexsort([posts[n][by] for n in ("line", "doc", "set", "size", "word")])]
+    near = bits[0][by, 0]
+    fresh = np.ones(len(by), bool)  # equal sets under one word: the earliest stands for all
+    fresh[1:] = near[1:] != near[:-1]
+    for n in ("word", "size", "set"):
+        fresh[1:] |= posts[n][by[1:]] != posts[n][by[:-1]]
+    by = by[fresh]
+    posts, bits = {n: v[by] for n, v in posts.items()}, [b[by] for b in bits]
+    word, size, at, doc = (posts[n].astype(t) for n, t in (("word", np.uint64), ("size", np.int64), ("at", np.int64), ("doc", np.int64)))
+    line, group = posts["line"].astype(np.int64), posts["class"]
     wanted = None if only is None else np.unpackbits(only, bitorder="little")[_position(doc, line).astype(np.int64)] > 0
     runs = (word << np.uint64(32)) | size.astype(np.uint64)
     end = np.searchsorted(runs, (word << np.uint64(32)) | (100 * size // percent).astype(np.uint64), "right")
-    n = len(posts)
+    n = len(by)
     seen, more = np.zeros(n, np.int64), np.zeros(n, bool)
     later, earlier = [], []
     active, shift = np.arange(n), 0
@@ -192,11 +225,15 @@ def _candidates(posts: np.ndarray, percent: int, only: np.ndarray | None):
         active = active[active + shift < end[active]]
         a, b = active, active + shift
         left = 1 + np.minimum(size[a] - at[a], size[b] - at[b]) - 1
-        total = size[a] + size[b]
-        ok = (100 + percent) * left >= percent * total
+        ok = (100 + percent) * left >= percent * (size[a] + size[b])
         ok[at[a] >= 65535] = True
-        ok &= (100 + percent) * np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) <= (100 - percent) * total
         a, b = a[ok], b[ok]
+        for c, width in enumerate(bits):
+            most = (100 - percent) * (size[a] + size[b]) // (100 + percent)
+            wide = np.minimum(group[a], group[b]) >= c
+            ok = ~wide
+            ok[wide] = np.bitwise_count(width[a[wide]] ^ width[b[wide]]).sum(axis=1, dtype=np.int64) <= most[wide]
+            a, b = a[ok], b[ok]
         swap = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
         s, t = np.where(swap, a, b), np.where(swap, b, a)
         if only is not None:
@@ -218,21 +255,23 @@ MATCHES = "doc long, line int, with_doc long, with_line int, kind int"
 def _resolve(percent: int, only: np.ndarray | None):
     """Of a partition's blobs: lines that go for an equal one, candidate pairs, and lines that have more of them."""
     def run(batches: Batches) -> Batches:
-        parts: dict[int, list[np.ndarray]] = {EQUAL: [], POSTINGS: [], GONE: []}
+        equal, gone, posted = [], [], [[] for _ in POSTING]
         for batch in batches:
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                parts[kind].append(np.frombuffer(blob, POSTING if kind == POSTINGS else LINE))
-        gone = list(parts[GONE])
-        if parts[EQUAL]:
-            gone.append(_later_equals(np.concatenate(parts[EQUAL])))
+                if kind >= POSTINGS:
+                    posted[kind - POSTINGS].append(np.frombuffer(blob, POSTING[kind - POSTINGS]))
+                else:
+                    (equal if kind == EQUAL else gone).append(np.frombuffer(blob, LINE))
+        if equal:
+            gone.append(_later_equals(np.concatenate(equal)))
         columns = []
         if gone:
             lines = np.concatenate(gone)
             columns.append((lines["doc"], lines["line"], lines["doc"], lines["line"], np.full(len(lines), GONE)))
-        if parts[POSTINGS]:
-            doc, line, s, t, more = _candidates(np.concatenate(parts[POSTINGS]), percent, only)
+        if any(posted):
+            doc, line, s, t, more = _candidates(posted, percent, only)
             columns.append((doc[s], line[s], doc[t], line[t], np.full(len(s), POSTINGS)))
-            columns.append((doc[more], line[more], doc[more], line[more], np.full(len(more), EQUAL)))
+            columns.append((doc[more], line[more], doc[more], line[more], np.full(len(more), OPEN)))
         if columns:
             d, l, wd, wl, k = (np.concatenate(x) for x in zip(*columns))
             yield pa.RecordBatch.from_arrays(
@@ -245,7 +284,7 @@ def _resolve(percent: int, only: np.ndarray | None):
 def _matches(docs: DataFrame, place: np.ndarray, percent: int, only: np.ndarray | None = None) -> DataFrame:
     blobs = docs.mapInArrow(_extract(place, percent), "kind int, cell int, blob binary")
     if only is not None:
-        blobs = blobs.where(F.col("kind") == POSTINGS)
+        blobs = blobs.where(F.col("kind") >= POSTINGS)
     partitions = shuffle_partitions(docs.sparkSession)
     return blobs.repartition(partitions, "kind", "cell").mapInArrow(_resolve(percent, only), MATCHES)
 
@@ -302,7 +341,7 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
              .join(gone, ["doc", "line"], "left_anti"))
     sure = saved(_verified(pairs, docs, percent), "lines-similar")
     gone = gone.union(sure)
-    open_lines = saved(found.where(F.col("kind") == EQUAL).select("doc", "line").distinct()
+    open_lines = saved(found.where(F.col("kind") == OPEN).select("doc", "line").distinct()
                        .join(gone, ["doc", "line"], "left_anti"), "lines-open")
     if not open_lines.isEmpty():
         rest = saved(_matches(docs, place, percent, _filter_of(open_lines)).where(F.col("kind") == POSTINGS)
