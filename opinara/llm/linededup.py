@@ -151,9 +151,10 @@ def _extract(place: np.ndarray, percent: int):
             repeat[1:] = (ordered["key"][1:] == ordered["key"][:-1]) & (ordered["other"][1:] == ordered["other"][:-1])
             earliest = np.ones(len(by), bool)
             earliest[by[repeat]] = False
+            gone = ordered[repeat & ~_twins(ordered)]
             out = list(_blobs(EQUAL, (ordered["key"] >> np.uint64(56)).astype(np.int64)[~repeat], ordered[~repeat]))
-            if repeat.any():
-                out += _blobs(GONE, np.zeros(repeat.sum(), np.int64), ordered[repeat])
+            if len(gone):
+                out += _blobs(GONE, np.zeros(len(gone), np.int64), gone)
             for c, parts in enumerate(posted):
                 owner, cell, posting = (np.concatenate(x) for x in zip(*parts))
                 mine = earliest[owner]
@@ -169,10 +170,18 @@ def _wordless(data: np.ndarray) -> bool:
     return not len(data) or not ((data > 32) | (data < 9) | ((data > 13) & (data < 32))).any()
 
 
+def _twins(lines: np.ndarray) -> np.ndarray:
+    """Of sorted lines those at the very place of the one before: a row came twice."""
+    twin = np.zeros(len(lines), bool)
+    twin[1:] = (lines[1:] == lines[:-1])
+    return twin
+
+
 def _later_equals(lines: np.ndarray) -> np.ndarray:
     """Lines that have an equal set before them."""
     lines = lines[np.lexsort((lines["line"], lines["doc"], lines["other"], lines["key"]))]
-    return lines[1:][(lines["key"][1:] == lines["key"][:-1]) & (lines["other"][1:] == lines["other"][:-1])]
+    same = (lines["key"][1:] == lines["key"][:-1]) & (lines["other"][1:] == lines["other"][:-1])
+    return lines[1:][same & ~_twins(lines)[1:]]
 
 
 def _position(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
