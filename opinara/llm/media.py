@@ -105,7 +105,9 @@ def decode_png(data: bytes) -> np.ndarray:
             raise ValueError("a chunk is cut off")
         size, kind = struct.unpack(">I4s", data[at:at + 8])
         body = data[at + 8:at + 8 + size]
-        if len(body) < size or zlib.crc32(body, zlib.crc32(kind)) != struct.unpack(">I", data[at + 8 + size:at + 12 + size])[0]:
+        if len(data) < at + 12 + size:
+            raise ValueError("a chunk is cut off")
+        if zlib.crc32(body, zlib.crc32(kind)) != struct.unpack(">I", data[at + 8 + size:at + 12 + size])[0]:
             raise ValueError(f"checksum of {kind!r} differs")
         if kind == b"IHDR":
             header = struct.unpack(">IIBBBBB", body)

@@ -125,7 +125,8 @@ def _votes(kind: str, s: Column) -> Column:
     value, before = s["value"], s["before"]
     strict = value.rlike(f"^(?:{BASE[kind]})$") & _valid(kind, value)
     listed = (_digits(value) if kind == "card" else value).rlike(GAZETTEER[kind])
-    return F.struct(_vote(strict, ~strict).alias("strict"), _vote(listed, ~listed).alias("gazetteer"),
+    # the strict form says yes or nothing: what it misses are the very spans that the others are asked about
+    return F.struct(_vote(strict, F.lit(False)).alias("strict"), _vote(listed, ~listed).alias("gazetteer"),
                     _vote(before.rlike(CONTEXT[kind]), before.rlike(AGAINST)).alias("context"),
                     _vote(value.rlike(SHAPE[kind]), ~value.rlike(SHAPE[kind])).alias("shape"))
 
@@ -162,9 +163,12 @@ class Model:
     weights: tuple[float, ...]
 
 
-def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60):
-    """Prior, reliabilities and posteriors of vote patterns with counts; starts from the share of yes votes."""
-    post = [(sum(v > 0 for v in votes) + 0.5) / (sum(v != 0 for v in votes) + 1) for votes, _ in patterns]
+def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60, known: frozenset = frozenset()):
+    """Prior, reliabilities and posteriors of vote patterns with counts; starts from the share of yes votes.
+
+    Patterns in ``known`` are personal data for certain and keep the posterior 1.
+    """
+    post = [1.0 if votes in known else (sum(v > 0 for v in votes) + 0.5) / (sum(v != 0 for v in votes) + 1) for votes, _ in patterns]
     total = sum(n for _, n in patterns)
     prior, tables = 0.5, []
     for _ in range(rounds):
@@ -181,7 +185,7 @@ def expectation_maximisation(patterns: list[tuple[tuple[int, ...], int]], rounds
         post = []
         for votes, _ in patterns:
             odds = math.log(prior / (1 - prior)) + sum(math.log(t[v][0] / t[v][1]) for t, v in zip(tables, votes) if v)
-            post.append(1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
+            post.append(1.0 if votes in known else 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
     return prior, tables, post
 
 
@@ -233,7 +237,7 @@ def fit(docs: DataFrame) -> Model | None:
         key = tuple(r["votes"])
         votes[key] = votes.get(key, 0) + r["count"]
     patterns = sorted(votes.items())
-    prior, tables, post = expectation_maximisation(patterns)
+    prior, tables, post = expectation_maximisation(patterns, known=frozenset(v for v, _ in patterns if v[0] > 0))
     belief = dict(zip((v for v, _ in patterns), post))
     rows = [([float(r["bits"] >> i & 1) for i in range(FEATURES)], belief[tuple(r["votes"])], float(r["count"])) for r in counted]
     return Model(dict(zip(LABELERS, tables)), prior, tuple(round(w, 12) for w in logistic(rows)))
@@ -252,27 +256,27 @@ def _named(kind: str, spans: Column) -> Column:
                                                  F.lit(kind).alias("kind")))
 
 
-def find(docs: DataFrame, model: Model | None) -> DataFrame:
+def find(docs: DataFrame, model: Model | None, base_as: str = "base_spans", spans_as: str = "spans") -> DataFrame:
     """All columns of ``docs`` and ``base_spans``, ``spans``: sorted arrays of (start, order, end, kind).
 
     Offsets are code points of the whole text, ends exclusive; a null text has no spans.
     Added spans touch no base span nor an added one before them.  Columns of the two names are replaced.
     """
-    docs = docs.drop("base_spans", "spans")
+    docs = docs.drop(base_as, spans_as)
     text = F.coalesce("text", F.lit(""))
     base = base_spans(text)
-    found = docs.withColumn("base_spans", F.array_sort(F.concat(*(_named(k, base[k]) for k in KINDS))))
+    found = docs.withColumn(base_as, F.array_sort(F.concat(*(_named(k, base[k]) for k in KINDS))))
     if model is None:
-        return found.withColumn("spans", F.col("base_spans"))
+        return found.withColumn(spans_as, F.col(base_as))
     wider = _candidates(text)
 
     def accepted(kind: str) -> Column:
         return _named(kind, F.filter(wider[kind], lambda s: _accepted(model, kind, s)))
     proposed = F.concat(*map(accepted, KINDS))
-    free = F.filter(proposed, lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = F.filter(proposed, lambda s: ~F.exists(base_as, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     apart = F.aggregate(F.array_sort(free), F.slice(free, 1, 0), lambda acc, s: F.when(
         F.exists(acc, lambda a: s["start"] < a["end"]), acc).otherwise(F.array_append(acc, s)))
-    return found.withColumn("spans", F.array_sort(F.concat("base_spans", apart)))
+    return found.withColumn(spans_as, F.array_sort(F.concat(base_as, apart)))
 
 
 def joined(spans: str) -> Column:
@@ -286,13 +290,13 @@ def redact(docs: DataFrame) -> DataFrame:
     Of overlapping spans (an address inside a phone number) the first is replaced and the rest
     of a later one is cut with it.  Null texts stay null; other columns are returned as they came.
     """
-    found = find(docs, fit(docs))
+    found = find(docs, fit(docs), "__base", "__spans")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.substr(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         mark = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, mark).alias("out"))
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.aggregate(
-        "spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1))))
+    text = F.when(F.size("__spans") == 0, F.col("text")).otherwise(F.aggregate(
+        "__spans", start, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1))))
     return with_text(found.withColumn("__text", text), "__text", docs)

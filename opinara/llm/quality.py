@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import BLOBS, blobs, labelled, saved, span_hasher, summed, text_slices, word_spans
 
@@ -164,13 +165,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(centre, model.scale, model.weights, knots, values)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, score_as: str = "quality_score", accepted_as: str = "accepted") -> DataFrame:
     """All columns of ``docs`` and ``quality_score`` (0 to 1); ``accepted`` marks scores of 0.7 or more.
 
     Null texts count as empty; rows are never joined, so repeated ids and null ids are scored
     one by one.  Columns of those two names in ``docs`` are replaced.
     """
-    docs = docs.drop("quality_score", "accepted")
+    docs = docs.drop(score_as, accepted_as)
     schema = docs.schema
     at = docs.columns.index("text")
 
@@ -178,17 +179,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = [model.scores(statistics(data, bounds)) for _, _, data, bounds in text_slices(batch.column(at))]
             scores = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "quality_score"])
-    scored = docs.mapInArrow(run, _extended(schema))
-    return scored.withColumn("accepted", F.col("quality_score") >= ACCEPTED)
-
-
-def _extended(schema):
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
-    return StructType([*schema.fields, StructField("quality_score", DoubleType())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, score_as])
+    scored = docs.mapInArrow(run, StructType([*schema.fields, StructField(score_as, DoubleType())]))
+    return scored.withColumn(accepted_as, F.col(score_as) >= ACCEPTED)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the classifier rejects; columns as they came."""
-    return score(docs, fit(docs, labels)).where("accepted").select(*docs.columns)
+    return score(docs, fit(docs, labels), "__score", "__accepted").where("__accepted").select(*docs.columns)
