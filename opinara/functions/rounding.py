@@ -33,4 +33,6 @@ def py_round(x: Column | str, digits: int) -> Column:
     up = (F.when(distance > 0, F.lit(1)).when(distance < 0, F.lit(0))
           .otherwise(F.pmod(low, F.lit(2))))
     rounded = (low + up).cast("double") / F.lit(float(scale))
-    return F.when(F.isnan(x) | (F.abs(x) >= F.lit(1e12)), x).otherwise(rounded)
+    # From 1e12 on the steps above are no longer exact; a double there has few binary places left,
+    # so its shortest decimal text decides.
+    return F.when(F.isnan(x), x).when(F.abs(x) >= F.lit(1e12), F.bround(x, digits)).otherwise(rounded)

@@ -154,10 +154,14 @@ def subject_key(proxy: Column | str, display: Column | str) -> Column:
 
 def resolver_key(text: Column | str) -> Column:
     """What the user typed, as the lookup key of the subject dimension."""
-    return F.lower(F.regexp_replace(_col(text), r"^\s+|\s+$", ""))
+    from opinara.functions.text import strip
+
+    return F.lower(strip(_col(text)))
 
 
 def client_key(forwarded: Column | str, peer: Column | str) -> Column:
     """First forwarded address, else the socket peer, else ``unknown``."""
-    first = F.trim(F.split(_col(forwarded), ",", 2)[0])
+    from opinara.functions.text import strip
+
+    first = strip(F.split(_col(forwarded), ",", 2)[0])
     return F.coalesce(F.nullif(first, F.lit("")), _col(peer), F.lit("unknown"))

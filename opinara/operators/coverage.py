@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opinara import config
+from opinara.functions.text import strip
 
 BUCKETS = ("rich", "ok", "thin", "empty", "error")
 
@@ -95,7 +96,7 @@ def with_display(df: DataFrame, dim: DataFrame, key: str = "subject") -> DataFra
 
 def requested_basket(requested: DataFrame, known: DataFrame) -> DataFrame:
     """Requested tickers with their search phrase, the ticker itself when unknown."""
-    wanted = requested.select(F.upper(F.trim("ticker")).alias("ticker")).distinct()
+    wanted = requested.select(F.upper(strip("ticker")).alias("ticker")).distinct()
     return wanted.join(known, "ticker", "left").withColumn("query", F.coalesce("query", "ticker"))
 
 

@@ -73,8 +73,8 @@ def headline(weighted_items: DataFrame) -> DataFrame:
 
 # --- lists ------------------------------------------------------------------------------------
 def _encounter() -> Column:
-    """Item order and list position as one number; lists hold fewer than 65,536 entries."""
-    return F.shiftleft(F.col("ingest_seq").cast("bigint"), 16) + F.col("_pos")
+    """Item order, then list position."""
+    return F.struct("ingest_seq", "_pos")
 
 
 def ticker_consensus(weighted_items: DataFrame) -> DataFrame:

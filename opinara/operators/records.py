@@ -20,10 +20,12 @@ def engagement(score: Column | str) -> Column:
 
 
 def json_engagement(payload: Column | str, path: str = "$.score") -> Column:
-    """Engagement out of a JSON metadata text; a quoted number is text and counts 0."""
-    field = path.rsplit(".", 1)[-1]
-    quoted = _col(payload).rlike(rf'"{field}"\s*:\s*"')
-    return F.when(quoted, F.lit(0).cast("bigint")).otherwise(engagement(F.get_json_object(_col(payload), path)))
+    """Engagement out of a JSON metadata text; only a number or a truth value (1 or 0) counts."""
+    document = F.try_parse_json(_col(payload))
+    kind = F.schema_of_variant(F.try_variant_get(document, path, "variant"))
+    text = F.try_variant_get(document, path, "string")
+    return (F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), engagement(text))
+            .when(kind == "BOOLEAN", (text == "true").cast("bigint")).otherwise(F.lit(0).cast("bigint")))
 
 
 def normalize(raw: DataFrame) -> DataFrame:

@@ -36,10 +36,29 @@ def sentiment_requests(items: DataFrame, index: str = "idx") -> DataFrame:
 
 
 # --- responses -----------------------------------------------------------------------------
-def _python_int(text: Column) -> Column:
-    """``int(value)`` of a JSON value given as text: a number is cut, quoted digits are read."""
-    whole = F.when(strip(text).rlike(r"^[+-]?\d+$"), strip(text).try_cast("int"))
-    return F.coalesce(whole, F.when(text.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), text.try_cast("double").try_cast("int")))
+def _field(document: str, name: str) -> tuple[Column, Column]:
+    """Type and text of a field of a JSON document; both null where it is missing."""
+    value = F.try_variant_get(F.col(document), f"$.{name}", "variant")
+    return F.schema_of_variant(value), F.try_variant_get(F.col(document), f"$.{name}", "string")
+
+
+NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
+
+
+def _python_int(kind: Column, text: Column) -> Column:
+    """``int(value)`` of a JSON value: a number is cut, quoted whole numbers are read, true is 1."""
+    return (F.when(kind.rlike(NUMBERS), text.try_cast("double").try_cast("int"))
+            .when((kind == "STRING") & strip(text).rlike(r"^[+-]?\d+$"), strip(text).try_cast("int"))
+            .when(kind == "BOOLEAN", (text == "true").cast("int")))
+
+
+def _python_truth(document: str, name: str) -> Column:
+    """Whether a JSON value counts as true: not null, false, zero, nor an empty text, list or object."""
+    kind, text = _field(document, name)
+    whole = F.to_json(F.try_variant_get(F.col(document), f"$.{name}", "variant"))
+    return F.coalesce(F.when(kind == "BOOLEAN", text == "true").when(kind == "STRING", text != "")
+                      .when(kind.rlike(NUMBERS), text.try_cast("double") != 0).when(kind == "VOID", F.lit(False))
+                      .otherwise(~whole.isin("[]", "{}")), F.lit(False))
 
 
 def parse_stance(responses: DataFrame, body: str = "body", prefill: str = "") -> DataFrame:
@@ -47,15 +66,12 @@ def parse_stance(responses: DataFrame, body: str = "body", prefill: str = "") ->
 
     ``prefill`` is text the model was made to start with and that its answer therefore lacks.
     """
-    kind = "struct<relevant:string,score:string,rationale:string>"
     body = F.concat(F.lit(prefill), F.col(body))
-    parsed = F.from_json(body, kind)
-    truthy = F.coalesce(~F.lower(F.col("_p.relevant")).isin("false", "0", "0.0", "", "null"), F.lit(False))
     failed = F.col("error_class").isNotNull() if "error_class" in responses.columns else F.lit(False)
-    well_formed = F.try_parse_json(body).isNotNull() & F.coalesce(F.trim(body).startswith("{"), F.lit(False))
-    return (responses.withColumn("_p", F.when(well_formed, parsed))
-            .withColumn("relevant", truthy).withColumn("score", _python_int(F.col("_p.score")))
-            .withColumn("rationale", F.coalesce("_p.rationale", F.lit("")))
+    an_object = F.coalesce(strip(body).startswith("{"), F.lit(False))
+    return (responses.withColumn("_p", F.when(an_object, F.try_parse_json(body)))
+            .withColumn("relevant", _python_truth("_p", "relevant")).withColumn("score", _python_int(*_field("_p", "score")))
+            .withColumn("rationale", F.coalesce(_field("_p", "rationale")[1], F.lit("")))
             .withColumn("drop_reason",
                         F.when(failed, "error").when(F.col("_p").isNull(), "unparseable")
                         .when(~F.col("relevant"), "irrelevant").when(F.col("score").isNull(), "no score"))

@@ -28,8 +28,13 @@ def _packed_subjects(pairs: DataFrame) -> DataFrame:
                     F.transform("s", lambda e: e["y"] - F.col("_my")).alias("dy")))
 
 
+#: Iterations that share one generator.  Fixed, so that the numbers drawn do not depend on how
+#: the iterations are spread.
+PER_GENERATOR = 64
+
+
 def _sums_by_generator(work: DataFrame, iters: int, per_block: int, seed: int) -> DataFrame:
-    """Shuffles from numpy's counter-based generator, keyed by (seed, subject, block)."""
+    """Shuffles from numpy's counter-based generator, keyed by (seed, subject, iteration // 64)."""
     def sums(batches):
         import numpy as np
         import pandas as pd
@@ -40,13 +45,12 @@ def _sums_by_generator(work: DataFrame, iters: int, per_block: int, seed: int) -
                 dx, dy = np.asarray(dx, float), np.asarray(dy, float)
                 if block == 0:
                     observed += (dx @ dy, dx @ dx, dy @ dy)
-                n = min((block + 1) * per_block, iters) - block * per_block
-                if n > 0:
-                    rng = np.random.Generator(np.random.Philox(key=[(int(key) ^ seed) & (2**64 - 1), int(block)]))
-                    totals[block] = totals.get(block, 0.0) + rng.permuted(np.tile(dy, (n, 1)), axis=1) @ dx
+                for first in range(block * per_block, min((block + 1) * per_block, iters), PER_GENERATOR):
+                    n = min(PER_GENERATOR, iters - first)
+                    rng = np.random.Generator(np.random.Philox(key=[(int(key) ^ seed) & (2**64 - 1), first // PER_GENERATOR]))
+                    totals[first] = totals.get(first, 0.0) + rng.permuted(np.tile(dy, (n, 1)), axis=1) @ dx
             yield pd.DataFrame({"iter": [-1], "sxy": observed[0], "sxx": observed[1], "syy": observed[2]})
-            for block, sxy in totals.items():
-                first = block * per_block
+            for first, sxy in totals.items():
                 yield pd.DataFrame({"iter": np.arange(first, first + len(sxy)), "sxy": sxy, "sxx": 0.0, "syy": 0.0})
     keyed = work.select(F.xxhash64("subject").alias("key"), "block", "dx", "dy")
     return keyed.mapInPandas(sums, "iter bigint, sxy double, sxx double, syy double")
@@ -68,11 +72,10 @@ def _sums_by_digest(work: DataFrame, iters: int, per_block: int, seed: int) -> D
 
 
 def _blocks_for(pairs: DataFrame, iters: int) -> tuple[int, int]:
-    """Blocks of iterations, and partitions: many subjects need no splitting of iterations."""
+    """Blocks of iterations, and partitions.  Both only spread the work; no number depends on them."""
     tasks = 4 * pairs.sparkSession.sparkContext.defaultParallelism
-    subjects = max(1, pairs.select("subject").distinct().count())
-    blocks = max(1, min(iters, -(-tasks // subjects)))
-    return blocks, min(tasks, subjects * blocks)
+    blocks = max(1, min(-(-iters // PER_GENERATOR), 16))
+    return blocks, tasks
 
 
 def permutation_test(pairs: DataFrame, iters: int, seed: int = 42, blocks: int | None = None,
@@ -80,16 +83,17 @@ def permutation_test(pairs: DataFrame, iters: int, seed: int = 42, blocks: int |
     """Two-sided permutation p of the pooled r; returns are shuffled within their subject.
 
     Shuffling changes neither sxx nor syy, so an iteration only needs sxy.  A subject's series
-    is packed into one row; when subjects are few, iterations are also spread as blocks.  The number
-    of partitions is fixed because the work lies in the iterations, not in the bytes.  What is
+    is packed into one row and its iterations are spread as blocks; p is the same for any number
+    of blocks, partitions and cores.  The number of partitions is fixed because the work lies in the iterations, not in the bytes.  What is
     exchanged between tasks is one partial sum per iteration and task.  Iteration -1 is the
     observed order, so one pass over the pairs gives both sides of the comparison.
     """
     sums_of = {"generator": _sums_by_generator, "digest": _sums_by_digest}[method]
     blocks, partitions = _blocks_for(pairs, iters) if blocks is None else (max(1, min(blocks, iters)), blocks)
+    per_block = PER_GENERATOR * -(-iters // (blocks * PER_GENERATOR)) if method == "generator" else -(-iters // blocks)
     work = (_packed_subjects(pairs).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
             .repartition(partitions, "subject", "block"))
-    per_iter = sums_of(work, iters, -(-iters // blocks), seed).groupBy("iter").agg(
+    per_iter = sums_of(work, iters, per_block, seed).groupBy("iter").agg(
         F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"), F.sum("syy").alias("syy"))
     observed = F.col("iter") < 0
     # One number per iteration: bounded by ``iters``.
@@ -97,7 +101,7 @@ def permutation_test(pairs: DataFrame, iters: int, seed: int = 42, blocks: int |
                          F.max(F.when(observed, F.sqrt("sxx") * F.sqrt("syy"))).alias("scale"),
                          F.collect_list(F.when(~observed, F.col("sxy"))).alias("null"))
     r = F.try_divide("sxy", "scale")
-    hits = F.size(F.filter("null", lambda v: F.abs(v / F.col("scale")) >= F.abs(F.col("r0"))))
+    hits = F.size(F.filter("null", lambda v: F.abs(v / F.col("scale")) >= F.abs(F.col("r0")) - F.lit(1e-12)))
     return (whole.withColumn("r0", r)
             .select(F.coalesce("r0", F.lit(0.0)).alias("r"), F.lit(iters).alias("iters"),
                     F.when(F.col("r0").isNull(), 0).otherwise(hits).cast("bigint").alias("hits"), F.col("r0"))

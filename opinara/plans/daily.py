@@ -7,12 +7,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from opinara.operators.daily import daily_consensus
 from opinara.operators.records import normalize
 from opinara.operators.scoring import custom_id, parse_sentiment, require_working_scorer, sentiment_requests
-from opinara.operators.significance import dense_index
 
 
 def numbered(canonical: DataFrame) -> DataFrame:
-    """Records with a dense request number; ``ingest_seq`` must be unique in the batch."""
-    return dense_index(canonical, "ingest_seq")
+    """Records with their request number.
+
+    That is ``ingest_seq``, which ``sources.feeds`` derives from file and position: evaluating
+    the plan again, or with another partitioning, gives every record its number again.
+    """
+    return canonical.withColumn("idx", F.col("ingest_seq"))
 
 
 def scored_records(canonical: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -19,6 +19,9 @@ SESSION_CONF = {
 }
 
 
+_local_dirs: dict[str, str] = {}
+
+
 def ship_functions() -> None:
     """Let Python workers run this package's functions without having it installed.
 
@@ -57,15 +60,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only when nothing is configured (unit tests) is a local folder made and set.
+    Where nothing is configured, a local master gets a folder of its own; a cluster has to name one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    made = tempfile.mkdtemp(prefix="opinara-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if context.applicationId not in _local_dirs:
+        _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="opinara-")
+    return _local_dirs[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,8 @@ column), ``read_*`` reads files.  Both end in the same record shape (``schemas.R
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from opinara import config
@@ -54,8 +56,23 @@ def _record(df: DataFrame, source_type, title, text, url, ts, metadata=None, seq
 
 
 def _ordered(order: str, position: str) -> Column:
-    """One sortable number out of payload order and position within the payload."""
-    return (F.shiftleft(F.col(order).cast("bigint"), 20) + F.col(position)).alias("ingest_seq")
+    """One sortable number out of payload order (below 2^32) and position within the payload."""
+    return (F.shiftleft(F.col(order).cast("bigint"), POSITION_BITS) + F.col(position)).alias("ingest_seq")
+
+
+# Positions in a file or page are ints; the file's place among all files stands above them.
+POSITION_BITS = 31
+
+
+def _files_in_order(spark: SparkSession, rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` (with their ``_path``) and the place of that file by path.
+
+    The list of paths is what the driver has planned the scan from; contents are not looked at.
+    """
+    # an empty authority is written file:/// in one place and file:/ in the other
+    paths = sorted({re.sub("^([^:/]+):///", r"\1:/", p) for p in rows.inputFiles()})
+    places = spark.createDataFrame(list(zip(paths, range(len(paths)))), f"_path string, {column} bigint")
+    return rows.withColumn("_path", F.regexp_replace("_path", "^([^:/]+):///", "$1:/")).join(places, "_path").drop("_path")
 
 
 # --- forum listing (JSON) -----------------------------------------------------------------
@@ -83,12 +100,10 @@ def read_search_hits(spark: SparkSession, path: str, source: str = "hackernews")
 
 
 def _read_pages(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """One row per JSON file, numbered in scan order (split number, then file in the split)."""
-    scan_id = F.monotonically_increasing_id()
-    in_split = scan_id.bitwiseAND(F.lit((1 << 20) - 1))
-    return (spark.read.text(path, wholetext=True)
-            .select(F.lit(source).alias("source"), F.col("value").alias("payload"),
-                    (F.shiftleft(F.shiftright(scan_id, 33), 20) + in_split).alias("payload_seq")))
+    """One row per JSON file, numbered by path: pages must be named in their order."""
+    pages = spark.read.text(path, wholetext=True).select(
+        F.lit(source).alias("source"), F.col("value").alias("payload"), F.col("_metadata.file_path").alias("_path"))
+    return _files_in_order(spark, pages, "payload_seq")
 
 
 # --- search hits (JSON) ---------------------------------------------------------------------
@@ -134,8 +149,14 @@ def parse_atom_entries(entries: DataFrame, payload: str = "payload", source: str
     """One paper ``<entry>`` per row; title and abstract are collapsed to one line."""
     rows = _feed_rows(entries.select(F.col(source).alias("source"), F.col(order).alias("ingest_seq"),
                                      F.col(payload).alias("payload")), "payload", ATOM_ENTRY_SCHEMA)
-    title, abstract = collapse_space("_e.title"), collapse_space("_e.summary")
-    return _record(rows, None, title, _text_or(abstract, title), _atom_link(), feed_date("_e.published"))
+    return _atom_records(rows)
+
+
+def _atom_records(rows: DataFrame) -> DataFrame:
+    """Text is the summary, else the content, else the title."""
+    title = collapse_space("_e.title")
+    text = _text_or(collapse_space("_e.summary"), _text_or(collapse_space("_e.content"), title))
+    return _record(rows, None, title, text, _atom_link(), feed_date("_e.published"))
 
 
 def _atom_link() -> Column:
@@ -150,6 +171,10 @@ def parse_forum_search(entries: DataFrame, payload: str = "payload", source: str
     """Forum search entries (Atom, HTML body): tagged ``crowd``, first entry per link wins."""
     rows = _feed_rows(entries.select(F.col(source).alias("source"), F.col(order).alias("ingest_seq"),
                                      F.col(payload).alias("payload")), "payload", ATOM_ENTRY_SCHEMA)
+    return _forum_search_records(rows)
+
+
+def _forum_search_records(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("_link", F.coalesce(_atom_link(), F.lit("")))
     first = Window.partitionBy("_link").orderBy("ingest_seq")
     rows = rows.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1")
@@ -159,11 +184,14 @@ def parse_forum_search(entries: DataFrame, payload: str = "payload", source: str
 
 
 def read_feed_elements(spark: SparkSession, path: str, row_tag: str, source: str, schema: str) -> DataFrame:
-    """Feed files through the XML source; rows keep their file order in ``ingest_seq``."""
+    """Feed files through the XML source; ``ingest_seq`` orders rows by file path and position in the file."""
     inner = F.struct(*[F.col(f"`{name}`") for name in _struct_type(schema).fieldNames()])
-    return (spark.read.format("xml").option("rowTag", row_tag).schema(_struct_type(schema)).load(path)
-            .select(F.lit(source).alias("source"), inner.alias("_e"),
-                    F.monotonically_increasing_id().alias("ingest_seq")))
+    rows = (spark.read.format("xml").option("rowTag", row_tag).schema(_struct_type(schema)).load(path)
+            .select(F.lit(source).alias("source"), inner.alias("_e"), F.col("_metadata.file_path").alias("_path"),
+                    F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_scan")))
+    in_file = Window.partitionBy("_file").orderBy("_block", "_scan")
+    placed = _files_in_order(spark, rows, "_file").withColumn("_at", F.row_number().over(in_file) - 1)
+    return placed.select("source", "_e", _ordered("_file", "_at"))
 
 
 def _struct_type(schema: str):
@@ -178,9 +206,11 @@ def read_rss(spark: SparkSession, path: str, source: str) -> DataFrame:
 
 
 def read_atom(spark: SparkSession, path: str, source: str) -> DataFrame:
-    rows = read_feed_elements(spark, path, "entry", source, ATOM_ENTRY_SCHEMA)
-    title, abstract = collapse_space("_e.title"), collapse_space("_e.summary")
-    return _record(rows, None, title, _text_or(abstract, title), _atom_link(), feed_date("_e.published"))
+    return _atom_records(read_feed_elements(spark, path, "entry", source, ATOM_ENTRY_SCHEMA))
+
+
+def read_forum_search(spark: SparkSession, path: str, source: str) -> DataFrame:
+    return _forum_search_records(read_feed_elements(spark, path, "entry", source, ATOM_ENTRY_SCHEMA))
 
 
 # --- podcast feeds --------------------------------------------------------------------------------
@@ -217,10 +247,17 @@ def read_podcast_feed(spark: SparkSession, path: str, show: str, show_idx: int =
     return _episodes(rows, limit)
 
 
+def read_podcast_feeds(spark: SparkSession, shows: list[tuple[str, str]], limit: int | None = 40) -> DataFrame:
+    """Episodes of many shows, ``(path, show)`` in order of precedence; a path with no files adds nothing."""
+    parts = [read_podcast_feed(spark, path, show, i, limit) for i, (path, show) in enumerate(shows) if _exists(spark, path)]
+    return union_sources(parts) if parts else parse_podcast_items(
+        spark.createDataFrame([], "show string, show_idx int, feed_idx bigint, payload string"))
+
+
 # --- registry ----------------------------------------------------------------------------------------
 # Name -> reader(spark, path, source) returning schemas.RAW_RECORD.  Users add their own.
 READERS = {"forum_listing": read_forum_listing, "search_hits": read_search_hits,
-           "rss": read_rss, "atom": read_atom}
+           "rss": read_rss, "atom": read_atom, "forum_search": read_forum_search}
 
 
 def register_reader(name: str, reader) -> None:
@@ -237,11 +274,19 @@ def union_sources(parts: list[DataFrame | None]) -> DataFrame | None:
 
 
 def read_sources(spark: SparkSession, landed: list[tuple[str, str, str]]) -> DataFrame:
-    """Union of ``(reader, path, source)`` entries; a path with no files adds nothing."""
+    """Union of ``(reader, path, source)`` entries; a path with no files adds nothing.
+
+    ``ingest_seq`` is unique over all sources and follows their order: each source's numbers
+    start above the files of the sources before it.
+    """
     from opinara import schemas
 
-    parts = [READERS[reader](spark, path, source) if _exists(spark, path) else None
-             for reader, path, source in landed]
+    parts, files = [], 0
+    for reader, path, source in landed:
+        if _exists(spark, path):
+            part = READERS[reader](spark, path, source)
+            parts.append(part.withColumn("ingest_seq", F.col("ingest_seq") + F.lit(files << POSITION_BITS)))
+            files += len(part.inputFiles())
     out = union_sources(parts)
     return spark.createDataFrame([], schemas.RAW_RECORD) if out is None else out
 

@@ -78,13 +78,15 @@ def test_nightly_ingest_and_refresh(spark, tmp_path, podcast):
 def test_daily_from_raw_to_row(spark, tmp_path):
     raw = [("news:x", None, f"t{i}", "body " * 200, "", T0 + timedelta(hours=i), (float(i), None, None, None, None), i * 7) for i in range(5)]
     canonical, requests = daily.requests_for(spark.createDataFrame(raw, schemas.RAW_RECORD))
-    assert sorted(r.custom_id for r in requests.collect()) == [f"item-{i}" for i in range(5)]
+    assert sorted(r.custom_id for r in requests.collect()) == sorted(f"item-{i * 7}" for i in range(5))
     body = json.dumps({"sentiment_score": 3.0, "tickers": ["a"], "themes": ["x"], "bull_signals": [], "bear_signals": ["b"]})
-    landed = spark.createDataFrame([(f"item-{i}", body if i else "garbage", None) for i in range(4)], schemas.RESPONSE)
+    landed = spark.createDataFrame([(f"item-{i * 7}", body if i else "garbage", None) for i in range(4)], schemas.RESPONSE)
     out = daily.daily_row(canonical, landed, F.lit("2024-01-01").cast("date")).first()
     assert out.item_count == 3 and out.consensus_score == 1.0 and out.confidence == "single-source" and out.tickers[0].mentions == 3
     _, dropped = daily.scored_records(canonical, landed)
     assert rows(dropped, "drop_reason") == [("missing",), ("unparseable",)]
+    again, _ = daily.requests_for(spark.createDataFrame(raw, schemas.RAW_RECORD).repartition(3))
+    assert rows(again, "idx", "title") == rows(canonical, "idx", "title")
 
 
 def test_study_significance(spark):

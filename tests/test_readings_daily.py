@@ -150,3 +150,13 @@ def test_confidence_needs_two_directional_tiers(spark):
         rs = [(T0.date(), i, t, T0, 0, 0.5, [], [], [], []) for i, t in enumerate(tiers)]
         return D.daily_consensus(spark.createDataFrame(rs, SCORED)).first().confidence
     assert confidence(2, 3) == "high" and confidence(2, 1) == "single-source" and confidence(1) == "none"
+
+
+def test_order_of_lists_holds_for_large_numbers(spark):
+    """Item numbers above 2^47 and of far apart files keep their order."""
+    from opinara.operators.daily import distinct_signals
+
+    rows_ = [(2**62 + 5, ["late", "Early"]), (2**48 + 1, ["early", "mid"]), (3, ["first"])]
+    df = spark.createDataFrame(rows_, "ingest_seq bigint, bull_signals array<string>").withColumn("run_date", F.lit("2024-01-01").cast("date"))
+    got = [r.signal for r in distinct_signals(df, "bull_signals").orderBy("rank").collect()]
+    assert got == ["first", "early", "mid", "late"]

@@ -70,3 +70,20 @@ def test_word_count_matches_split(spark):
     texts = ["a b  c", "", " \t", "x y z", "one two\nthree", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(X.word_count("t")).collect()] == [len((t or "").split()) for t in texts]
+
+
+def test_rounding_of_large_numbers(spark):
+    from opinara.functions.rounding import py_round
+
+    values = [1e12 + 0.26, -1e12 - 0.26, 123456789012345.67, 9e14 + 0.5, 1e15 + 0.3, 5e18]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 1, 2):
+        assert [r[0] for r in df.select(py_round("x", digits)).collect()] == [round(v, digits) for v in values]
+
+
+def test_keys_are_stripped_of_unicode_blanks(spark):
+    from opinara.functions.scalars import client_key, resolver_key
+
+    row = spark.createDataFrame([("\u00a0\u3000 NVDA\u2003", "\u00a01.2.3.4 , x")], "t string, f string").select(
+        resolver_key("t").alias("t"), client_key("f", "f").alias("c")).first()
+    assert (row.t, row.c) == ("nvda", "1.2.3.4")

@@ -68,3 +68,22 @@ def test_request_text(spark):
     df = spark.createDataFrame([(7, "Nvidia", "T", "x" * 2000)], "idx int, display string, title string, text string")
     r = C.stance_requests(df).first()
     assert r.custom_id == "item-7" and r.content == "SUBJECT: Nvidia\n\nPOST TITLE: T\n\nPOST BODY: " + "x" * 1500
+
+
+def test_python_rules_of_truth_and_int(spark):
+    cases = [("true", "5", 5), ('"false"', "5", 5), ("[]", "5", None), ("{}", "5", None), ("[0]", "5", 5), ("0", "5", None), ("0.5", "5", 5),
+             ('""', "5", None), ("null", "5", None), ("true", '"42"', 42), ("true", '" 42 "', 42), ("true", '"42.7"', None), ("true", "42.7", 42),
+             ("true", "-42.7", -42), ("true", "true", 1), ("true", "false", 0), ("true", "null", None), ("true", "[1]", None), ("1", "1e2", 100)]
+    bodies = [f'{{"relevant": {r}, "score": {s}}}' for r, s, _ in cases]
+    df = spark.createDataFrame([(f"{i:02}", b, None) for i, b in enumerate(bodies)], "custom_id string, body string, error_class string")
+    out = C.parse_stance(df).orderBy("custom_id").collect()
+    assert [r.score if r.drop_reason is None else None for r in out] == [want for *_, want in cases]
+
+
+def test_engagement_goes_by_json_type(spark):
+    from opinara.operators.records import json_engagement
+
+    cases = [('{"post": {"score": "a"}, "score": 5}', 5), ('{"score": "7"}', 0), ('{"score": 7.9}', 7), ('{"score": -7.9}', -7), ('{"score": true}', 1),
+             ('{"score": null}', 0), ("{}", 0), ("no json", 0), (None, 0), ('{"score": [3]}', 0)]
+    df = spark.createDataFrame(list(enumerate(p for p, _ in cases)), "i int, p string").select("i", json_engagement("p").alias("e"))
+    assert [r.e for r in df.orderBy("i").collect()] == [e for _, e in cases]

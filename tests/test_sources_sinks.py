@@ -116,3 +116,26 @@ def test_seed_only_once(spark, tmp_path):
     path = f"{tmp_path}/seed"
     assert sinks.seed_if_absent(spark, path, spark.range(3)) and not sinks.seed_if_absent(spark, path, spark.range(9))
     assert spark.read.parquet(path).count() == 3
+
+
+def test_read_order_follows_file_names_over_all_sources(spark, tmp_path):
+    folder = tmp_path / "a b é"
+    folder.mkdir()
+    for name, n in (("p10", 3), ("p2", 2), ("p0", 1)):
+        items = "".join(f"<item><title>{name}-{k}</title><link>http://x/{name}{k}</link></item>" for k in range(n * 30))
+        (folder / f"{name} x%.xml").write_text(f"<rss><channel>{items}</channel></rss>")
+        hits = ",".join(f'{{"objectID": "{k}", "title": "{name}"}}' for k in range(3))
+        (folder / f"{name}.json").write_text(f'{{"hits": [{hits}]}}')
+    landed = [("rss", f"{folder}/*.xml", "s1"), ("search_hits", f"{folder}/*.json", "hn"), ("rss", f"{folder}/*.xml", "s2"),
+              ("atom", f"{folder}/none*", "absent")]
+    got = [(r.source, r.title) for r in feeds.read_sources(spark, landed).orderBy("ingest_seq").collect()]
+    elements = [f"{name}-{k}" for name, n in (("p0", 1), ("p10", 3), ("p2", 2)) for k in range(n * 30)]
+    assert got == [("s1", t) for t in elements] + [("hn", "p0")] * 3 + [("s2", t) for t in elements]
+    assert feeds.read_sources(spark, landed).select("ingest_seq").distinct().count() == len(got)
+
+
+def test_atom_text_is_summary_else_content_else_title(spark):
+    entries = [("a", 0, "<entry><title>T</title><content>C</content></entry>"),
+               ("a", 1, "<entry><title>T</title><summary>S</summary><content>C</content></entry>"), ("a", 2, "<entry><title>T</title></entry>")]
+    df = spark.createDataFrame(entries, "source string, ingest_seq bigint, payload string")
+    assert [r.text for r in feeds.parse_atom_entries(df).orderBy("ingest_seq").collect()] == ["C", "S", "T"]

@@ -122,3 +122,12 @@ def test_signal_evaluation_against_pandas_rules(spark):
     assert abs(out.corr - np.corrcoef(s, r)[0, 1]) < 1e-12 and abs(out.hold_return - (np.prod(1 + r) - 1)) < 1e-12
     assert abs(out.strategy_return - (np.prod(1 + np.where(s > 0.05, r, 0)) - 1)) < 1e-12
     assert out.verdict in ("no edge", "possible edge", "ambiguous")
+
+
+def test_permutation_p_does_not_depend_on_the_spread(spark):
+    import random
+
+    rng = random.Random(1)
+    pairs = spark.createDataFrame([(f"s{i % 3}", f"{i:03}", rng.random(), rng.random()) for i in range(60)], PAIRS)
+    got = {G.permutation_test(pairs.repartition(n), 300, blocks=b).first().hits for n, b in ((1, 1), (4, 4), (7, 50), (3, None))}
+    assert len(got) == 1
