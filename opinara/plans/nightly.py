@@ -11,7 +11,7 @@ from opinara.operators.passages import build_passages
 from opinara.operators.readings import stale_readings
 from opinara.operators.scoring import parse_stance, require_working_scorer, score_with, stance_requests
 from opinara.operators.store import OpinionStore
-from opinara.plans.readings import compute_readings
+from opinara.plans.readings import compute_readings, query_vectors
 from opinara.session import scratch_path
 
 
@@ -53,9 +53,14 @@ def ingest(spark: SparkSession, store: OpinionStore, episodes: DataFrame, segmen
 
 
 def refresh(store: OpinionStore, subjects: DataFrame, prices: DataFrame, now: Column,
-            max_age_hours: float = config.READING_MAX_AGE_HOURS, cap: int = config.STALE_REFRESH_CAP) -> None:
-    """Recompute the stalest readings, up to ``cap`` subjects, in one job."""
+            max_age_hours: float = config.READING_MAX_AGE_HOURS, cap: int = config.STALE_REFRESH_CAP,
+            embed=None, k: int = config.SEARCH_K) -> None:
+    """Recompute the stalest readings, up to ``cap`` subjects, in one job.
+
+    With ``embed`` each reading is made from the k items closest to its subject's query.
+    """
     stale = stale_readings(store.readings(), now, max_age_hours, cap).select("subject")
     due = subjects.join(stale, "subject", "left_semi")
     items = store.items().withColumn("similarity", F.lit(0.0))
-    store.save_readings(compute_readings(due, items, prices, now))
+    queries = None if embed is None else query_vectors(due, embed)
+    store.save_readings(compute_readings(due, items, prices, now, queries=queries, k=k))

@@ -427,6 +427,7 @@ raw AS (SELECT subject, avg(score) AS m, count(*) AS volume FROM items_e WHERE s
         AND subject NOT IN (SELECT subject FROM fresh) AND subject <> 'U4' GROUP BY 1)
 SELECT subject, 'served' AS outcome, consensus_score, volume, cached FROM fresh
 UNION ALL SELECT subject, 'served', {R_('m', 1)}, volume, FALSE FROM raw
+UNION ALL SELECT DISTINCT subject, 'served', 0.0, 0, FALSE FROM known WHERE subject <> 'U4' AND subject NOT IN (SELECT subject FROM fresh) AND subject NOT IN (SELECT subject FROM raw)
 UNION ALL SELECT DISTINCT subject, 'out of scope', NULL, NULL, NULL FROM known WHERE subject = 'U4'
 UNION ALL SELECT lower(trim(text)), 'unresolved', NULL, NULL, NULL FROM asked WHERE text NOT IN (SELECT text FROM known)"""))
 def v5(spark, d):
@@ -445,6 +446,30 @@ def v5(spark, d):
             .unionByName(unresolved.select(F.col("input_key").alias("subject"), F.lit("unresolved").alias("outcome"), *none)))
 
 
+@query("v5_retrieved_readings", sql("vectors", f""",
+q AS (SELECT subject, arg_min(embedding, external_id) AS v FROM vectors GROUP BY 1),
+s AS (SELECT x.subject, x.external_id, x.external_id * 37 % 201 - 100 AS score, list_cosine_similarity(x.embedding, q.v) AS s FROM vectors x JOIN q USING (subject)),
+near AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY subject ORDER BY s DESC, external_id) <= 40),
+r AS (SELECT subject, avg(score) AS m, avg(abs(score)) AS c, stddev_pop(score) AS d, count(*) AS volume FROM near GROUP BY 1)
+SELECT subject, {R_('m', 1)} AS consensus_score, {R_('c', 1)} AS conviction, {R_('d', 1)} AS dispersion, volume,
+       least(volume, 14) AS n_citations FROM r"""))
+def v5_retrieved(spark, d):
+    """Readings made of the 40 items of each subject that are closest to its query."""
+    from opinara import schemas
+    vectors = A.vectors(spark, d)
+    first = vectors.groupBy("subject").agg(F.min("external_id").alias("external_id"))
+    queries = vectors.join(first, ["subject", "external_id"]).select("subject", F.col("embedding").alias("query_vector"))
+    items = vectors.withColumn("score", (F.col("external_id") * 37 % 201 - 100).cast("int"))
+    for field in schemas.ITEM.fields:
+        if field.name not in items.columns:
+            items = items.withColumn(field.name, F.lit(None).cast(field.dataType))
+    items = items.withColumn("source", F.lit("news")).withColumn("text", F.concat(F.lit("text "), "external_id"))
+    subjects = queries.select("subject", F.lit("P").alias("proxy"), F.col("subject").cast("string").alias("display"), F.lit("stock").alias("asset_type"))
+    prices = spark.createDataFrame([], "symbol string, period string, close double")
+    made = V.compute_readings(subjects, items, prices, _now(), queries=queries, k=40)
+    return made.select("subject", "consensus_score", "conviction", "dispersion", "volume", F.size("citations").cast("bigint").alias("n_citations"))
+
+
 @query("flagship_readings", sql(("items_e",), _PICK + f""",
 r AS (SELECT subject, avg(score) m, avg(abs(score)) c, stddev_pop(score) d, count(*) volume FROM items_e GROUP BY 1),
 q AS (SELECT subject, {R_('m', 1)} consensus_score, {R_('c', 1)} conviction, {R_('d', 1)} dispersion, volume FROM r),

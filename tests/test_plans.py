@@ -129,3 +129,56 @@ def test_token_join_has_no_cross_product(spark):
     docs = A.table(spark, SF, "documents")
     text = plan_of(count_subjects(docs, AliasSet(dim, 0)))
     assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def _items(spark, rows_):
+    df = spark.createDataFrame(rows_, "external_id string, subject string, score int, text string, ts timestamp, ingest_seq bigint")
+    for f in schemas.ITEM.fields:
+        if f.name not in df.columns:
+            df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
+    return embed.embed_hashed(df.drop("embedding").withColumn("source", F.lit("news:x")))
+
+
+def test_readings_come_from_the_closest_items(spark):
+    from opinara.plans import readings as V
+
+    near = [(f"n{i}", "NVDA", 100, "Nvidia chips", T0, i) for i in range(40)]
+    far = [(f"f{i}", "NVDA", -100, "gardening tips", T0, 100 + i) for i in range(60)]
+    items = _items(spark, near + far)
+    dim = spark.createDataFrame([("nvidia", "Nvidia chips", "stock", True, "NVDA"), ("empty", "Empty", "stock", True, "NONE"), ("hobby", "Hobby", None, False, None)],
+                                "input_key string, display string, asset_type string, is_financial boolean, proxy string")
+    requests = spark.createDataFrame([(" Nvidia ",), ("empty",), ("hobby",), ("who",)], "text string")
+    now = F.lit(T0 + timedelta(days=3)).cast("timestamp")
+    stored = spark.createDataFrame([], schemas.READING)
+    prices = spark.createDataFrame([("NVDA", "2024-01", 10.0)], "symbol string, period string, close double")
+    served, outside, unknown = V.answer(requests, dim, stored, items, prices, now, embed=embed.embed_hashed, k=40)
+    got = {r.subject: r for r in served.collect()}
+    assert (got["NVDA"].consensus_score, got["NVDA"].volume, got["NVDA"].cached) == (100.0, 40, False)
+    assert len(got["NVDA"].citations) == 14 and got["NVDA"].display == "Nvidia chips"
+    assert (got["NONE"].consensus_score, got["NONE"].volume, got["NONE"].label, got["NONE"].citations) == (0.0, 0, "neutral", [])
+    assert got["NONE"].display == "Empty"
+    assert outside.count() == 1 and [r.input_key for r in unknown.collect()] == ["who"]
+    fresh = served.filter("volume > 0").drop("cached")
+    again, _, _ = V.answer(requests, dim, fresh, items, prices, now, embed=embed.embed_hashed, k=40)
+    assert {r.subject: r.cached for r in again.collect()} == {"NVDA": True, "NONE": False}
+    forced, _, _ = V.answer(requests, dim, fresh, items, prices, now, embed=embed.embed_hashed, k=100, force_refresh=True)
+    assert {r.subject: (r.volume, r.cached) for r in forced.collect()} == {"NVDA": (100, False), "NONE": (0, False)}
+
+
+def test_thin_subjects_are_refilled_without_scoring_known_items(spark, tmp_path):
+    from opinara.plans import readings as V
+
+    store = OpinionStore(spark, str(tmp_path / "store"))
+    store.append_items(_items(spark, [(f"a{i}", "RICH", 1, "t", T0, i) for i in range(30)] + [("b0", "THIN", 1, "t", T0, 0)]))
+    subjects = spark.createDataFrame([("RICH", "Rich"), ("THIN", "Thin")], "subject string, display string")
+    fetched = _items(spark, [("b0", "THIN", None, "known", T0, 1), ("b1", "THIN", None, "new", T0, 2), ("b1", "THIN", None, "twice", T0, 3),
+                             (None, "THIN", None, "no key", T0, 4), ("a99", "RICH", None, "not asked", T0, 5)])
+
+    def run(model):
+        return V.refill(store, subjects, fetched, model, embed.embed_hashed)
+    with pytest.raises(scoring.ScoringFailed):
+        run(scorer("invalid key", "401"))
+    assert store.items().count() == 31
+    assert run(scorer(json.dumps({"relevant": True, "score": 7, "rationale": "r"}), None)) == 1
+    assert rows(store.items("THIN"), "external_id", "score", "text") == [("b0", 1, "t"), ("b1", 7, "new")]
+    assert V.refill(store, subjects, fetched, scorer(json.dumps({"relevant": True, "score": 7}), None), embed.embed_hashed, force=True) == 1
