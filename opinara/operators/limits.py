@@ -118,7 +118,9 @@ def daily_budget(requests: DataFrame, budget: int = config.DAILY_BUDGET) -> Data
     last = (dated.select("day", "ts", "seq").withColumn("_k", F.row_number().over(first))
             .filter(F.col("_k") <= budget).groupBy("day")
             .agg(F.max(F.struct("ts", "seq")).alias("cut")))
-    return (dated.join(last, "day").withColumn("allowed", F.struct("ts", "seq") <= F.col("cut")).drop("cut")
+    # a request without a time belongs to no day: it is handed back as not allowed
+    return (dated.join(last, "day", "left")
+            .withColumn("allowed", F.coalesce(F.struct("ts", "seq") <= F.col("cut"), F.lit(False))).drop("cut")
             .withColumn("retry_after", F.when(~F.col("allowed"), retry)))
 
 

@@ -190,15 +190,18 @@ class AliasSet:
     def _candidates_by_token(self, texts: DataFrame, text: str, doc_id: list[str]) -> DataFrame:
         """Candidate subjects per text through an equi-join of tokens and alias anchors.
 
-        The anchor of an alias is its longest token.  Only ids and distinct tokens are
-        exploded; the texts themselves join back on their id, once.
+        The anchor of an alias is its longest token, or its first sign if it has no token.
+        Only ids and distinct tokens are exploded; the texts themselves join back on their id, once.
         """
-        words = r"(?U)(\w+)"
+        words, signs = r"(?U)(\w+)", r"(?U)([^\w\s])"
         tokens = F.regexp_extract_all("alias", F.lit(words), F.lit(1))
         longest = F.array_max(F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))
-        anchors = self.alias_dim.select("subject", longest["t"].alias("_token")).filter("_token is not null").distinct()
-        doc_tokens = texts.select(*doc_id, F.explode(F.array_distinct(
-            F.regexp_extract_all(F.lower(text), F.lit(words), F.lit(1)))).alias("_token"))
+        sign = F.nullif(F.regexp_extract("alias", signs, 1), F.lit(""))
+        anchors = self.alias_dim.select("subject", F.coalesce(longest["t"], sign).alias("_token")).filter("_token is not null").distinct()
+        found = F.regexp_extract_all(F.lower(text), F.lit(words), F.lit(1))
+        if self.alias_dim.filter(longest.isNull()).limit(1).count():
+            found = F.concat(found, F.regexp_extract_all(F.lower(text), F.lit(signs), F.lit(1)))
+        doc_tokens = texts.select(*doc_id, F.explode(F.array_distinct(found)).alias("_token"))
         named = doc_tokens.join(anchors, "_token").select(*doc_id, "subject").distinct()
         return (named.join(aliases_by_subject(self.alias_dim), "subject").groupBy(*doc_id)
                 .agg(F.array_sort(F.collect_list(F.struct("subject", "aliases"))).alias("_subjects")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from opinara.operators.coverage import unseen
 from opinara.operators.store import OpinionStore
+from opinara.sources.sinks import first_wins
 
 
 def ingest_stream(episodes: DataFrame, store: OpinionStore, judge: Callable[[DataFrame], DataFrame],
@@ -22,7 +23,8 @@ def ingest_stream(episodes: DataFrame, store: OpinionStore, judge: Callable[[Dat
     changes nothing.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = unseen(batch.dropDuplicates(["guid"]), store.ledger())
+        # of several landings of an episode in one batch the first is judged
+        fresh = unseen(first_wins(batch, "guid", "landed_at"), store.ledger())
         judged = judge(fresh)
         store.mark_episodes(judged.filter("status is not null"))
 

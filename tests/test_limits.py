@@ -80,3 +80,10 @@ def test_daily_budget(spark):
     assert all(r.allowed for r in L.daily_budget(log(spark, hits), 0).collect())
     cases = spark.createDataFrame([(9, 10), (10, 10), (99, 10), (10000, 0)], "used int, budget int")
     assert [r[0] for r in cases.select(L.budget_allows("used", "budget")).collect()] == [True, False, False, True]
+
+
+def test_requests_without_a_time_are_handed_back(spark):
+    from opinara.operators.limits import daily_budget
+
+    df = spark.createDataFrame([(1, None), (2, "2024-01-01 10:00:00")], "seq bigint, t string").select("seq", F.try_to_timestamp("t").alias("ts"))
+    assert {r.seq: (r.allowed, r.retry_after) for r in daily_budget(df, 1).collect()} == {1: (False, None), 2: (True, None)}

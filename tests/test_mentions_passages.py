@@ -162,3 +162,14 @@ def test_passage_records(spark, dim):
     texts = ["filler " * 30, "Nvidia and Nvidia " + "word " * 150]
     r = G.build_passages(segs(spark, texts), M.AliasSet(dim), episodes).first()
     assert (r.external_id, r.source, r.source_type, r.url) == ("e1:NVDA:5", "Show", "podcast", "https://a/1.mp3#t=5")
+
+
+def test_both_lookups_agree_also_on_aliases_without_letters(spark):
+    rng = random.Random(3)
+    aliases = spark.createDataFrame([("PLUS", "+++", False), ("CPP", "c++", False), ("MIX", "a-b", False), ("DOT", "...", False), ("BIG", "big one", False)],
+                                    "subject string, alias string, ambiguous boolean")
+    texts = ["a+++b is it", "c++x and c++ y", "see a...b", "a-b a-b", "big one"] + [
+        "".join(rng.choice(["a", "b", "+", ".", " ", "c", "-", "big one"]) for _ in range(25)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    one, other = (rows(M.count_subjects(docs, M.AliasSet(aliases, n), strict=False)) for n in (100, 0))
+    assert one == other and any("PLUS" in r for r in one)
