@@ -10,7 +10,7 @@ from opinara.functions.rounding import py_round
 from opinara.operators import daily as D
 from opinara.operators import records as P
 from opinara.verification.registry import query
-from opinara.verification.sql_views import ODD_SPACES, py_round as R_, sql, stamp
+from opinara.verification.sql_views import ODD_SPACES, SPACE_CLASS, SPACED_LETTERS, SPACED_SQL, py_round as R_, sql, stamp
 
 
 def _date(df):
@@ -28,7 +28,7 @@ def _raw(spark, d):
         F.when(n % 9 == 0, None).otherwise(F.concat(F.element_at(F.array(*[F.lit(x) for x in ("arxiv", "news:", "reddit/r/", "blog/")]),
                                                                  (n % 4 + 1).cast("int")), "source")).alias("source"),
         F.concat(F.lit("  Document "), n, F.lit(" ")).alias("title"),
-        F.concat(F.lit(" \n"), F.translate("text", ODD_SPACES, ""), F.lit("\t ")).alias("text"),
+        F.concat(F.lit(" \n"), F.translate("text", SPACED_LETTERS, ODD_SPACES), F.lit("\t ")).alias("text"),
         F.when(n % 5 == 0, None).otherwise(F.concat(F.lit("https://doc.example/"), n)).alias("url"),
         F.lit(None).cast("timestamp").alias("ts"),
         F.struct(score.alias("score"), F.lit(None).cast("bigint").alias("num_comments"), F.lit(None).cast("double").alias("upvote_ratio"),
@@ -36,11 +36,11 @@ def _raw(spark, d):
         n.alias("ingest_seq"))
 
 
-@query("p1_normalize_records", sql(("items_e",), """,
+@query("p1_normalize_records", sql(("items_e",), f""",
 raw AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN '' ELSE CASE doc_id % 4 WHEN 0 THEN 'arxiv' WHEN 1 THEN 'news:' WHEN 2 THEN 'reddit/r/' ELSE 'blog/' END || source END AS source,
-  translate(text, chr(160) || chr(8195) || chr(8232) || chr(8233) || chr(12288) || chr(133) || chr(28) || chr(29) || chr(30) || chr(31), '') AS text FROM documents)
+  {SPACED_SQL} AS text FROM documents)
 SELECT doc_id AS ingest_seq, source, CASE WHEN starts_with(source, 'arxiv') THEN 1 WHEN starts_with(source, 'news') THEN 2 ELSE 3 END AS source_tier,
-       'Document ' || doc_id AS title, md5(substr(regexp_replace(regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+', ''), '[ \\t\\n\\r\\f\\v]+$', ''), 1, 500)) AS text_md5,
+       'Document ' || doc_id AS title, md5(substr(regexp_replace(regexp_replace(text, '^{SPACE_CLASS}+', ''), '{SPACE_CLASS}+$', ''), 1, 500)) AS text_md5,
        CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'https://doc.example/' || doc_id END AS url,
        CASE WHEN doc_id % 4 = 0 THEN 0 ELSE doc_id % 101 END AS raw_engagement FROM raw"""))
 def p1(spark, d):

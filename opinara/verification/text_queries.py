@@ -11,7 +11,7 @@ from opinara.operators import passages as G
 from opinara.sources.tables import headline_records  # noqa: F401
 from opinara.sources.transcripts import parse_transcripts
 from opinara.verification.registry import query
-from opinara.verification.sql_views import ODD_SPACES, sql
+from opinara.verification.sql_views import ODD_SPACES, SPACE_CLASS, SPACED_LETTERS, SPACED_SQL, sql
 
 # A small alias dimension in the vocabulary of the conversation table.
 ALIASES = [("S1", "the", False), ("S2", "that", False), ("S3", "with", False), ("S4", "from", False), ("S4", "for", False),
@@ -61,12 +61,13 @@ def f12(spark, d):
     return M.alias_dimension(subjects, M.asr_variants(spark)).select("subject", "alias", "n_words", "ambiguous")
 
 
-@query("f13_word_count_and_collapse", r"""
-WITH p AS (SELECT doc_id, translate(text, chr(160) || chr(8195) || chr(8232) || chr(8233) || chr(12288) || chr(133) || chr(28) || chr(29) || chr(30) || chr(31), '') AS text FROM documents)
-SELECT doc_id, len(regexp_extract_all(text, '[^ \t\n\r\f\v]+')) AS words,
-       md5(regexp_replace(regexp_replace(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), '^ ', ''), ' $', '')) AS text_md5 FROM p""")
+@query("f13_word_count_and_collapse", f"""
+WITH p AS (SELECT doc_id, {SPACED_SQL} AS text FROM documents)
+SELECT doc_id, len(regexp_extract_all(text, '[^{SPACE_CLASS[1:]}+')) AS words,
+       md5(regexp_replace(regexp_replace(regexp_replace(text, '{SPACE_CLASS}+', ' ', 'g'), '^ ', ''), ' $', '')) AS text_md5 FROM p""")
 def f13(spark, d):
-    docs = A.table(spark, d, "documents").withColumn("text", F.translate("text", ODD_SPACES, ""))
+    """Ten letters stand for ten kinds of white space that only the full class knows."""
+    docs = A.table(spark, d, "documents").withColumn("text", F.translate("text", SPACED_LETTERS, ODD_SPACES))
     return docs.select("doc_id", X.word_count("text").cast("bigint").alias("words"), _md5(X.collapse_space("text")).alias("text_md5"))
 
 
