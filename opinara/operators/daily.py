@@ -63,12 +63,16 @@ def headline(weighted_items: DataFrame) -> DataFrame:
                 F.count("_mean").alias("_tiers"),
                 F.map_from_entries(F.array_sort(F.collect_list(F.when(
                     directional, F.struct(F.col("source_tier"), py_round(mean, 4)))))).alias("tier_means")))
-    return days.select(
-        "run_date", py_round("_consensus", 4).alias("consensus_score"), daily_label("_consensus").alias("label"),
+    return days.select("run_date", *_headline_columns())
+
+
+def _headline_columns() -> list[Column | str]:
+    return [
+        py_round("_consensus", 4).alias("consensus_score"), daily_label("_consensus").alias("label"),
         (F.when(F.col("_tiers") >= 2, spread_confidence("_dispersion"))
          .when(F.col("_tiers") == 1, "single-source").otherwise("none")).alias("confidence"),
         (F.col("_dispersion") > config.CONFLICT_STDDEV).alias("contested"),
-        py_round("_dispersion", 4).alias("dispersion"), "item_count", "contributing_count", "tier_means")
+        py_round("_dispersion", 4).alias("dispersion"), "item_count", "contributing_count", "tier_means"]
 
 
 # --- lists ------------------------------------------------------------------------------------
@@ -122,21 +126,63 @@ def distinct_signals(items: DataFrame, column: str, n: int = config.TOP_SIGNALS)
             .filter(F.col("rank") <= n).select("run_date", "rank", F.col("_shown").alias("signal")))
 
 
-def _ordered_list(df: DataFrame, value: Column, name: str) -> DataFrame:
-    listed = df.groupBy("run_date").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("rank"), value.alias("v")))).alias("_a"))
-    return listed.select("run_date", F.transform("_a", lambda s: s["v"]).alias(name))
+def _entries() -> Column:
+    """What an item adds to its day: its tier, and every ticker, theme and signal with its position."""
+    def listed(kind: str, column: str, key) -> Column:
+        shown = F.transform(F.coalesce(column, F.array()), lambda v, i: F.struct(
+            F.lit(kind).alias("kind"), key(strip(v)).alias("key"), strip(v).alias("shown"), i.alias("_pos")))
+        return shown
+    tier = F.array(F.struct(F.lit("tier").alias("kind"), F.col("source_tier").cast("string").alias("key"),
+                            F.lit("").alias("shown"), F.lit(0).alias("_pos")))
+    return F.concat(tier, listed("ticker", "tickers", F.upper), listed("theme", "themes", F.lower),
+                    listed("bull", "bull_signals", F.lower), listed("bear", "bear_signals", F.lower))
+
+
+def _day_entries(items: DataFrame) -> DataFrame:
+    """Sums, counts and first encounter per day, kind and key, from one scan of the items."""
+    long = (items.select("run_date", "ingest_seq", "weight", "sentiment_score", "source_tier", F.inline(_entries()))
+            .filter("key != '' or kind = 'tier'")
+            .filter((F.col("kind") != "ticker") | is_directional("source_tier"))
+            .withColumn("shown", F.when(F.col("kind").isin("ticker", "tier"), F.lit("")).otherwise(F.col("shown"))))
+    spelled = long.groupBy("run_date", "kind", "key", "shown").agg(
+        F.sum("weight").alias("_w"), F.sum(F.col("weight") * F.col("sentiment_score")).alias("_wv"),
+        F.count(F.lit(1)).alias("_n"), F.count_if(F.col("weight") > 0).alias("_contributing"),
+        F.stddev_pop("sentiment_score").alias("_spread"), F.min(_encounter()).alias("_first"))
+    # tickers and tiers have one spelling, so their spread passes through
+    return spelled.groupBy("run_date", "kind", "key").agg(
+        F.sum("_w").alias("_w"), F.sum("_wv").alias("_wv"), F.sum("_n").alias("n"), F.sum("_contributing").alias("_contributing"),
+        F.max("_spread").alias("_spread"), F.min_by("shown", "_first").alias("shown"), F.min("_first").alias("_first"))
 
 
 def daily_consensus(scored: DataFrame, now: Column | None = None) -> DataFrame:
-    """The full daily row (``schemas.DAILY``)."""
-    items = weighted(scored, now)
-    tickers = _ordered_list(ticker_consensus(items), F.struct("ticker", "score", "label", "mentions", "confidence"), "tickers")
-    themes = _ordered_list(top_themes(scored), F.struct("theme", "n"), "top_themes")
-    out = headline(items).join(tickers, "run_date", "left").join(themes, "run_date", "left")
-    for column in ("bull_signals", "bear_signals"):
-        out = out.join(_ordered_list(distinct_signals(scored, column), F.col("signal"), column), "run_date", "left")
-    return out.select(
-        "run_date", "consensus_score", "label", "confidence", "contested", "dispersion", "item_count",
-        "contributing_count", "tier_means",
-        *[F.coalesce(c, F.array()).alias(c) for c in ("tickers", "top_themes", "bull_signals", "bear_signals")])
+    """The full daily row (``schemas.DAILY``), from one scan of the items.
+
+    Tiers, tickers, themes and signals are entries of one long table with one aggregate; ranks
+    and lists then work on a day's distinct keys.
+    """
+    entries = _day_entries(weighted(scored, now))
+    kind, mean = F.col("kind"), F.coalesce(F.try_divide("_wv", "_w"), F.lit(0.0))
+    rated = (entries.withColumn("_mean", mean).withColumn("_score", py_round("_mean", 4))
+             .filter((kind != "ticker") | (F.col("n") >= config.MIN_TICKER_MENTIONS)))
+    strength = F.when(kind == "ticker", F.abs("_score")).when(kind == "theme", F.col("n").cast("double")).otherwise(0.0)
+    order = Window.partitionBy("run_date", "kind").orderBy(F.desc(strength), "_first")
+    ranked = rated.withColumn("rank", F.row_number().over(order)).filter(
+        kind.isin("tier", "ticker") | (F.col("rank") <= F.when(kind == "theme", config.TOP_THEMES).otherwise(config.TOP_SIGNALS)))
+    tier, directional = kind == "tier", (kind == "tier") & is_directional(F.col("key").try_cast("int"))
+
+    def listed(of: str, value: Column) -> Column:
+        pairs = F.array_sort(F.collect_list(F.when(kind == of, F.struct("rank", value.alias("v")))))
+        return F.transform(pairs, lambda s: s["v"])
+    days = ranked.groupBy("run_date").agg(
+        F.coalesce(F.try_divide(F.sum(F.when(tier, F.col("_wv"))), F.sum(F.when(tier, F.col("_w")))), F.lit(0.0)).alias("_consensus"),
+        F.sum(F.when(tier, F.col("n"))).alias("item_count"),
+        F.sum(F.when(tier, F.col("_contributing"))).alias("contributing_count"),
+        F.coalesce(F.stddev_pop(F.when(directional, F.col("_mean"))), F.lit(0.0)).alias("_dispersion"),
+        F.count(F.when(directional, F.col("_mean"))).alias("_tiers"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(
+            directional, F.struct(F.col("key").try_cast("int"), F.col("_score")))))).alias("tier_means"),
+        listed("ticker", F.struct(F.col("key").alias("ticker"), F.col("_score").alias("score"), daily_label("_mean").alias("label"),
+                                  F.col("n").alias("mentions"), spread_confidence("_spread").alias("confidence"))).alias("tickers"),
+        listed("theme", F.struct(F.col("shown").alias("theme"), "n")).alias("top_themes"),
+        listed("bull", F.col("shown")).alias("bull_signals"), listed("bear", F.col("shown")).alias("bear_signals"))
+    return days.select("run_date", *_headline_columns(), "tickers", "top_themes", "bull_signals", "bear_signals")

@@ -16,6 +16,8 @@ SESSION_CONF = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     # Rank bounds (budgets, top-k) up to this size are applied per partition before the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
+    # Batches for Python workers by size, so that long texts do not add up in one.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 

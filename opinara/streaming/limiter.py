@@ -18,8 +18,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class SlidingWindow(StatefulProcessor):
     """Keeps the admitted instants of a client that are still in the window, at most ``limit``.
 
-    Requests are decided one by one in time order within a micro-batch, batch by batch of the
-    Arrow iterator; the state never grows with traffic, and a timer drops idle clients.
+    The requests of a client in a micro-batch are put together and decided one by one in time
+    order, so the source's rate options bound what a task holds; the state never grows with
+    traffic, and a timer drops idle clients.
     """
 
     def __init__(self, limit: int, window_s: int):

@@ -189,15 +189,47 @@ def a10_bear(spark, d):
     return _date(D.distinct_signals(A.daily_e(spark, d), "bear_signals")).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("daily_rows_complete", sql("daily_e", _HEAD + _TICK + f""",
+def _listed_signals(name: str, sign: str) -> str:
+    return f""",
+{name}m AS (SELECT run_date, event_type || ' ' || (user_id % 17) AS v, ingest_seq FROM daily_e WHERE score {sign} 0),
+{name}g AS (SELECT run_date, lower(v) AS k, arg_min(v, ingest_seq) AS signal, min(ingest_seq) AS o FROM {name}m GROUP BY 1, 2),
+{name}t AS (SELECT *, row_number() OVER (PARTITION BY run_date ORDER BY o) AS rank FROM {name}g QUALIFY rank <= 10),
+{name}_l AS (SELECT run_date, string_agg(signal, ',' ORDER BY rank) AS {name}_signals FROM {name}t GROUP BY 1)"""
+
+
+_ALL_LISTS = f""",
 q AS (SELECT *, {R_('s', 4)} AS score FROM g),
-tk AS (SELECT run_date, string_agg(ticker || ':' || mentions, ',' ORDER BY abs(score) DESC, o) AS tickers FROM q GROUP BY 1)
-SELECT strftime(h.run_date, '%Y-%m-%d') AS run_date, {R_('c', 4)} AS consensus_score, {_CONF} AS confidence, item_count, tickers
-FROM h JOIN s USING (run_date) JOIN tk USING (run_date)"""))
+tk AS (SELECT run_date, string_agg(ticker || ':' || CAST(round(score * 10000) AS BIGINT) || ':' || CASE WHEN s > 0.15 THEN 'bullish' WHEN s < -0.15 THEN 'bearish' ELSE 'neutral' END
+         || ':' || mentions || ':' || CASE WHEN d <= 0.2 THEN 'high' WHEN d <= 0.4 THEN 'medium' ELSE 'low' END, ',' ORDER BY abs(score) DESC, o) AS tickers FROM q GROUP BY 1),
+tm AS (SELECT run_date, trim(t) AS shown, lower(trim(t)) AS k, ingest_seq * 65536 + i AS o FROM (
+      SELECT run_date, ingest_seq, unnest([upper(substr(event_type, 1, 1)) || substr(event_type, 2), ' u' || (user_id % 13)]) AS t, unnest([0, 1]) AS i FROM daily_e)),
+tg AS (SELECT run_date, k, count(*) AS n, min(o) AS o, arg_min(shown, o) AS theme FROM tm GROUP BY 1, 2),
+tt AS (SELECT *, row_number() OVER (PARTITION BY run_date ORDER BY n DESC, o) AS rank FROM tg QUALIFY rank <= 10),
+th AS (SELECT run_date, string_agg(theme || ':' || n, ',' ORDER BY rank) AS top_themes FROM tt GROUP BY 1),
+tv AS (SELECT run_date, source_tier, {R_('m', 4)} AS v FROM t),
+tl AS (SELECT run_date, string_agg(source_tier || ':' || CAST(round(v * 10000) AS BIGINT), ',' ORDER BY source_tier) AS tier_means FROM tv GROUP BY 1)"""
+
+
+@query("daily_rows_complete", sql("daily_e", _HEAD + _TICK + _ALL_LISTS + _listed_signals("bull", ">") + _listed_signals("bear", "<") + f"""
+SELECT strftime(h.run_date, '%Y-%m-%d') AS run_date, {R_('c', 4)} AS consensus_score, CASE WHEN c > 0.15 THEN 'bullish' WHEN c < -0.15 THEN 'bearish' ELSE 'neutral' END AS label,
+       {_CONF} AS confidence, s.d > 0.4 AS contested, {R_('s.d', 4)} AS dispersion, item_count, contributing_count, coalesce(tier_means, '') AS tier_means,
+       coalesce(tickers, '') AS tickers, coalesce(top_themes, '') AS top_themes, coalesce(bull_signals, '') AS bull_signals, coalesce(bear_signals, '') AS bear_signals
+FROM h JOIN s USING (run_date) LEFT JOIN tk USING (run_date) LEFT JOIN th USING (run_date) LEFT JOIN tl USING (run_date)
+LEFT JOIN bull_l USING (run_date) LEFT JOIN bear_l USING (run_date)"""))
 def daily_rows(spark, d):
-    rows = D.daily_consensus(A.daily_e(spark, d))
-    tickers = F.array_join(F.transform("tickers", lambda t: F.concat_ws(":", t["ticker"], t["mentions"].cast("string"))), ",")
-    return _date(rows).select("run_date", "consensus_score", "confidence", "item_count", tickers.alias("tickers"))
+    """All columns of the daily row; lists as text."""
+    def text(column: str, parts):
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[p.cast("string") for p in parts(x)])), ",").alias(column)
+
+    def scaled(x):
+        return F.round(x * 10000).cast("bigint")
+    rows = D.daily_consensus(A.daily_e(spark, d)).withColumn("tier_means", F.map_entries("tier_means"))
+    return _date(rows).select(
+        "run_date", "consensus_score", "label", "confidence", "contested", "dispersion", "item_count", "contributing_count",
+        text("tier_means", lambda t: (t["key"], scaled(t["value"]))),
+        text("tickers", lambda t: (t["ticker"], scaled(t["score"]), t["label"], t["mentions"], t["confidence"])),
+        text("top_themes", lambda t: (t["theme"], t["n"])), F.array_join("bull_signals", ",").alias("bull_signals"),
+        F.array_join("bear_signals", ",").alias("bear_signals"))
 
 
 # --- scalar functions -----------------------------------------------------------------------------

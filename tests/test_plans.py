@@ -182,3 +182,11 @@ def test_thin_subjects_are_refilled_without_scoring_known_items(spark, tmp_path)
     assert run(scorer(json.dumps({"relevant": True, "score": 7, "rationale": "r"}), None)) == 1
     assert rows(store.items("THIN"), "external_id", "score", "text") == [("b0", 1, "t"), ("b1", 7, "new")]
     assert V.refill(store, subjects, fetched, scorer(json.dumps({"relevant": True, "score": 7}), None), embed.embed_hashed, force=True) == 1
+
+
+def test_daily_row_reads_its_items_once(spark, tmp_path):
+    A.daily_e(spark, SF).write.parquet(str(tmp_path / "items"))
+    from opinara.operators.daily import daily_consensus
+
+    plan = plan_of(daily_consensus(spark.read.parquet(str(tmp_path / "items"))))
+    assert plan.count("Scan parquet") <= 2 * plan.split("Physical Plan")[1].count("Location") and plan.count("Location:") == 1
