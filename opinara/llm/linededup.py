@@ -28,7 +28,8 @@ from .common import BLOBS, blobs, hash_words, keep_keys, mix, saved, shuffle_par
 
 FREQUENCY_BITS = 18
 LOW_BITS = 26
-CELLS = 256
+#: Cells per shuffle partition, at least; a word or set key falls into one by its top bits.
+CELLS_PER_PARTITION = 4
 FIRST = 2
 #: Bits of the filter that a second lookup uses to pick out its lines; a fixed 1 MB.
 FILTER_BITS = 1 << 23
@@ -120,7 +121,9 @@ def _blobs(kind: int, cells: np.ndarray, records: np.ndarray) -> Iterator[tuple[
         yield kind, int(cells[a]), records[a:b].tobytes()
 
 
-def _extract(place: np.ndarray, percent: int):
+def _extract(place: np.ndarray, percent: int, cell_bits: int):
+    top = np.uint64(64 - cell_bits)
+
     def run(batches: Batches) -> Batches:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -141,7 +144,7 @@ def _extract(place: np.ndarray, percent: int):
                     posting["word"], posting["set"], posting["bits"] = word[mine].astype(np.uint32), other[of], bits[of, :count]
                     posting["doc"], posting["line"] = records["doc"][of], records["line"][of]
                     posting["size"], posting["at"] = size[of], np.minimum(at[mine], 65535)
-                    posted[c].append((of + base, (word[mine] >> np.uint64(56)).astype(np.int64), posting))
+                    posted[c].append((of + base, (word[mine] >> top).astype(np.int64), posting))
             if not found:
                 continue
             lines = np.concatenate(found)
@@ -152,7 +155,7 @@ def _extract(place: np.ndarray, percent: int):
             earliest = np.ones(len(by), bool)
             earliest[by[repeat]] = False
             gone = ordered[repeat & ~_twins(ordered)]
-            out = list(_blobs(EQUAL, (ordered["key"] >> np.uint64(56)).astype(np.int64)[~repeat], ordered[~repeat]))
+            out = list(_blobs(EQUAL, (ordered["key"] >> top).astype(np.int64)[~repeat], ordered[~repeat]))
             if len(gone):
                 out += _blobs(GONE, np.zeros(len(gone), np.int64), gone)
             for c, parts in enumerate(posted):
@@ -291,10 +294,11 @@ def _resolve(percent: int, only: np.ndarray | None):
 
 
 def _matches(docs: DataFrame, place: np.ndarray, percent: int, only: np.ndarray | None = None) -> DataFrame:
-    blobs = docs.mapInArrow(_extract(place, percent), "kind int, cell int, blob binary")
+    partitions = shuffle_partitions(docs.sparkSession)
+    cell_bits = min(24, max(8, (CELLS_PER_PARTITION * partitions - 1).bit_length()))
+    blobs = docs.mapInArrow(_extract(place, percent, cell_bits), "kind int, cell int, blob binary")
     if only is not None:
         blobs = blobs.where(F.col("kind") >= POSTINGS)
-    partitions = shuffle_partitions(docs.sparkSession)
     return blobs.repartition(partitions, "kind", "cell").mapInArrow(_resolve(percent, only), MATCHES)
 
 
