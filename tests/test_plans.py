@@ -189,4 +189,4 @@ def test_daily_row_reads_its_items_once(spark, tmp_path):
     from opinara.operators.daily import daily_consensus
 
     plan = plan_of(daily_consensus(spark.read.parquet(str(tmp_path / "items"))))
-    assert plan.count("Scan parquet") <= 2 * plan.split("Physical Plan")[1].count("Location") and plan.count("Location:") == 1
+    assert plan.count("Location:") == 1
