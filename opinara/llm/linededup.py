@@ -31,6 +31,8 @@ LOW_BITS = 26
 #: Cells per shuffle partition, at least; a word or set key falls into one by its top bits.
 CELLS_PER_PARTITION = 4
 FIRST = 2
+#: Pairs of postings that a task compares at once.
+COMPARED = 1 << 16
 #: Bits of the filter that a second lookup uses to pick out its lines; a fixed 1 MB.
 FILTER_BITS = 1 << 23
 FREQUENCY_CHUNK = 4096
@@ -192,22 +194,18 @@ def _position(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) % np.uint64(FILTER_BITS)
 
 
-def _joined(parts: list[list[np.ndarray]]) -> tuple[dict[str, np.ndarray], list[np.ndarray]]:
-    """Postings of all classes by field, and their bitmaps folded to each class's width (empty where narrower)."""
-    each = [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, POSTING)]
-    fields = {n: np.concatenate([e[n] for e in each]) for n, _ in _FIELDS}
-    bits = []
-    for c, width in enumerate(BITMAP_WORDS):
-        folded = [np.zeros((len(e), width), np.uint64) if k < c else
-                  np.bitwise_xor.reduce(e["bits"].reshape(len(e), BITMAP_WORDS[k] // width, width), axis=1) for k, e in enumerate(each)]
-        bits.append(np.concatenate(folded))
-    fields["class"] = np.repeat(np.arange(len(each)), [len(e) for e in each])
-    return fields, bits
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps of more words xored down to ``width`` words: what they tell of fewer, wider slots."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), bits.shape[1] // width, width), axis=1)
 
 
 def _candidates(parts: list[list[np.ndarray]], percent: int, only: np.ndarray | None):
     """Pairs (later, earlier) of postings that the filters let pass; and later ones that had more."""
-    posts, bits = _joined(parts)
+    each = [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, POSTING)]
+    posts = {n: np.concatenate([e[n] for e in each]) for n, _ in _FIELDS}
+    near = np.concatenate([_folded(e["bits"], 1)[:, 0] for e in each])
+    group = np.repeat(np.arange(len(each)), [len(e) for e in each])
+    place = np.concatenate([np.arange(len(e)) for e in each])
     by = np.argsort(posts["word"])
     word = posts["word"][by]
     alone = np.ones(len(word), bool)
@@ -216,15 +214,26 @@ def _candidates(parts: list[list[np.ndarray]], percent: int, only: np.ndarray |
     alone[:-1] &= ~same
     by = by[~alone]
     by = by[np.lexsort([posts[n][by] for n in ("line", "doc", "set", "size", "word")])]
-    near = bits[0][by, 0]
     fresh = np.ones(len(by), bool)  # equal sets under one word: the earliest stands for all
-    fresh[1:] = near[1:] != near[:-1]
+    fresh[1:] = near[by[1:]] != near[by[:-1]]
     for n in ("word", "size", "set"):
         fresh[1:] |= posts[n][by[1:]] != posts[n][by[:-1]]
     by = by[fresh]
-    posts, bits = {n: v[by] for n, v in posts.items()}, [b[by] for b in bits]
+    posts, group, place = {n: v[by] for n, v in posts.items()}, group[by], place[by]
+    bits, slots = [near[by][:, None]], [np.arange(len(by))]
+    for c in range(1, len(each)):  # wider bitmaps only of the sets that have them
+        rows = np.flatnonzero(group >= c)
+        wide = np.empty((len(rows), BITMAP_WORDS[c]), np.uint64)
+        for k in range(c, len(each)):
+            mine = group[rows] == k
+            wide[mine] = _folded(each[k]["bits"][place[rows[mine]]], BITMAP_WORDS[c])
+        slot = np.zeros(len(by), np.int64)
+        slot[rows] = np.arange(len(rows))
+        bits.append(wide)
+        slots.append(slot)
+    del each, near
     word, size, at, doc = (posts[n].astype(t) for n, t in (("word", np.uint64), ("size", np.int64), ("at", np.int64), ("doc", np.int64)))
-    line, group = posts["line"].astype(np.int64), posts["class"]
+    line = posts["line"].astype(np.int64)
     wanted = None if only is None else np.unpackbits(only, bitorder="little")[_position(doc, line).astype(np.int64)] > 0
     runs = (word << np.uint64(32)) | size.astype(np.uint64)
     end = np.searchsorted(runs, (word << np.uint64(32)) | (100 * size // percent).astype(np.uint64), "right")
@@ -235,27 +244,29 @@ def _candidates(parts: list[list[np.ndarray]], percent: int, only: np.ndarray |
     while len(active):
         shift += 1
         active = active[active + shift < end[active]]
-        a, b = active, active + shift
-        left = 1 + np.minimum(size[a] - at[a], size[b] - at[b]) - 1
-        ok = (100 + percent) * left >= percent * (size[a] + size[b])
-        ok[at[a] >= 65535] = True
-        a, b = a[ok], b[ok]
-        for c, width in enumerate(bits):
-            most = (100 - percent) * (size[a] + size[b]) // (100 + percent)
-            wide = np.minimum(group[a], group[b]) >= c
-            ok = ~wide
-            ok[wide] = np.bitwise_count(width[a[wide]] ^ width[b[wide]]).sum(axis=1, dtype=np.int64) <= most[wide]
+        for start in range(0, len(active), COMPARED):
+            a = active[start:start + COMPARED]
+            b = a + shift
+            left = 1 + np.minimum(size[a] - at[a], size[b] - at[b]) - 1
+            ok = (100 + percent) * left >= percent * (size[a] + size[b])
+            ok[at[a] >= 65535] = True
             a, b = a[ok], b[ok]
-        swap = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
-        s, t = np.where(swap, a, b), np.where(swap, b, a)
-        if only is not None:
-            keep = wanted[s]
-        else:
-            keep = seen[s] < FIRST
-            more[s[~keep]] = True
-            np.add.at(seen, s[keep], 1)
-        later.append(s[keep])
-        earlier.append(t[keep])
+            for c, (words, slot) in enumerate(zip(bits, slots)):
+                most = (100 - percent) * (size[a] + size[b]) // (100 + percent)
+                wide = np.minimum(group[a], group[b]) >= c
+                ok = ~wide
+                ok[wide] = np.bitwise_count(words[slot[a[wide]]] ^ words[slot[b[wide]]]).sum(axis=1, dtype=np.int64) <= most[wide]
+                a, b = a[ok], b[ok]
+            swap = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
+            s, t = np.where(swap, a, b), np.where(swap, b, a)
+            if only is not None:
+                keep = wanted[s]
+            else:
+                keep = seen[s] < FIRST
+                more[s[~keep]] = True
+                np.add.at(seen, s[keep], 1)
+            later.append(s[keep])
+            earlier.append(t[keep])
     none = np.zeros(0, np.int64)
     s, t = (np.concatenate(x) if x else none for x in (later, earlier))
     return doc, line, s, t, np.flatnonzero(more)

@@ -99,3 +99,17 @@ def test_query_counts_lines(spark):
     for r in QUERIES["op7_line_dedup"](spark, "/root/testdata/sf0.001").collect():
         lines = sorted(k for d, k in want if d == r.doc_id)
         assert (r.n_lines, r.n_removed, r.removed) == (len(texts[r.doc_id].split("\n")), len(lines), ",".join(map(str, lines)))
+
+
+def test_bitmaps_of_all_widths(spark):
+    """Lines around and above the sizes where bitmaps get wider, near each other and not."""
+    rng = random.Random(11)
+    texts, at = {}, 0
+    for size in (90, 97, 110, 380, 390, 460, 700):
+        base = [f"v{rng.randrange(3000)}" for _ in range(size)]
+        for share in (0.0, 0.05, 0.11, 0.3):
+            texts[at] = " ".join(w if rng.random() > share else f"z{rng.randrange(9999)}" for w in base[:size - rng.randrange(8)])
+            at += 1
+    want = brute(texts)
+    assert len(want) >= 7
+    assert found(linededup.later_matches(docs_of(spark, texts))) == want
