@@ -59,9 +59,21 @@ RATE_LIMIT = 20
 RATE_WINDOW_S = 3600
 DAILY_BUDGET = 100
 
+# --- fixed values: notes and details stored with results -----------------------------
+NOTE_TOO_FEW = "too few periods to backtest (need >= 3)"
+NOTE_THIN = "thin — interpret with caution"
+NOTE_PANEL = "did the informed crowd's mood lead, track, or lag the price?"
+NO_BACKTEST = "no backtest available for this reading"
+DETAIL_HOMELESS = "episode has neither a transcript nor audio"
+DETAIL_NOT_NAMED = "no covered subject in metadata"
+DETAIL_NO_TEXT = "no transcript available"
+
+# --- fixed values: transcripts -----------------------------------------------------------
+SEGMENT_MARK = r"^(\d{2}:\d{2}:\d{2})"
+SEGMENT_SPEAKER = r"(?s)^(Speaker \d+|[A-Z][a-zA-Z .]{1,30}):\s*(.*)"
+
 # --- fixed values: passages -----------------------------------------------------
 TARGET_WORDS = 140
-MAX_WORDS = 260
 MIN_WORDS = 25
 LIST_SUBJECT_LIMIT = 4
 SUBSTANTIVE_MENTIONS = 2

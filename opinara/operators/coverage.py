@@ -69,16 +69,16 @@ def episode_outcomes(episodes: DataFrame, budget: int, allow_audio: bool = True)
     """
     attempt = F.col("named") & (F.lit(allow_audio) | F.col("transcript_url").isNotNull())
     homeless = F.col("transcript_url").isNull() & F.col("audio_url").isNull()
-    error = F.coalesce("error", F.when(homeless, F.lit("episode has neither a transcript nor audio")))
+    error = F.coalesce("error", F.when(homeless, F.lit(config.DETAIL_HOMELESS)))
     judged = episodes.withColumn("_attempt", attempt).withColumn("_error", error)
     success = F.col("_attempt") & F.col("_error").isNull() & (F.col("n_segments") > 0)
     cut = budget_cutoff(judged.filter(success), budget)
     beyond = F.coalesce(F.struct("show_idx", "feed_idx") > cut, F.lit(False)) if budget > 0 else F.lit(True)
     status = (F.when(~F.col("named"), "skipped").when(beyond | ~F.col("_attempt"), None)
               .when(F.col("_error").isNotNull(), "failed").when(F.col("n_segments") <= 0, "skipped").otherwise("ok"))
-    detail = (F.when(~F.col("named"), "no covered subject in metadata")
+    detail = (F.when(~F.col("named"), config.DETAIL_NOT_NAMED)
               .when(F.col("status") == "failed", F.col("_error"))
-              .when(F.col("status") == "skipped", "no transcript available"))
+              .when(F.col("status") == "skipped", config.DETAIL_NO_TEXT))
     return judged.withColumn("status", status).withColumn("detail", detail).drop("_attempt", "_error")
 
 

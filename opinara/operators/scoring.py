@@ -129,11 +129,11 @@ def require_working_scorer(responses: DataFrame, subject: str = "batch") -> None
     row = error_rates(responses).first()
     if row.fatal:
         cause = (responses.filter(is_fatal("error_class")).select("error_class", "body").first())
-        raise ScoringFailed(f"scoring aborted for {subject!r}: {row.fatal} fatal errors, e.g. "
-                            f"{cause.error_class}: {cause.body}")
+        raise ScoringFailed(f"the scorer for {subject!r} cannot work: {row.fatal} requests met an error that no retry "
+                            f"mends, such as {cause.error_class} ({cause.body})")
     if row.broken:
-        raise ScoringFailed(f"scoring failed for {subject!r}: {row.errors}/{row.n} requests errored; "
-                            "refusing to report this as low coverage")
+        raise ScoringFailed(f"the scorer for {subject!r} answered {row.errors} of {row.n} requests with an error; "
+                            "nothing is stored, because that would pass for low coverage")
 
 
 # --- scorer plug-in --------------------------------------------------------------------------------

@@ -184,9 +184,9 @@ def backtest_panel(conviction: DataFrame, prices: DataFrame, period: str = "mont
         F.array_sort(F.collect_list(F.struct(
             "period", "conviction", F.col("close").alias("price"), py_round("ret", 4).alias("return")))).alias("_series"))
     enough = F.col("n_periods") >= min_periods
-    note = (F.when(~enough, "too few periods to backtest (need >= 3)")
-            .when(F.col("n_periods") < config.BACKTEST_THIN_PERIODS, "thin — interpret with caution")
-            .otherwise("did the informed crowd's mood lead, track, or lag the price?"))
+    note = (F.when(~enough, config.NOTE_TOO_FEW)
+            .when(F.col("n_periods") < config.BACKTEST_THIN_PERIODS, config.NOTE_THIN)
+            .otherwise(config.NOTE_PANEL))
     return agg.select("subject", F.struct(
         F.lit(period).alias("period"), F.col("n_periods"), F.when(enough, F.col("subject")).alias("proxy"),
         F.when(enough, py_round("_lead_r", 3)).alias("lead_r"),

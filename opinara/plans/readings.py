@@ -134,12 +134,9 @@ def history_for(requests: DataFrame, dim: DataFrame, readings: DataFrame, limit:
     return asked.join(R.reading_history(scoped, limit), "subject")
 
 
-NO_BACKTEST = "no backtest available for this reading"
-
-
 def backtest_for(requests: DataFrame, dim: DataFrame, readings: DataFrame) -> DataFrame:
     """The price panel of the newest reading, or a note that there is none."""
     latest = latest_for(requests, dim, readings)
     return latest.select("text", "subject", "backtest",
-                         F.when(F.col("backtest").isNull(), NO_BACKTEST).otherwise(F.col("backtest.note")).alias("note"))
+                         F.when(F.col("backtest").isNull(), config.NO_BACKTEST).otherwise(F.col("backtest.note")).alias("note"))
 

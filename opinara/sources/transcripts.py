@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from opinara import config
 from opinara.functions.text import clock_seconds, collapse_space, strip
 
-_MARK = r"^(\d{2}:\d{2}:\d{2})"
-_SPEAKER = r"(?s)^(Speaker \d+|[A-Z][a-zA-Z .]{1,30}):\s*(.*)"
-
 
 def parse_transcripts(transcripts: DataFrame, guid: str = "guid", raw: str = "raw") -> DataFrame:
     """Diarised text to ``(guid, seg_idx, start, end, speaker, text)``.
@@ -18,15 +16,15 @@ def parse_transcripts(transcripts: DataFrame, guid: str = "guid", raw: str = "ra
     own start.  All of it happens inside one row's array, without a shuffle.
     """
     blocks = F.filter(F.transform(F.split(F.col(raw), r"\n(?=\d{2}:\d{2}:\d{2})"), strip),
-                      lambda b: b.rlike(_MARK))
+                      lambda b: b.rlike(config.SEGMENT_MARK))
 
     def parse(block):
         body = strip(F.substring(block, F.lit(9), F.length(block)))
-        named = body.rlike(_SPEAKER)
+        named = body.rlike(config.SEGMENT_SPEAKER)
         return F.struct(
             clock_seconds(F.substring(block, 1, 8)).cast("double").alias("start"),
-            F.when(named, F.regexp_extract(body, _SPEAKER, 1)).alias("speaker"),
-            collapse_space(F.when(named, F.regexp_extract(body, _SPEAKER, 2)).otherwise(body)).alias("text"))
+            F.when(named, F.regexp_extract(body, config.SEGMENT_SPEAKER, 1)).alias("speaker"),
+            collapse_space(F.when(named, F.regexp_extract(body, config.SEGMENT_SPEAKER, 2)).otherwise(body)).alias("text"))
 
     segments = F.filter(F.transform(blocks, parse), lambda s: s["text"] != "")
     return (transcripts.select(F.col(guid).alias("guid"), segments.alias("_s"))
