@@ -11,8 +11,13 @@ earlier line itself stays does not matter, so every line can be decided by itsel
 3. the texts of candidate lines, on which the similarity is verified.
 
 Equal sets collapse per task and then per key, so a line in a third of all documents costs a
-row per task.  A line with many possible matches names ``FIRST`` of them per word; only if
-all of those fail are its other candidates looked up, without a limit.
+row per task.  A line with many possible matches names ``FIRST`` of them per word and is not
+compared further; only if all of those fail are its other candidates looked up, without a limit.
+
+A word in the prefixes of many sets (estimated on a sample, which only shapes the work) is dealt
+to blocks of about ``BLOCK`` sets.  A line first meets the sets of its own block; a line without
+a confirmed match there is open, and in the second lookup it meets the sets of all blocks, both
+sides in blocks, so that no task gets the whole list of a word.
 """
 
 from __future__ import annotations
@@ -31,6 +36,10 @@ LOW_BITS = 26
 #: Cells per shuffle partition, at least; a word or set key falls into one by its top bits.
 CELLS_PER_PARTITION = 4
 FIRST = 2
+#: Sets under one word that a task takes as one side; about so many, as they are dealt by hash.
+BLOCK = 1 << 15
+#: Words on whose lines the sets per word are estimated, about.
+SAMPLED = 1 << 23
 #: Pairs of postings that a task compares at once.
 COMPARED = 1 << 16
 #: Bits of the filter that a second lookup uses to pick out its lines; a fixed 1 MB.
@@ -43,7 +52,9 @@ _FIELDS = [("word", "u4"), ("set", "u4"), ("doc", "i8"), ("line", "u4"), ("size"
 #: Words of 64 bits in the bitmap of a set, by class, and the largest size of the lower classes.
 BITMAP_WORDS, CLASS_SIZES = (1, 4, 16), (96, 384)
 POSTING = tuple(np.dtype([*_FIELDS, ("bits", "u8", (w,))]) for w in BITMAP_WORDS)
-EQUAL, GONE, OPEN, POSTINGS = 0, 1, 2, 3  # postings of class c are of kind POSTINGS + c
+CLASSES = len(POSTING)
+#: Postings of class c are of kind POSTINGS + c; MARKED + c has those of dealt words or, in the second lookup, the probes.
+EQUAL, GONE, OPEN, POSTINGS, MARKED = 0, 1, 2, 3, 3 + CLASSES
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -70,7 +81,7 @@ def _rarity(counts: np.ndarray) -> np.ndarray:
 
 
 def _line_sets(data: np.ndarray, bounds: np.ndarray, place: np.ndarray, percent: int):
-    """Row, line number, size and hashes of every line with words, and the postings of its prefix."""
+    """Row, line number, size, hashes and bitmap of every line with words; line, position, word and counter of its postings."""
     words, starts, _ = hash_words(data, bounds)
     newlines = np.flatnonzero(data == 10)
     row = np.searchsorted(bounds, starts, "right") - 1
@@ -112,7 +123,32 @@ def _line_sets(data: np.ndarray, bounds: np.ndarray, place: np.ndarray, percent:
     prefix[100 * size < percent * (size + 1)] = 0  # only an equal set can match
     at = np.arange(len(line)) - head[line]
     chosen = np.flatnonzero(at < prefix[line])
-    return row_of, line_of, size, key, other, bits, line[chosen], at[chosen], mixed[chosen]
+    counter = (word[chosen] >> np.uint64(LOW_BITS)).astype(np.int64)
+    return row_of, line_of, size, key, other, bits, line[chosen], at[chosen], mixed[chosen], counter
+
+
+def _blocks_of_words(docs: DataFrame, counts: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Blocks to deal the sets under a word to, by the place of its counter.
+
+    From the distinct sets of a sample of documents: a wrong estimate makes blocks smaller or larger.
+    """
+    every = max(1, int(counts.sum()) // SAMPLED)
+
+    def postings(batches: Batches) -> Batches:
+        for batch in batches:
+            for _, _, data, bounds in text_slices(batch.column(0)):
+                if not _wordless(data):
+                    *_, key, _, _, line, _, _, counter = _line_sets(data, bounds, place, percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(counter.astype(np.int32)), pa.array(key[line].view(np.int64))],
+                                                     ["counter", "key"])
+
+    sample = docs.where(F.expr(f"pmod(xxhash64(doc_id), {every}) = 0")).select("text")
+    large = (sample.mapInArrow(postings, "counter int, key long").distinct().groupBy("counter").count()
+             .where(F.col("count") * every > BLOCK))
+    blocks = np.ones(2**FREQUENCY_BITS, np.int32)
+    for counter, n in large.collect():
+        blocks[counter] = -(-n * every // BLOCK)
+    return blocks
 
 
 def _blobs(kind: int, cells: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -123,9 +159,42 @@ def _blobs(kind: int, cells: np.ndarray, records: np.ndarray) -> Iterator[tuple[
         yield kind, int(cells[a]), records[a:b].tobytes()
 
 
-def _extract(place: np.ndarray, percent: int, cell_bits: int):
+def _copies(word: np.ndarray, sets: np.ndarray, blocks: np.ndarray, probes: np.ndarray | None, wanted: np.ndarray | None):
+    """Which postings to send under which word and whether marked, a copy of each at a time.
+
+    In the first lookup a set goes to its own block.  In the second targets go to their block once
+    per block of probes, and ``wanted`` sets as probes once per block of targets.
+    """
+    def under(which: np.ndarray, i: np.ndarray | int, j: np.ndarray | int) -> np.ndarray:
+        pair = (np.zeros(len(which), np.int64) + i << 32) + j + 1
+        return np.where(blocks[which] > 1, mix(word[which] ^ mix(pair.astype(np.uint64))), word[which])
+
+    j = sets.astype(np.int64) % blocks
+    if wanted is None:
+        every = np.arange(len(word))
+        own = under(every, 0, j)
+        for marked in (False, True):
+            which = np.flatnonzero((blocks > 1) == marked)
+            yield which, own[which], marked
+        return
+    for i in range(int(probes.max(initial=0))):
+        which = np.flatnonzero(probes > i)
+        yield which, under(which, i, j[which]), False
+    wanted = np.flatnonzero(wanted)
+    i = mix(sets[wanted].astype(np.uint64)).astype(np.int64) % probes[wanted]
+    for k in range(int(blocks[wanted].max(initial=0))):
+        more = blocks[wanted] > k
+        yield wanted[more], under(wanted[more], i[more], k), True
+
+
+def _extract(place: np.ndarray, percent: int, cell_bits: int, blocks: np.ndarray, only: np.ndarray | None, probe_blocks: int):
     top = np.uint64(64 - cell_bits)
 
+    def batch_of(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        kinds, cells, blobs = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(cells, pa.int32()),
+                                           pa.array(blobs, pa.binary())], ["kind", "cell", "blob"])
+
     def run(batches: Batches) -> Batches:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -133,7 +202,7 @@ def _extract(place: np.ndarray, percent: int, cell_bits: int):
             for i, _, data, bounds in text_slices(batch.column(1)):
                 if _wordless(data):
                     continue
-                row, line_no, size, key, other, bits, line, at, word = _line_sets(data, bounds, place, percent)
+                row, line_no, size, key, other, bits, line, at, word, counter = _line_sets(data, bounds, place, percent)
                 records = np.empty(len(key), LINE)
                 records["key"], records["other"] = key, other
                 records["doc"], records["line"] = ids[i + row], line_no
@@ -143,10 +212,10 @@ def _extract(place: np.ndarray, percent: int, cell_bits: int):
                     mine = np.flatnonzero(np.searchsorted(CLASS_SIZES, size[line]) == c)
                     of = line[mine]
                     posting = np.empty(len(mine), POSTING[c])
-                    posting["word"], posting["set"], posting["bits"] = word[mine].astype(np.uint32), other[of], bits[of, :count]
+                    posting["set"], posting["bits"] = other[of], bits[of, :count]
                     posting["doc"], posting["line"] = records["doc"][of], records["line"][of]
                     posting["size"], posting["at"] = size[of], np.minimum(at[mine], 65535)
-                    posted[c].append((of + base, (word[mine] >> top).astype(np.int64), posting))
+                    posted[c].append((of + base, word[mine], blocks[counter[mine]], posting))
             if not found:
                 continue
             lines = np.concatenate(found)
@@ -160,14 +229,17 @@ def _extract(place: np.ndarray, percent: int, cell_bits: int):
             out = list(_blobs(EQUAL, (ordered["key"] >> top).astype(np.int64)[~repeat], ordered[~repeat]))
             if len(gone):
                 out += _blobs(GONE, np.zeros(len(gone), np.int64), gone)
+            yield batch_of(out)
             for c, parts in enumerate(posted):
-                owner, cell, posting = (np.concatenate(x) for x in zip(*parts))
+                owner, word, dealt, posting = (np.concatenate(x) for x in zip(*parts))
                 mine = earliest[owner]
-                if mine.any():
-                    out += _blobs(POSTINGS + c, cell[mine], posting[mine])
-            kinds, cells, blobs = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(cells, pa.int32()),
-                                              pa.array(blobs, pa.binary())], ["kind", "cell", "blob"])
+                word, dealt, posting = word[mine], dealt[mine], posting[mine]
+                wanted = None if only is None else _marked(only, posting["doc"], posting["line"])
+                for which, under, marked in _copies(word, posting["set"], dealt, np.minimum(dealt, probe_blocks), wanted):
+                    if len(which):
+                        copy = posting[which]
+                        copy["word"] = under.astype(np.uint32)
+                        yield batch_of(list(_blobs((MARKED if marked else POSTINGS) + c, (under >> top).astype(np.int64), copy)))
     return run
 
 
@@ -194,17 +266,27 @@ def _position(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64)) % np.uint64(FILTER_BITS)
 
 
+def _marked(filter_bits: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Whether the filter of a second lookup has the bits of these lines."""
+    at = _position(doc, line).astype(np.int64)
+    return (filter_bits[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0
+
+
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     """Bitmaps of more words xored down to ``width`` words: what they tell of fewer, wider slots."""
     return np.bitwise_xor.reduce(bits.reshape(len(bits), bits.shape[1] // width, width), axis=1)
 
 
-def _candidates(parts: list[list[np.ndarray]], percent: int, only: np.ndarray | None):
-    """Pairs (later, earlier) of postings that the filters let pass; and later ones that had more."""
-    each = [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, POSTING)]
+def _candidates(parts: list[list[np.ndarray]], percent: int, first: int | None):
+    """Pairs (later, earlier) of lines that the filters let pass, some at a time; and lines that have more of them.
+
+    ``parts`` has the postings by kind.  With ``first`` every posting is compared until it has more
+    than so many candidates; without it the marked postings are compared with all others.
+    """
+    each = [np.concatenate(p) if p else np.zeros(0, t) for p, t in zip(parts, POSTING * 2)]
     posts = {n: np.concatenate([e[n] for e in each]) for n, _ in _FIELDS}
     near = np.concatenate([_folded(e["bits"], 1)[:, 0] for e in each])
-    group = np.repeat(np.arange(len(each)), [len(e) for e in each])
+    kind = np.repeat(np.arange(len(each)), [len(e) for e in each])
     place = np.concatenate([np.arange(len(e)) for e in each])
     by = np.argsort(posts["word"])
     word = posts["word"][by]
@@ -213,20 +295,22 @@ def _candidates(parts: list[list[np.ndarray]], percent: int, only: np.ndarray |
     alone[1:] &= ~same
     alone[:-1] &= ~same
     by = by[~alone]
-    by = by[np.lexsort([posts[n][by] for n in ("line", "doc", "set", "size", "word")])]
+    by = by[np.lexsort([*(posts[n][by] for n in ("line", "doc", "set", "size")), kind[by] >= CLASSES, posts["word"][by]])]
     fresh = np.ones(len(by), bool)  # equal sets under one word: the earliest stands for all
-    fresh[1:] = near[by[1:]] != near[by[:-1]]
+    fresh[1:] = (near[by[1:]] != near[by[:-1]]) | (kind[by[1:]] != kind[by[:-1]])
     for n in ("word", "size", "set"):
         fresh[1:] |= posts[n][by[1:]] != posts[n][by[:-1]]
     by = by[fresh]
-    posts, group, place = {n: v[by] for n, v in posts.items()}, group[by], place[by]
+    posts, kind, place = {n: v[by] for n, v in posts.items()}, kind[by], place[by]
+    group = kind % CLASSES
     bits, slots = [near[by][:, None]], [np.arange(len(by))]
-    for c in range(1, len(each)):  # wider bitmaps only of the sets that have them
+    for c in range(1, CLASSES):  # wider bitmaps only of the sets that have them
         rows = np.flatnonzero(group >= c)
         wide = np.empty((len(rows), BITMAP_WORDS[c]), np.uint64)
-        for k in range(c, len(each)):
-            mine = group[rows] == k
-            wide[mine] = _folded(each[k]["bits"][place[rows[mine]]], BITMAP_WORDS[c])
+        for k in range(len(each)):
+            if k % CLASSES >= c:
+                mine = kind[rows] == k
+                wide[mine] = _folded(each[k]["bits"][place[rows[mine]]], BITMAP_WORDS[c])
         slot = np.zeros(len(by), np.int64)
         slot[rows] = np.arange(len(rows))
         bits.append(wide)
@@ -234,83 +318,115 @@ def _candidates(parts: list[list[np.ndarray]], percent: int, only: np.ndarray |
     del each, near
     word, size, at, doc = (posts[n].astype(t) for n, t in (("word", np.uint64), ("size", np.int64), ("at", np.int64), ("doc", np.int64)))
     line = posts["line"].astype(np.int64)
-    wanted = None if only is None else np.unpackbits(only, bitorder="little")[_position(doc, line).astype(np.int64)] > 0
-    runs = (word << np.uint64(32)) | size.astype(np.uint64)
-    end = np.searchsorted(runs, (word << np.uint64(32)) | (100 * size // percent).astype(np.uint64), "right")
     n = len(by)
+    rank, by = np.empty(n, np.int64), np.lexsort((line, doc))
+    rank[by] = np.cumsum(np.concatenate([[False], (doc[by[1:]] != doc[by[:-1]]) | (line[by[1:]] != line[by[:-1]])])[:n])
+    target = np.arange(n) if first is not None else np.flatnonzero(kind < CLASSES)
+    probe = np.arange(n) if first is not None else np.flatnonzero(kind >= CLASSES)
+    if not len(target) or not len(probe):
+        return
+    target = target[np.lexsort((rank[target], size[target], word[target]))]
+    runs = (word[target] << np.uint64(32)) | size[target].astype(np.uint64)  # the sets of one size under a word
+    new = np.concatenate([[True], runs[1:] != runs[:-1]])
+    head, spot = np.flatnonzero(new), (np.cumsum(new) - 1) * n + rank[target]
+    runs = runs[head]
+    run = np.searchsorted(runs, (word[probe] << np.uint64(32)) | ((percent * size[probe] + 99) // 100).astype(np.uint64))
+    end = np.searchsorted(runs, (word[probe] << np.uint64(32)) | (100 * size[probe] // percent).astype(np.uint64), "right")
     seen, more = np.zeros(n, np.int64), np.zeros(n, bool)
-    later, earlier = [], []
-    active, shift = np.arange(n), 0
-    while len(active):
-        shift += 1
-        active = active[active + shift < end[active]]
-        for start in range(0, len(active), COMPARED):
-            a = active[start:start + COMPARED]
-            b = a + shift
-            left = 1 + np.minimum(size[a] - at[a], size[b] - at[b]) - 1
-            ok = (100 + percent) * left >= percent * (size[a] + size[b])
-            ok[at[a] >= 65535] = True
+
+    def passing(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left = np.minimum(size[a] - at[a], size[b] - at[b])
+        ok = (100 + percent) * left >= percent * (size[a] + size[b])
+        ok[at[a] >= 65535] = True
+        a, b = a[ok], b[ok]
+        for c, (words, slot) in enumerate(zip(bits, slots)):
+            most = (100 - percent) * (size[a] + size[b]) // (100 + percent)
+            wide = np.minimum(group[a], group[b]) >= c
+            ok = ~wide
+            ok[wide] = np.bitwise_count(words[slot[a[wide]]] ^ words[slot[b[wide]]]).sum(axis=1, dtype=np.int64) <= most[wide]
             a, b = a[ok], b[ok]
-            for c, (words, slot) in enumerate(zip(bits, slots)):
-                most = (100 - percent) * (size[a] + size[b]) // (100 + percent)
-                wide = np.minimum(group[a], group[b]) >= c
-                ok = ~wide
-                ok[wide] = np.bitwise_count(words[slot[a[wide]]] ^ words[slot[b[wide]]]).sum(axis=1, dtype=np.int64) <= most[wide]
-                a, b = a[ok], b[ok]
-            swap = (doc[a] > doc[b]) | ((doc[a] == doc[b]) & (line[a] > line[b]))
-            s, t = np.where(swap, a, b), np.where(swap, b, a)
-            if only is not None:
-                keep = wanted[s]
-            else:
-                keep = seen[s] < FIRST
-                more[s[~keep]] = True
-                np.add.at(seen, s[keep], 1)
-            later.append(s[keep])
-            earlier.append(t[keep])
-    none = np.zeros(0, np.int64)
-    s, t = (np.concatenate(x) if x else none for x in (later, earlier))
-    return doc, line, s, t, np.flatnonzero(more)
+        return a, b
+
+    while True:
+        still = (run < end) & ~more[probe]
+        probe, run, end = probe[still], run[still], end[still]
+        if not len(probe):
+            break
+        start = head[run]
+        many = np.searchsorted(spot, run * n + rank[probe]) - start  # targets of that size before the probe
+        active, done = np.flatnonzero(many > 0), 0
+        while len(active):
+            width = max(1, COMPARED // len(active))
+            for low in range(0, len(active), COMPARED // width):
+                mine = active[low:low + COMPARED // width]
+                count = np.minimum(width, many[mine] - done)
+                i = np.repeat(mine, count)
+                step = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + done
+                # each probe begins elsewhere, so that no target is everyone's candidate
+                s, t = passing(probe[i], target[start[i] + (rank[probe[i]] * 2654435761 + step) % many[i]])
+                if first is not None and len(s):
+                    of = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                    nth = np.arange(len(s)) - np.repeat(of, np.diff(np.append(of, len(s))))
+                    keep = seen[s] + nth < first
+                    more[s[~keep]] = True
+                    s, t = s[keep], t[keep]
+                    np.add.at(seen, s, 1)
+                if len(s):
+                    yield doc[s], line[s], doc[t], line[t], POSTINGS
+            done += width
+            active = active[(many[active] > done) & ~more[probe[active]]]
+        run = run + 1
+    s = np.flatnonzero(more)
+    if len(s):
+        yield doc[s], line[s], doc[s], line[s], OPEN
 
 
 MATCHES = "doc long, line int, with_doc long, with_line int, kind int"
 
 
-def _resolve(percent: int, only: np.ndarray | None):
+def _resolve(percent: int, first: int | None):
     """Of a partition's blobs: lines that go for an equal one, candidate pairs, and lines that have more of them."""
+    def rows(found: list[tuple]) -> pa.RecordBatch:
+        d, l, wd, wl = (np.concatenate([x[k] for x in found]) for k in range(4))
+        kinds = np.repeat(np.array([x[4] for x in found], np.int32), [len(x[0]) for x in found])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(d.astype(np.int64)), pa.array(l.astype(np.int32)), pa.array(wd.astype(np.int64)),
+             pa.array(wl.astype(np.int32)), pa.array(kinds)], ["doc", "line", "with_doc", "with_line", "kind"])
+
     def run(batches: Batches) -> Batches:
-        equal, gone, posted = [], [], [[] for _ in POSTING]
+        equal, gone, posted = [], [], [[] for _ in POSTING * 2]
         for batch in batches:
             for kind, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 if kind >= POSTINGS:
-                    posted[kind - POSTINGS].append(np.frombuffer(blob, POSTING[kind - POSTINGS]))
+                    posted[kind - POSTINGS].append(np.frombuffer(blob, POSTING[(kind - POSTINGS) % CLASSES]))
                 else:
                     (equal if kind == EQUAL else gone).append(np.frombuffer(blob, LINE))
         if equal:
             gone.append(_later_equals(np.concatenate(equal)))
-        columns = []
-        if gone:
-            lines = np.concatenate(gone)
-            columns.append((lines["doc"], lines["line"], lines["doc"], lines["line"], np.full(len(lines), GONE)))
-        if any(posted):
-            doc, line, s, t, more = _candidates(posted, percent, only)
-            columns.append((doc[s], line[s], doc[t], line[t], np.full(len(s), POSTINGS)))
-            columns.append((doc[more], line[more], doc[more], line[more], np.full(len(more), OPEN)))
-        if columns:
-            d, l, wd, wl, k = (np.concatenate(x) for x in zip(*columns))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d.astype(np.int64)), pa.array(l.astype(np.int32)), pa.array(wd.astype(np.int64)),
-                 pa.array(wl.astype(np.int32)), pa.array(k.astype(np.int32))],
-                ["doc", "line", "with_doc", "with_line", "kind"])
+        found = [(x["doc"], x["line"], x["doc"], x["line"], GONE) for x in gone]
+        if first is not None:  # a line under a dealt word has met one block only
+            found += [(x["doc"], x["line"], x["doc"], x["line"], OPEN) for part in posted[CLASSES:] for x in part]
+        held = 0
+        for pairs in _candidates(posted, percent, first) if any(posted) else ():
+            found.append(pairs)
+            held += len(pairs[0])
+            if held > COMPARED:
+                yield rows(found)
+                found, held = [], 0
+        if found:
+            yield rows(found)
     return run
 
 
-def _matches(docs: DataFrame, place: np.ndarray, percent: int, only: np.ndarray | None = None) -> DataFrame:
+def _matches(docs: DataFrame, place: np.ndarray, percent: int, blocks: np.ndarray, only: np.ndarray | None = None,
+             probe_blocks: int = 1) -> DataFrame:
     partitions = shuffle_partitions(docs.sparkSession)
     cell_bits = min(24, max(8, (CELLS_PER_PARTITION * partitions - 1).bit_length()))
-    blobs = docs.mapInArrow(_extract(place, percent, cell_bits), "kind int, cell int, blob binary")
+    blobs = docs.mapInArrow(_extract(place, percent, cell_bits, blocks, only, probe_blocks), "kind int, cell int, blob binary")
     if only is not None:
         blobs = blobs.where(F.col("kind") >= POSTINGS)
-    return blobs.repartition(partitions, "kind", "cell").mapInArrow(_resolve(percent, only), MATCHES)
+    # by the cell alone: sets of different classes under a word must meet
+    return blobs.repartition(partitions, "cell").mapInArrow(_resolve(percent, FIRST if only is None else None), MATCHES)
 
 
 def _words(column: str):
@@ -357,8 +473,10 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     match each other.  An empty table gives no lines.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    place = _rarity(word_frequencies(docs))
-    found = saved(_matches(docs, place, percent), "line-matches")
+    counts = word_frequencies(docs)
+    place = _rarity(counts)
+    blocks = _blocks_of_words(docs, counts, place, percent)
+    found = saved(_matches(docs, place, percent, blocks), "line-matches")
     gone = found.where(F.col("kind") == GONE).select("doc", "line")
     pairs = (found.where((F.col("kind") == POSTINGS) & ~((F.col("doc") == F.col("with_doc"))
                                                          & (F.col("line") == F.col("with_line"))))
@@ -367,8 +485,10 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     gone = gone.union(sure)
     open_lines = saved(found.where(F.col("kind") == OPEN).select("doc", "line").distinct()
                        .join(gone, ["doc", "line"], "left_anti"), "lines-open")
-    if not open_lines.isEmpty():
-        rest = saved(_matches(docs, place, percent, _filter_of(open_lines)).where(F.col("kind") == POSTINGS)
+    n_open = open_lines.count()
+    if n_open:
+        again = _matches(docs, place, percent, blocks, _filter_of(open_lines), -(-n_open // BLOCK))
+        rest = saved(again.where(F.col("kind") == POSTINGS)
                      .join(open_lines, ["doc", "line"], "left_semi"), "line-matches")
         gone = gone.union(_verified(rest, docs, percent))
     return gone.distinct().select(F.col("doc").alias("doc_id"), "line")

@@ -3,6 +3,8 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from opinara.llm import linededup
@@ -113,3 +115,67 @@ def test_bitmaps_of_all_widths(spark):
     want = brute(texts)
     assert len(want) >= 7
     assert found(linededup.later_matches(docs_of(spark, texts))) == want
+
+
+def template_lines(n, seed=13):
+    """Lines of one template and, of every third, a line that shares its two rarest words only."""
+    rng = random.Random(seed)
+    texts = {}
+    for d in range(n):
+        rest = [f"r{rng.randrange(40)}" for _ in range(8)] if d % 3 == 0 else [f"t{i}" for i in range(8)] + [f"x{d}"]
+        texts[d * 7 % 997] = " ".join(["hot1", "hot2", *rest])
+    return texts
+
+
+def posted_by(texts, block, monkeypatch, only=None, probe_blocks=1):
+    """Rows that the map step makes of texts in one batch."""
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    counts = np.ones(2**linededup.FREQUENCY_BITS, np.int64)
+    blocks = np.full(2**linededup.FREQUENCY_BITS, -(-len(texts) // block), np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()))], ["doc_id", "text"])
+    run = linededup._extract(linededup._rarity(counts), 80, 24, blocks, only, probe_blocks)
+    return [(k, c, b) for out in run(iter([batch])) for k, c, b in zip(*(x.to_pylist() for x in out.columns))]
+
+
+def test_hot_words_are_dealt_to_blocks(monkeypatch):
+    texts = {d: " ".join([f"t{i}" for i in range(9)] + [f"x{d}"]) for d in range(400)}
+    lists = [len(b) // linededup.POSTING[0].itemsize for k, _, b in posted_by(texts, 20, monkeypatch) if k >= linededup.POSTINGS]
+    assert sum(lists) == 3 * 400
+    assert max(lists) < 60
+    assert max(len(b) // linededup.POSTING[0].itemsize for k, _, b in posted_by(texts, 400, monkeypatch)
+               if k >= linededup.POSTINGS) == 400
+
+
+def test_lines_of_a_template_are_compared_until_decided(monkeypatch):
+    """Pairs compared grow with the lines, not with their square."""
+    texts = {d: " ".join([f"t{i}" for i in range(9)] + [f"x{d}"]) for d in range(3000)}
+    rows = posted_by(texts, 3000, monkeypatch)
+    compared = []
+    count = np.bitwise_count
+    monkeypatch.setattr(linededup.np, "bitwise_count", lambda x: compared.append(len(x)) or count(x))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])],
+                                       ["kind", "cell", "blob"])
+    out = pa.Table.from_batches(linededup._resolve(80, linededup.FIRST)(iter([batch])))
+    assert len({r["doc"] for r in out.to_pylist() if r["kind"] == linededup.POSTINGS}) == 2999
+    assert sum(compared) < 200 * 3000
+
+
+@pytest.mark.parametrize("block", [4, 25])
+def test_blocks_find_the_same(spark, monkeypatch, block):
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    texts = template_lines(120) | {1000 + d: t for d, t in texts_of(17).items()}
+    want = brute(texts)
+    docs = docs_of(spark, texts)
+    counts = linededup.word_frequencies(docs)
+    assert linededup._blocks_of_words(docs, counts, linededup._rarity(counts), 80).max() > 1
+    assert found(linededup.later_matches(docs)) == want
+
+
+def test_sets_of_two_bitmap_widths_meet(spark):
+    texts = {}
+    for d in range(12):
+        base = [f"g{d}w{i}" for i in range(100)]
+        texts[2 * d], texts[2 * d + 1] = " ".join(base[:95]), " ".join(base)
+    want = {(2 * d + 1, 0) for d in range(12)}
+    assert brute(texts) == want
+    assert found(linededup.later_matches(docs_of(spark, texts))) == want
