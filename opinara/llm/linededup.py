@@ -11,8 +11,9 @@ earlier line itself stays does not matter, so every line can be decided by itsel
 3. the texts of candidate lines, on which the similarity is verified.
 
 Equal sets collapse per task and then per key, so a line in a third of all documents costs a
-row per task.  A line with many possible matches names ``FIRST`` of them per word and is not
-compared further; only if all of those fail are its other candidates looked up, without a limit.
+row per task; its repeats within a batch are spread over the tasks.  A line with many possible
+matches names ``FIRST`` of them per word and is not compared further; only if all of those fail
+are its other candidates looked up, without a limit.
 
 A word in the prefixes of many sets (estimated on a sample, which only shapes the work) is dealt
 to blocks of about ``BLOCK`` sets.  A line first meets the sets of its own block; a line without
@@ -38,6 +39,8 @@ CELLS_PER_PARTITION = 4
 FIRST = 2
 #: Sets under one word that a task takes as one side; about so many, as they are dealt by hash.
 BLOCK = 1 << 15
+#: Lines that go for an equal one of their own batch, sent at once.
+GONE_ROWS = 4096
 #: Words on whose lines the sets per word are estimated, about.
 SAMPLED = 1 << 23
 #: Pairs of postings that a task compares at once.
@@ -228,7 +231,10 @@ def _extract(place: np.ndarray, percent: int, cell_bits: int, blocks: np.ndarray
             gone = ordered[repeat & ~_twins(ordered)]
             out = list(_blobs(EQUAL, (ordered["key"] >> top).astype(np.int64)[~repeat], ordered[~repeat]))
             if len(gone):
-                out += _blobs(GONE, np.zeros(len(gone), np.int64), gone)
+                # need no meeting: pieces of bounded size, each where its first line leads
+                piece = np.arange(len(gone)) // GONE_ROWS
+                to = mix(gone["doc"][::GONE_ROWS].astype(np.uint64) + mix(gone["line"][::GONE_ROWS].astype(np.uint64)))
+                out += _blobs(GONE, (to >> top).astype(np.int64)[piece], gone)
             yield batch_of(out)
             for c, parts in enumerate(posted):
                 owner, word, dealt, posting = (np.concatenate(x) for x in zip(*parts))

@@ -179,3 +179,17 @@ def test_sets_of_two_bitmap_widths_meet(spark):
     want = {(2 * d + 1, 0) for d in range(12)}
     assert brute(texts) == want
     assert found(linededup.later_matches(docs_of(spark, texts))) == want
+
+
+def test_repeats_within_batches_are_spread(monkeypatch):
+    """Lines that repeat an equal line of their batch go to many cells, a bounded number of them to each."""
+    cells, sent = {}, 0
+    for batch in range(20):
+        texts = {batch * 1000 + d: "\n".join(["one common line"] * 30) for d in range(200)}
+        for k, c, b in posted_by(texts, 10**6, monkeypatch):
+            if k == linededup.GONE:
+                n = len(b) // linededup.LINE.itemsize
+                cells[c] = cells.get(c, 0) + n
+                sent += n
+    assert sent == 20 * (200 * 30 - 1)
+    assert max(cells.values()) < sent / 10
