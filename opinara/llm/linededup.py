@@ -435,6 +435,11 @@ def _matches(docs: DataFrame, place: np.ndarray, percent: int, blocks: np.ndarra
     return blobs.repartition(partitions, "cell").mapInArrow(_resolve(percent, FIRST if only is None else None), MATCHES)
 
 
+def _pairs_of(found: DataFrame) -> DataFrame:
+    """The candidate pairs of two lines; a line and its repeat in a row of the same doc_id are one line."""
+    return found.where((F.col("kind") == POSTINGS) & ~((F.col("doc") == F.col("with_doc")) & (F.col("line") == F.col("with_line"))))
+
+
 def _words(column: str):
     return F.array_distinct(F.filter(F.split(column, WHITE), lambda w: w != ""))
 
@@ -484,9 +489,7 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     blocks = _blocks_of_words(docs, counts, place, percent)
     found = saved(_matches(docs, place, percent, blocks), "line-matches")
     gone = found.where(F.col("kind") == GONE).select("doc", "line")
-    pairs = (found.where((F.col("kind") == POSTINGS) & ~((F.col("doc") == F.col("with_doc"))
-                                                         & (F.col("line") == F.col("with_line"))))
-             .join(gone, ["doc", "line"], "left_anti"))
+    pairs = _pairs_of(found).join(gone, ["doc", "line"], "left_anti")
     sure = saved(_verified(pairs, docs, percent), "lines-similar")
     gone = gone.union(sure)
     open_lines = saved(found.where(F.col("kind") == OPEN).select("doc", "line").distinct()
@@ -494,8 +497,7 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     n_open = open_lines.count()
     if n_open:
         again = _matches(docs, place, percent, blocks, _filter_of(open_lines), -(-n_open // BLOCK))
-        rest = saved(again.where(F.col("kind") == POSTINGS)
-                     .join(open_lines, ["doc", "line"], "left_semi"), "line-matches")
+        rest = saved(_pairs_of(again).join(open_lines, ["doc", "line"], "left_semi"), "line-matches")
         gone = gone.union(_verified(rest, docs, percent))
     return gone.distinct().select(F.col("doc").alias("doc_id"), "line")
 

@@ -193,3 +193,12 @@ def test_repeats_within_batches_are_spread(monkeypatch):
                 sent += n
     assert sent == 20 * (200 * 30 - 1)
     assert max(cells.values()) < sent / 10
+
+
+def test_a_line_is_not_its_own_match_in_the_second_lookup(spark, monkeypatch):
+    """Rows that repeat a doc_id with similar texts: the line has candidates, but no earlier line."""
+    monkeypatch.setattr(linededup, "FIRST", 0)
+    base = [f"s{i}" for i in range(20)]
+    rows = [(5, " ".join(base)), (5, " ".join(base + ["more"])), (9, " ".join(base + ["other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(linededup.later_matches(docs)) == {(9, 0)}
