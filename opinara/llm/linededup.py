@@ -336,7 +336,8 @@ def _candidates(parts: list[list[np.ndarray]], percent: int, first: int | None):
     new = np.concatenate([[True], runs[1:] != runs[:-1]])
     head, spot = np.flatnonzero(new), (np.cumsum(new) - 1) * n + rank[target]
     runs = runs[head]
-    run = np.searchsorted(runs, (word[probe] << np.uint64(32)) | ((percent * size[probe] + 99) // 100).astype(np.uint64))
+    least = np.searchsorted(runs, (word[probe] << np.uint64(32)) | ((percent * size[probe] + 99) // 100).astype(np.uint64))
+    own = np.searchsorted(runs, (word[probe] << np.uint64(32)) | size[probe].astype(np.uint64))
     end = np.searchsorted(runs, (word[probe] << np.uint64(32)) | (100 * size[probe] // percent).astype(np.uint64), "right")
     seen, more = np.zeros(n, np.int64), np.zeros(n, bool)
 
@@ -353,11 +354,14 @@ def _candidates(parts: list[list[np.ndarray]], percent: int, first: int | None):
             a, b = a[ok], b[ok]
         return a, b
 
+    away = 0  # own size first, then the sizes around it: the most similar ones
     while True:
-        still = (run < end) & ~more[probe]
-        probe, run, end = probe[still], run[still], end[still]
-        if not len(probe):
+        still = ((own + abs(away) < end) | (own - abs(away) >= least)) & ~more[probe]
+        probes, least, own, end = probe[still], least[still], own[still], end[still]
+        if not len(probes):
             break
+        inside = (own + away < end) & (own + away >= least)
+        probe, run = probes[inside], own[inside] + away
         start = head[run]
         many = np.searchsorted(spot, run * n + rank[probe]) - start  # targets of that size before the probe
         active, done = np.flatnonzero(many > 0), 0
@@ -381,7 +385,8 @@ def _candidates(parts: list[list[np.ndarray]], percent: int, first: int | None):
                     yield doc[s], line[s], doc[t], line[t], POSTINGS
             done += width
             active = active[(many[active] > done) & ~more[probe[active]]]
-        run = run + 1
+        probe = probes
+        away = -away if away > 0 else 1 - away
     s = np.flatnonzero(more)
     if len(s):
         yield doc[s], line[s], doc[s], line[s], OPEN
