@@ -4,8 +4,8 @@ Documents with equal word sequences form a class first, so thousands of copies c
 Class representatives are banded (``BANDS`` x ``ROWS`` minima, missing a pair of similarity
 0.8 with probability 3e-6); of every minimum only ``BITS`` low bits are kept, packed into
 longs.  Within a bucket each member meets the bucket's smallest id; a pair whose
-collision-corrected estimate lies five standard errors below the threshold is dropped, the
-others are confirmed on their full sets.  Members that such a star leaves in different
+collision-corrected estimate lies five standard errors below the threshold is dropped unless
+one set has fewer than ``SMALL`` shingles, the others are confirmed on their full sets.  Members that such a star leaves in different
 components then meet in blocks of bounded size, so that no link between different texts is
 lost and no pair list grows with the square of a group.
 """
@@ -26,6 +26,8 @@ from .graph import connected_components
 
 BANDS, ROWS, BITS = 32, 5, 2
 HASHES = BANDS * ROWS
+#: Pairs with a set below this size are confirmed whatever the estimate says.
+SMALL = 64
 #: Members of a bucket that one side of a block pair holds.
 BLOCK = 256
 _rng = np.random.default_rng(7)
@@ -79,7 +81,9 @@ def _signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         for r in range(ROWS):
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + minima[b * ROWS + r])
         keys[:, b] = key
-    low = (minima & np.uint32(2**BITS - 1)).astype(np.uint64)
+    # mixed per function: the low bits of x * A + B agree in all functions at once
+    salt = np.arange(1, HASHES + 1, dtype=np.uint64)[:, None] << np.uint64(32)
+    low = mix(minima + salt) & np.uint64(2**BITS - 1)
     per = 64 // BITS
     packed = np.zeros((len(sets), math.ceil(HASHES / per)), np.uint64)
     for k in range(HASHES):
@@ -163,7 +167,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _across(percent: int):
     """Confirmed links from probes to targets of other components in one block pair; a spanning set of them."""
-    lowest = _lowest_agreement(percent / 100)
+    lowest, few = _lowest_agreement(percent / 100), SMALL
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "probe"], ignore_index=True)
@@ -171,6 +175,7 @@ def _across(percent: int):
         bands = np.stack(rows["bands"].to_numpy())
         bits = np.stack(rows["bits"].to_numpy()).view(np.uint64)
         items = [np.asarray(x).view(np.uint64) for x in rows["items"]]
+        small = np.array([len(x) < few for x in items])
         probe, minor = rows["probe"].to_numpy(), rows["minor"].to_numpy()
         targets = np.flatnonzero(~probe)
         here = int(np.flatnonzero((bands == rows["bucket"].iloc[0]).all(axis=0))[0])
@@ -192,7 +197,7 @@ def _across(percent: int):
             if BITS == 2:
                 z = (z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)
             same = 1 - np.bitwise_count(z).sum(axis=1) / HASHES
-            for y in others[same >= lowest]:
+            for y in others[(same >= lowest) | small[others] | small[x]]:
                 p, q = find(int(components[x])), find(int(components[y]))
                 if p == q:
                     continue
@@ -246,14 +251,14 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     worded = named.where("n > 0")
     classes = saved(worded.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     reps = saved(worded.join(classes, ["k1", "k2"]).where("id = rep")
-                 .select("id", "k1", "k2", "bands", "bits").dropDuplicates(["id", "k1", "k2"]), "reps")
+                 .select("id", "k1", "k2", "n", "bands", "bits").dropDuplicates(["id", "k1", "k2"]), "reps")
     spread = reps.select("id", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("hub")).where("n > 1")
     members = saved(spread.join(shared, "bucket"), "buckets").where("id <> hub")
-    bits = reps.select("id", "bits")
+    bits = reps.select("id", "bits", "n")
     star = (members.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-            .join(bits.toDF("a", "x"), "a").join(bits.toDF("b", "y"), "b")
-            .where(agreement("x", "y") >= _lowest_agreement(percent / 100)).select("a", "b"))
+            .join(bits.toDF("a", "x", "m"), "a").join(bits.toDF("b", "y", "n"), "b")
+            .where((F.least("m", "n") < SMALL) | (agreement("x", "y") >= _lowest_agreement(percent / 100))).select("a", "b"))
     star = saved(star, "star")
     wanted = saved(members.select("id").union(members.select("hub")).distinct(), "wanted")
     full = shingle_sets(keep_keys(docs, wanted.withColumnRenamed("id", "doc_id"), ["doc_id"]), width)

@@ -106,3 +106,22 @@ def test_odd_rows(spark):
     kept = minhash.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 1, 2, 3, 4, 5, 6, None, None], key=repr)
+
+
+def test_chance_agreement_is_independent():
+    """Sets without a common shingle agree in about a quarter of the low bits, never in all or none."""
+    sets = [np.array([v], np.uint64) for v in np.random.default_rng(4).integers(0, 2**63, 400)]
+    _, bits = minhash._signatures(sets)
+    z = bits.view(np.uint64)[::2] ^ bits.view(np.uint64)[1::2]
+    same = 1 - np.bitwise_count((z | (z >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=1) / minhash.HASHES
+    assert abs(same.mean() - 0.25) < 0.01
+    assert same.std() < 0.05
+
+
+def test_small_sets_are_confirmed_whatever_the_estimate(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "_lowest_agreement", lambda threshold: 2.0)
+    texts = {}
+    for i in range(30):
+        words = [f"q{i}n{k}" for k in range(6)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(words[:5])
+    assert found(minhash.near_duplicates(docs_of(spark, texts), 2)) == brute(texts, 2)
