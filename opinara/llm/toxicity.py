@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     Without labels of both kinds nothing is toxic.
     """
-    rows = saved(labelled(docs, labels, "toxic", MOST_LABELLED).coalesce(8), "toxic-rows")
+    # saved first: a coalesce of the join would scan all documents in so few tasks
+    rows = saved(saved(labelled(docs, labels, "toxic", MOST_LABELLED), "toxic-labelled").coalesce(8), "toxic-rows")
     total = {r["label"]: r["count"] for r in rows.withColumn("label", (F.col("label") > 0).cast("int")).groupBy("label").count().collect()}
     nothing = Model(np.full(2**BITS, -1, np.int32), np.zeros(1), np.array([30.0, 31.0, 32.0]))
     if not total.get(0) or not total.get(1):

@@ -70,3 +70,23 @@ def test_odd_rows(spark):
         table = spark.createDataFrame(labels, "doc_id long, toxic int")
         silent = toxicity.fit(odd_docs(spark, "toxic"), table)
         assert not any(r.toxic for r in toxicity.severity(odd_docs(spark, "toxic"), silent).collect())
+
+
+def test_the_scan_for_labelled_rows_is_not_narrowed(spark, monkeypatch):
+    """All documents are read with their own partitioning; only the saved sample is coalesced."""
+    tasks = []
+
+    class Stop(Exception):
+        pass
+
+    def first(df, name):
+        tasks.append(df.rdd.getNumPartitions())
+        raise Stop
+    monkeypatch.setattr(toxicity, "saved", first)
+    docs = spark.range(400).selectExpr("id as doc_id", "'some words' as text").repartition(20)
+    labels = spark.range(400).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    try:
+        toxicity.fit(docs, labels)
+    except Stop:
+        pass
+    assert tasks == [20]
