@@ -166,3 +166,58 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(docs, fit(docs))
     counts = [F.size(F.expr(f"filter(base_spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _op11_sql() -> str:
+    """Trees of up to 16^5 leaves and sources, level by level."""
+    field = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+    leaf = "sha256(" + " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+    bits = "list_reduce(list_concat([{0}], range(8)), lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = ("xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), "
+           "lambda a, b: " + bits.format("xor(a, b)") + "), 4294967295)")
+    text = f"CASE WHEN {crc} % 5 = 0 THEN translate(text, '{_UPPER}', '{_LOWER}') ELSE text END"
+    ctes = [f"""docs AS (SELECT *, {leaf.format(text='text')} AS leaf, {leaf.format(text='changed')} AS claimed
+                FROM (SELECT *, {text} AS changed FROM documents))""",
+            """s0 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+                      leaf AS digest, claimed AS fold, '' AS proof FROM docs)"""]
+
+    def level(of: str, to: str, by: str, nodes: str, keep: str) -> None:
+        """One level: runs of the distinct nodes, and each leaf's fold and proof."""
+        part = f"PARTITION BY {by}" if by else ""
+        match = f"r.{by} IS NOT DISTINCT FROM d.{by} AND" if by else ""
+        group = f"{by}," if by else ""
+        ctes.append(f"""{of}n AS (SELECT *, count(*) OVER ({part}) AS n FROM (SELECT DISTINCT {group} {nodes} FROM {of}))""")
+        ctes.append(f"""{of}r AS (SELECT {group} pos // 16 AS run, any_value(n) AS n, list(digest ORDER BY pos) AS run_digests
+                        FROM {of}n GROUP BY {group} pos // 16)""")
+        beside = "array_to_string(run_digests[1:d.pos % 16], '')", "array_to_string(run_digests[d.pos % 16 + 2:], '')"
+        ctes.append(f"""{to} AS (SELECT {keep}, CASE WHEN n = 1 THEN d.pos ELSE d.pos // 16 END AS pos,
+            CASE WHEN n = 1 THEN digest ELSE sha256(array_to_string(run_digests, '')) END AS digest,
+            CASE WHEN n = 1 THEN fold ELSE sha256({beside[0]} || fold || {beside[1]}) END AS fold,
+            CASE WHEN n = 1 THEN proof ELSE proof || {beside[0]} || {beside[1]} END AS proof
+            FROM {of} d JOIN {of}r r ON {match} d.pos // 16 = r.run)""")
+    for i in range(5):
+        level(f"s{i}", f"s{i + 1}", "source", "pos, digest", "d.doc_id, d.source, d.leaf")
+    ctes.append("""t0 AS (SELECT doc_id, leaf, digest AS subroot, digest, fold, proof,
+                          dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM s5)""")
+    for i in range(5):
+        level(f"t{i}", f"t{i + 1}", "", "pos, digest", "d.doc_id, d.leaf, d.subroot")
+    return f"""WITH {", ".join(ctes)}
+        SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, fold AS folded_root,
+               fold = digest AS verified FROM t5"""
+
+
+@query("op11_merkle_manifest", _op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, tested against a copy in which some texts were lower-cased."""
+    from pyspark.sql import functions as F
+
+    from .merkle import folded, manifest, proof_digest
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
+    return (manifest(docs, tampered).withColumn("folded_root", folded("claimed"))
+            .select("doc_id", "leaf", "subroot", "root", proof_digest().alias("proof_sha256"), "folded_root",
+                    (F.col("folded_root") == F.col("root")).alias("verified")))
