@@ -221,3 +221,20 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (manifest(docs, tampered).withColumn("folded_root", folded("claimed"))
             .select("doc_id", "leaf", "subroot", "root", proof_digest().alias("proof_sha256"), "folded_root",
                     (F.col("folded_root") == F.col("root")).alias("verified")))
+
+
+#: Tokens beyond which a document is over the limit.
+TOKEN_LIMIT = 4096
+
+
+@query("op12_token_counts")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document, through a cache that begins empty."""
+    from pyspark.sql import functions as F
+
+    from opinara.session import scratch_path
+
+    from .tokencache import token_counts
+
+    counted = token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), scratch_path(spark, "token-cache"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
