@@ -238,3 +238,21 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counted = token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), scratch_path(spark, "token-cache"))
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after a fixed damage."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from .repair import audit, damaged, repair, text_digests
+
+    conversations = _table(spark, sf_dir, "conversations")
+    reports, rows = repair(damaged(conversations))
+    every = conversations.select("conv_id").distinct().withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("")))
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return (every.join(reports, "key", "left").join(text_digests(rows), "key", "left")
+            .select("conv_id", *numbers, F.coalesce(audit(F.col("plan")), F.lit("")).alias("audit"),
+                    F.coalesce("digest", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256")))
