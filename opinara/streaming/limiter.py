@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from opinara import config
+from opinara.operators.limits import walk
 
 OUTPUT = "client string, ts timestamp, seq bigint, admitted boolean, retry_after double"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -32,16 +34,13 @@ class SlidingWindow(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         window = sorted(us for (us,) in self.admitted.get())
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        instants = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
-        admitted, retry = [], []
-        for us in instants:
-            window = [t for t in window if t > us - self.width]
-            ok = self.limit <= 0 or len(window) < self.limit
-            admitted.append(ok)
-            retry.append(None if ok else max(1.0, (window[0] + self.width - us) / 1e6))
-            if ok and self.limit > 0:
-                window.append(us)
+        batch = pd.concat([r[["ts", "seq"]] for r in rows], ignore_index=True).sort_values(["ts", "seq"], kind="stable")
+        instants = batch["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        admitted, retry = np.ones(len(batch), bool), np.full(len(batch), np.nan)
+        if self.limit > 0 and self.width > 0:
+            for i, j, free in walk(instants.tolist(), window, self.limit, self.width):
+                admitted[i:j], retry[i:j] = False, np.maximum(1.0, (free - instants[i:j]) / 1e6)
+            window = [us for us in window if us > instants[-1] - self.width]
         if window:
             self.admitted.put([(int(us),) for us in window])
         else:
@@ -51,7 +50,7 @@ class SlidingWindow(StatefulProcessor):
         if window:
             self.handle.registerTimer((window[-1] + self.width) // 1000 + 1)
         yield pd.DataFrame({"client": key[0], "ts": batch["ts"].tolist(), "seq": batch["seq"].tolist(),
-                            "admitted": admitted, "retry_after": pd.array(retry, dtype="Float64").astype("float64")})
+                            "admitted": admitted, "retry_after": retry})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.admitted.clear()

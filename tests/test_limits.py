@@ -87,3 +87,49 @@ def test_requests_without_a_time_are_handed_back(spark):
 
     df = spark.createDataFrame([(1, None), (2, "2024-01-01 10:00:00")], "seq bigint, t string").select("seq", F.try_to_timestamp("t").alias("ts"))
     assert {r.seq: (r.allowed, r.retry_after) for r in daily_budget(df, 1).collect()} == {1: (False, None), 2: (True, None)}
+
+
+def _jobs(spark, tag, fn):
+    spark.sparkContext.setJobGroup(tag, tag)
+    try:
+        fn()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(tag))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_clients_over_borders_calm_and_hammering(spark):
+    rng = random.Random(7)
+    hits = [("hammer", s) for s in sorted(rng.randint(0, 20_000) for _ in range(3000))]
+    hits += [("polite", 40 * k + rng.randint(0, 9)) for k in range(1500)]                     # hot, never refused
+    hits += [("bursts", 1000 * (k // 60) + rng.randint(0, 90)) for k in range(3000)]          # busy and calm in turn
+    hits += [(f"c{i % 50}", rng.randint(0, 3000)) for i in range(500)] + [("z", 5)] * 40
+    for limit, window in ((3, 100), (1, 30), (7, 500)):
+        assert decide(spark, hits, limit, window) == brute(hits, limit, window)
+
+
+def test_batches_of_any_size_decide_the_same(spark):
+    rng = random.Random(8)
+    hits = [(f"c{rng.randint(0, 4)}", rng.randint(0, 4000)) for _ in range(1500)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert decide(spark, hits, 3, 60) == brute(hits, 3, 60)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_jobs_do_not_grow_with_the_log(spark):
+    hits = [("a", 3600 * h + k) for h in range(8760) for k in range(3)]
+    df = log(spark, hits)
+    got = []
+    jobs = _jobs(spark, "limiter", lambda: got.extend(L.admit_requests(spark, df, 2, 3600).collect()))
+    assert jobs <= 10
+    want = brute(hits, 2, 3600)
+    assert {r.seq: r.admitted for r in got} == {i: ok for i, (ok, _) in want.items()}
+
+
+def test_requests_without_client_or_time_are_admitted(spark):
+    rows_ = [(None, START, 1), (None, START, 2), ("a", None, 3), ("a", START, 4), ("a", START, 5)]
+    got = L.admit_requests(spark, spark.createDataFrame(rows_, "client string, ts timestamp, seq bigint"), 1, 60).collect()
+    assert {r.seq: (r.admitted, r.retry_after) for r in got} == {1: (True, None), 2: (True, None), 3: (True, None), 4: (True, None), 5: (False, 60.0)}
+    assert L.admit_requests(spark, log(spark, []), 1, 60).count() == 0
