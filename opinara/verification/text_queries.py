@@ -236,7 +236,38 @@ def j10(spark, d):
     return grown.select("guid", "seg_idx", "lo", "hi", F.col("words").cast("bigint").alias("words"), "start_s", _md5("text").alias("text_md5"))
 
 
-@query("w9_passages_per_minute", "WITH " + _hits_sql("SELECT conv_id || ':' || turn AS doc, lower(text) AS lc FROM conversations").rstrip().rstrip(",") + _GROW.format(
+_STEP = "(1 + conv_id % 4 * 20)"
+_SPARSE = f"""
+WITH pc AS (SELECT conv_id || ':' || turn AS guid, {_STEP} AS step, string_split(text, '.') AS ps FROM conversations),
+sg AS (SELECT guid, k AS i, step, CASE WHEN k % step = 0 THEN trim(ps[k // step + 1]) ELSE '' END AS text
+       FROM (SELECT *, unnest(range(len(ps) * step)) AS k FROM pc)),
+sw AS (SELECT *, len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS w FROM sg),
+pf AS (SELECT *, sum(w) OVER (PARTITION BY guid ORDER BY i) AS upto, max(i) OVER (PARTITION BY guid) AS last FROM sw),
+tr AS (SELECT guid, i, last, w FROM pf WHERE i % (3 * step) = 0),
+st AS (SELECT *, unnest(range(0, last + 1)) AS k FROM tr),
+ed AS (SELECT guid, i, k, w, i - least(i, greatest((k + 1) // 2, k - (last - i))) AS lo, i + k - least(i, greatest((k + 1) // 2, k - (last - i))) AS hi FROM st),
+sz AS (SELECT e.guid, e.i, e.k, e.lo, e.hi, h.upto - l.upto + l.w AS words FROM ed e JOIN pf h ON h.guid = e.guid AND h.i = e.hi JOIN pf l ON l.guid = e.guid AND l.i = e.lo),
+gr AS (SELECT * FROM sz QUALIFY row_number() OVER (PARTITION BY guid, i ORDER BY words < 140, CASE WHEN words < 140 THEN -k ELSE k END) = 1)
+SELECT g.guid, CAST(g.i AS INTEGER) AS seg_idx, CAST(lo AS INTEGER) AS lo, CAST(hi AS INTEGER) AS hi, CAST(any_value(g.words) AS BIGINT) AS words,
+       lo * 1e0 AS start_s, md5(trim(string_agg(s.text, ' ' ORDER BY s.i))) AS text_md5
+FROM gr g JOIN sg s ON s.guid = g.guid AND s.i BETWEEN lo AND hi GROUP BY g.guid, g.i, lo, hi"""
+
+
+@query("j10_blank_segments", _SPARSE)
+def j10_blank(spark, d):
+    """Every turn an episode, its sentences the segments, with up to 60 blank segments between them."""
+    step = F.expr(_STEP)
+    pieces = A.table(spark, d, "conversations").select(
+        F.concat_ws(":", "conv_id", "turn").alias("guid"), step.alias("step"), F.split("text", "[.]").alias("ps"))
+    segments = (pieces.withColumn("seg_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.size("ps") * F.col("step") - 1))).select(
+        "guid", F.col("seg_idx").cast("int").alias("seg_idx"), F.col("seg_idx").cast("double").alias("start"), F.lit(None).cast("string").alias("speaker"),
+        F.when(F.col("seg_idx") % F.col("step") == 0, F.trim(F.get("ps", F.expr("cast(seg_idx div step as int)")))).otherwise("").alias("text"),
+        (F.col("seg_idx") % (F.col("step") * 3) == 0).alias("named")))
+    grown = G.expand_passages(segments, F.col("named"))
+    return grown.select("guid", "seg_idx", "lo", "hi", F.col("words").cast("bigint").alias("words"), "start_s", _md5("text").alias("text_md5"))
+
+
+_PASSAGES = ("WITH " + _hits_sql("SELECT conv_id || ':' || turn AS doc, lower(text) AS lc FROM conversations").rstrip().rstrip(",") + _GROW.format(
     trigger="guid || ':' || i IN (SELECT doc FROM cued)").replace("cued", "cued") + """,
 ps AS (SELECT guid || ':' || i AS doc, lower(text) AS lc, * FROM gr WHERE words >= 25),
 """ + _hits_sql("SELECT doc, lc FROM ps").replace("src AS", "src2 AS").replace("FROM src)", "FROM src2)").replace("al(subject", "al2(subject").replace("JOIN al ", "JOIN al2 ")
@@ -245,6 +276,10 @@ ps AS (SELECT guid || ':' || i AS doc, lower(text) AS lc, * FROM gr WHERE words
 k AS (SELECT *, count(*) OVER (PARTITION BY doc) AS listed, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first_start, subject) AS r FROM n),
 em AS (SELECT ps.guid, ps.i, ps.lo, ps.words, k.subject, k.n FROM k JOIN ps USING (doc) WHERE listed <= 4 AND (r = 1 OR n >= 2)),
 f AS (SELECT * FROM em QUALIFY row_number() OVER (PARTITION BY guid, subject, lo * 30 // 60 ORDER BY i) = 1)
+""")
+
+
+@query("w9_passages_per_minute", _PASSAGES + """
 SELECT 'x' || guid || ':' || subject || ':' || (lo * 30) AS external_id, subject, CAST(i AS INTEGER) AS seg_idx, CAST(words AS BIGINT) AS words, n AS mentions FROM f""")
 def w9(spark, d):
     built = G.build_passages(A.segments(spark, d), _aliases(spark), cues=CUES)
@@ -252,7 +287,12 @@ def w9(spark, d):
                         F.col("words").cast("bigint").alias("words"), F.col("mentions").cast("bigint").alias("mentions"))
 
 
-@query("w9_passage_records")
+@query("w9_passage_records", _PASSAGES + """
+SELECT guid || ':' || subject || ':' || (lo * 30) AS external_id, 'show ' || CAST(guid AS BIGINT) % 5 AS source, 'podcast' AS source_type, subject,
+       'Episode ' || guid AS title, CASE WHEN CAST(guid AS BIGINT) % 7 <> 0 THEN 'https://audio.example/' || guid || '#t=' || (lo * 30) END AS url,
+       strftime(make_timestamp((1704067200 + CAST(guid AS BIGINT) * 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS ts, CAST(words AS BIGINT) AS words, c.role AS speaker
+FROM f JOIN conversations c ON c.conv_id = CAST(f.guid AS BIGINT) AND c.turn = f.i""")
 def w9_records(spark, d):
     out = G.build_passages(A.segments(spark, d), _aliases(spark), A.episodes(spark, d), cues=CUES)
-    return out.select("external_id", "source", "source_type", "subject", "title", "url", F.col("ts").cast("string").alias("ts"), "words", "speaker")
+    return out.select("external_id", "source", "source_type", "subject", "title", "url", F.col("ts").cast("string").alias("ts"),
+                      F.col("words").cast("bigint").alias("words"), "speaker")

@@ -148,6 +148,27 @@ def test_growth_against_brute_force_over_chunk_edges(spark, monkeypatch, chunk):
     assert got == sorted(((i, *brute_growth(lengths, i)) for i in range(0, len(lengths), 3)), key=repr)
 
 
+@pytest.mark.parametrize("chunk", [512, 150])
+def test_growth_over_blank_segments(spark, monkeypatch, chunk):
+    monkeypatch.setattr(G, "CHUNK_SEGMENTS", chunk)
+    monkeypatch.setattr(G, "BLOCK_SEGMENTS", 400)
+    rng = random.Random(5)
+    lengths = [rng.choice([0, 0, 0, 1, 2, 9, 40]) for _ in range(700)] + [0] * 200 + [2] + [0] * 200 + [200] + [1] * 100 + [0] * 1500 + [3, 0, 0]
+    texts = [" ".join(["w"] * n) for n in lengths]
+    got = {r.seg_idx: r for r in G.expand_passages(segs(spark, texts), F.col("seg_idx") % 3 == 0).collect()}
+    assert sorted(got) == list(range(0, len(lengths), 3))
+    for i, r in got.items():
+        lo, hi, words = brute_growth(lengths, i)
+        assert (r.lo, r.hi, r.words, r.start_s, r.text) == (lo, hi, words, 5.0 * lo, " ".join(texts[lo:hi + 1]).strip()), i
+
+
+def test_two_hundred_blanks_beside_a_trigger(spark):
+    texts = ["a b"] + [""] * 200 + [" ".join(["w"] * 200)]
+    got = rows(G.expand_passages(segs(spark, texts), F.col("seg_idx") == 0), "seg_idx", "lo", "hi", "words")
+    assert got == [(0, 0, 201, 202)]
+    assert rows(G.expand_passages(segs(spark, ["", "", ""]), F.lit(True)), "seg_idx", "lo", "hi", "words", "text") == [(i, 0, 2, 0, "") for i in range(3)]
+
+
 def test_transcript_parsing(spark):
     raw = "00:00:02\nSpeaker 1: Radio news\n and more.\n\n00:00:18\nJane Doe: Hello there.\n\n00:00:20\n\n\n01:00:33\nno speaker: lower case\n"
     df = spark.createDataFrame([("g", raw)], "guid string, raw string")
