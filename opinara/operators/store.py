@@ -10,6 +10,9 @@ from opinara.operators.search import semantic_search
 from opinara.sources import sinks
 
 
+_READING_KEYS = ["subject", "computed_at"]
+
+
 class OpinionStore:
     """Items, readings, episode ledger and daily rows below one shared folder.
 
@@ -41,20 +44,19 @@ class OpinionStore:
 
     def known_ids(self, batch: DataFrame) -> DataFrame:
         """Ids of the batch that the corpus already has."""
-        ids = batch.select(sinks.item_key().alias("external_id")).filter("external_id is not null").distinct()
-        return ids.join(self.items().select("external_id"), "external_id", "left_semi")
+        return sinks.known_keys(self.spark, self._path("item"), batch.select(sinks.item_key().alias("external_id")))
 
     def drop_known(self, batch: DataFrame) -> DataFrame:
         """The batch without known items; run this ahead of scoring."""
         keyed = batch.withColumn("_key", sinks.item_key())
-        return keyed.join(self.items().select(F.col("external_id").alias("_key")), "_key", "left_anti").drop("_key")
+        return keyed.join(self.known_ids(batch).withColumnRenamed("external_id", "_key"), "_key", "left_anti").drop("_key")
 
     # --- readings --------------------------------------------------------------------------
     def readings(self) -> DataFrame:
-        return sinks.read_table(self.spark, self._path("subject_reading"), schemas.READING)
+        return sinks.read_latest(self.spark, self._path("subject_reading"), schemas.READING, _READING_KEYS)
 
     def save_readings(self, batch: DataFrame, write_seq: str | None = None) -> None:
-        sinks.upsert(self.spark, self._path("subject_reading"), batch, ["subject", "computed_at"],
+        sinks.upsert(self.spark, self._path("subject_reading"), batch, _READING_KEYS,
                      schemas.READING, "subject", write_seq)
 
     def latest_reading(self, subject: str | None = None) -> DataFrame:
@@ -69,17 +71,24 @@ class OpinionStore:
 
     # --- episodes ----------------------------------------------------------------------------
     def ledger(self) -> DataFrame:
-        return sinks.read_table(self.spark, self._path("processed_episode"), schemas.LEDGER)
+        return sinks.read_latest(self.spark, self._path("processed_episode"), schemas.LEDGER, ["guid"])
 
     def mark_episodes(self, batch: DataFrame, write_seq: str | None = None) -> None:
-        sinks.upsert_ledger(self.spark, self._path("processed_episode"), batch, schemas.LEDGER, write_seq)
+        sinks.upsert(self.spark, self._path("processed_episode"), batch, ["guid"], schemas.LEDGER, None, write_seq)
 
     def ledger_stats(self) -> DataFrame:
         return R.ledger_stats(self.ledger())
 
     # --- daily rows -----------------------------------------------------------------------------
     def daily(self) -> DataFrame:
-        return sinks.read_table(self.spark, self._path("daily_consensus"), schemas.DAILY)
+        return sinks.read_latest(self.spark, self._path("daily_consensus"), schemas.DAILY, ["run_date"])
 
     def save_daily(self, batch: DataFrame, write_seq: str | None = None) -> None:
-        sinks.upsert(self.spark, self._path("daily_consensus"), batch, ["run_date"], schemas.DAILY, "run_date", write_seq)
+        sinks.upsert(self.spark, self._path("daily_consensus"), batch, ["run_date"], schemas.DAILY, None, write_seq)
+
+    # --- upkeep -------------------------------------------------------------------------------------
+    def compact(self) -> None:
+        """Leave out replaced readings, ledger and daily rows; items are never replaced."""
+        sinks.compact(self.spark, self._path("subject_reading"), schemas.READING, _READING_KEYS, "subject")
+        sinks.compact(self.spark, self._path("processed_episode"), schemas.LEDGER, ["guid"])
+        sinks.compact(self.spark, self._path("daily_consensus"), schemas.DAILY, ["run_date"])

@@ -42,23 +42,32 @@ def a14_key(spark, d):
     return sinks.first_wins(rows.withColumn("key", sinks.item_key()), "key", "event_id").select("event_id", "key")
 
 
+def _third_stored(spark, d):
+    """A store that holds every third item, and all items."""
+    items = _typed(A.items_e(spark, d), schemas.ITEM).withColumn("event_id", F.col("ingest_seq"))
+    store = OpinionStore(spark, scratch_path(spark, "items"))
+    store.append_items(items.filter("event_id % 3 = 0"))
+    return store, items
+
+
 @query("j5_drop_known_items", sql("items_e", "SELECT external_id, score FROM items_e WHERE event_id % 3 <> 0"))
 def j5(spark, d):
-    items = A.items_e(spark, d)
-    return sinks.new_items(items, items.filter("event_id % 3 = 0")).select("external_id", "score")
+    store, items = _third_stored(spark, d)
+    return store.drop_known(items).select("external_id", "score")
 
 
 @query("j5_known_ids", sql("items_e", "SELECT external_id FROM items_e WHERE event_id % 3 = 0 AND event_id % 2 = 0"))
 def j5_semi(spark, d):
-    items = A.items_e(spark, d)
-    return items.filter("event_id % 2 = 0").join(items.filter("event_id % 3 = 0").select("external_id"), "external_id", "left_semi").select("external_id")
+    store, items = _third_stored(spark, d)
+    return store.known_ids(items.filter("event_id % 2 = 0"))
 
 
 @query("u5_fetched_except_known", sql("items_e", """
 SELECT external_id FROM items_e EXCEPT SELECT external_id FROM items_e WHERE event_id % 3 = 0"""))
 def u5(spark, d):
+    """What a fetch brought and the corpus lacks, by the sink's own rule."""
     items = A.items_e(spark, d)
-    return items.select("external_id").exceptAll(items.filter("event_id % 3 = 0").select("external_id"))
+    return sinks.new_items(items, items.filter("event_id % 3 = 0")).select("external_id")
 
 
 @query("s11_item_sink", sql("items_e", """

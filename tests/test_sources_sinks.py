@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -139,3 +140,66 @@ def test_atom_text_is_summary_else_content_else_title(spark):
                ("a", 1, "<entry><title>T</title><summary>S</summary><content>C</content></entry>"), ("a", 2, "<entry><title>T</title></entry>")]
     df = spark.createDataFrame(entries, "source string, ingest_seq bigint, payload string")
     assert [r.text for r in feeds.parse_atom_entries(df).orderBy("ingest_seq").collect()] == ["C", "S", "T"]
+
+
+def test_item_sink_reads_keys_not_items(spark, tmp_path):
+    """Nothing below the item rows is opened by a second append: their folder could be gone."""
+    store = OpinionStore(spark, str(tmp_path))
+    many = item_rows(spark, [(f"k{i}", None, f"S{i % 3}", i % 100, i) for i in range(500)])
+    assert store.append_items(many) == 500
+    (tmp_path / "item" / "rows").rename(tmp_path / "item" / "away")
+    more = item_rows(spark, [(f"k{i}", None, "S9", 1, 1000 + i) for i in range(495, 510)])
+    assert store.append_items(more) == 10
+    assert rows(store.known_ids(more.unionByName(item_rows(spark, [("zz", None, "S", 1, 1)])))) == sorted((f"k{i}",) for i in range(495, 510))
+    for f in (tmp_path / "item" / "away").iterdir():
+        f.rename(tmp_path / "item" / "rows" / f.name)
+    assert store.items().count() == 510 and store.items("S9").count() == 10
+
+
+def test_every_key_has_its_bit(spark, tmp_path):
+    keys = spark.range(20_000).selectExpr("concat('key ', id) as external_id")
+    sinks.append_items(spark, str(tmp_path / "t"), keys.selectExpr("external_id", "'' as url", "'S' as subject", "cast(1 as bigint) as ingest_seq"),
+                       keys.selectExpr("external_id", "'S' as subject", "cast(1 as bigint) as ingest_seq").schema)
+    asked = spark.range(10_000, 30_000).selectExpr("concat('key ', id) as external_id")
+    assert sinks.known_keys(spark, str(tmp_path / "t"), asked).count() == 10_000
+
+
+def test_a_reader_sees_all_of_a_write_or_nothing(spark, tmp_path):
+    from opinara.sources.versions import Versions, write
+
+    path, schema = str(tmp_path / "t"), spark.range(1).selectExpr("id", "'a' as p").schema
+
+    def batch(label):
+        return spark.range(4).selectExpr("id", f"'{label}' || id % 2 as p")
+    sinks.upsert(spark, path, batch("a"), ["id"], schema, "p")
+    before = rows(sinks.read_latest(spark, path, schema, ["id"]))
+    table = Versions(spark, path)
+    n, _ = table.current()
+    folder = table.new_folder("rows", n)
+    write(batch("b").filter("p = 'b0'"), table.path(folder), "p")                 # one partition has landed
+    assert rows(sinks.read_latest(spark, path, schema, ["id"])) == before
+    write(batch("b").filter("p = 'b1'"), table.path(folder) + "/x", "p")         # and the other
+    assert rows(sinks.read_latest(spark, path, schema, ["id"])) == before
+    sinks.upsert(spark, path, batch("c"), ["id"], schema, "p")
+    assert rows(sinks.read_latest(spark, path, schema, ["id"])) == [(i, f"c{i % 2}") for i in range(4)]
+    with pytest.raises(RuntimeError):
+        table.switch(n, [folder])                                                 # somebody else was first
+
+
+def test_ledger_is_appended_and_compacted(spark, tmp_path):
+    store = OpinionStore(spark, str(tmp_path))
+
+    def batch(status, ids):
+        made = spark.createDataFrame([(str(i), status) for i in ids], "guid string, status string")
+        return made.select(*[(F.col(f.name) if f.name in made.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.LEDGER.fields])
+    store.mark_episodes(batch("failed", range(2000)))
+    for _ in range(2):                                                             # a batch and its replay
+        store.mark_episodes(batch("ok", range(1900, 2100)).coalesce(1))
+    ledger = tmp_path / "processed_episode" / "rows"
+    newest = max(ledger.iterdir(), key=lambda f: int(f.name.split("-")[0].split("=")[1]))
+    assert len(list(newest.glob("*.parquet"))) == 1
+    want = [(str(i), "ok" if i >= 1900 else "failed") for i in range(2100)]
+    assert rows(store.ledger(), "guid", "status") == sorted(want, key=repr)
+    store.compact()
+    assert rows(store.ledger(), "guid", "status") == sorted(want, key=repr)
+    assert "Window" not in store.ledger()._jdf.queryExecution().executedPlan().toString()
