@@ -114,6 +114,6 @@ SEARCH_ITEM_URL = "https://news.ycombinator.com/item?id="
 EMBEDDING_DIM = 384
 
 # --- limits of our own ------------------------------------------------------------------
-# An alias dimension up to this many (subject, alias) rows is inlined in the plan as a
-# literal; a larger one goes through the token equi-join in ``operators.mentions``.
-MAX_INLINE_ALIASES = 500
+# An alias dimension up to this many (subject, alias) rows (about 100 MB in a task) becomes an
+# index; a larger one goes through the token equi-join in ``operators.mentions``.
+MAX_INDEXED_ALIASES = 1_000_000

@@ -4,22 +4,23 @@ A mention is a whole-word hit of one of a subject's aliases.  Longer aliases are
 and a hit that starts inside an accepted one does not count.  An alias that is also an
 ordinary word only counts with finance vocabulary close by.
 
-Counting is one JVM expression per text, so long texts are neither exploded nor shuffled.
-What differs by size of the alias dimension is how a text finds its candidate subjects:
-
-* a small dimension (checked against ``MAX_INLINE_ALIASES``) is inlined as a literal;
-* a larger one is joined: distinct tokens of the texts against one anchor token per alias.
+An alias dimension of up to ``MAX_INDEXED_ALIASES`` rows (checked) becomes an index that goes to the tasks;
+a text is walked once, where it lies, whether there are five aliases or half a million.  A larger dimension
+is joined: distinct tokens of the texts against one anchor token per alias, then one JVM expression per
+text and candidate.
 """
 
 from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opinara import config
 from opinara.functions.scalars import let
 from opinara.functions.text import clean_alias, is_usable_alias
+from opinara.operators.alias_index import COUNTS, AliasIndex
 
 SUBJECT_ALIASES = "array<struct<subject:string,aliases:array<struct<alias:string,ambiguous:boolean>>>>"
 _SPANS = "cast(array() as array<struct<s:int,e:int>>)"
@@ -156,36 +157,33 @@ def mention_counts(lowered: Column | str, subjects: Column, strict: bool = True,
 
 # --- candidates --------------------------------------------------------------------------------
 class AliasSet:
-    """An alias dimension prepared for counting; knows whether it is small enough to inline."""
+    """An alias dimension prepared for counting; knows whether it is small enough for an index."""
 
-    def __init__(self, alias_dim: DataFrame, max_inline: int = config.MAX_INLINE_ALIASES):
+    def __init__(self, alias_dim: DataFrame, max_indexed: int = config.MAX_INDEXED_ALIASES):
         self.alias_dim = alias_dim
-        head = alias_dim.select("subject", "alias", "ambiguous").limit(max_inline + 1).collect()
-        self.inline = len(head) <= max_inline
-        self.rows = sorted(((r.subject, r.alias, bool(r.ambiguous)) for r in head),
-                           key=lambda r: (r[0], -len(r[1]), r[1])) if self.inline else []
-
-    def literal(self) -> Column:
-        """All subjects with their aliases, longest first, as one array literal."""
-        grouped: dict[str, list] = {}
-        for subject, alias, ambiguous in self.rows:
-            grouped.setdefault(subject, []).append(
-                F.struct(F.lit(alias).alias("alias"), F.lit(ambiguous).alias("ambiguous")))
-        if not grouped:
-            return F.expr(f"cast(array() as {SUBJECT_ALIASES})")
-        return F.array(*[F.struct(F.lit(s).alias("subject"), F.array(*a).alias("aliases"))
-                         for s, a in grouped.items()])
-
-    def pattern(self) -> str:
-        """One pattern that is true exactly for texts with at least one whole-word alias."""
-        return rf"(?U)\b{any_of(alias for _, alias, _ in self.rows)}\b" if self.rows else r"(?!)"
-
-    def with_candidates(self, texts: DataFrame, text: str, doc_id: list[str]) -> DataFrame:
-        """``texts`` that may mention a subject: adds ``_lc`` (lower case) and ``_subjects`` to try."""
-        lowered = texts.withColumn("_lc", F.lower(text))
-        if self.inline:
-            return lowered.filter(F.col("_lc").rlike(self.pattern())).withColumn("_subjects", self.literal())
-        return lowered.join(self._candidates_by_token(texts, text, doc_id), doc_id)
+        head = alias_dim.select("subject", "alias", "ambiguous").limit(max_indexed + 1).toArrow()
+        self.indexed = head.num_rows <= max_indexed
+        self.rows = list(zip(*(head.column(i).to_pylist() for i in range(3)))) if self.indexed else []
+
+    def counts(self, lowered: Column | str, strict: bool = True, cues: tuple[str, ...] = config.CONTEXT_CUES) -> Column:
+        """``array<struct<subject, n, first_start>>`` of the subjects mentioned in a lower-cased text, by index."""
+        rows = self.rows
+        made: list[AliasIndex] = []
+
+        @F.arrow_udf(COUNTS)
+        def counted(texts: pa.Array) -> pa.Array:
+            if not made:
+                made.append(AliasIndex(rows, strict, cues))
+            return made[0].arrays(texts)
+        return counted(lowered)
+
+    def with_counts(self, texts: DataFrame, text: str, doc_id: list[str], strict: bool = True,
+                    cues: tuple[str, ...] = config.CONTEXT_CUES) -> DataFrame:
+        """``texts`` with ``_counts`` of the subjects that each one mentions; those that mention none may be missing."""
+        if self.indexed:
+            return texts.withColumn("_counts", self.counts(F.lower(text), strict, cues))
+        named = texts.withColumn("_lc", F.lower(text)).join(self._candidates_by_token(texts, text, doc_id), doc_id)
+        return named.withColumn("_counts", mention_counts("_lc", F.col("_subjects"), strict, cues)).drop("_lc", "_subjects")
 
     def _candidates_by_token(self, texts: DataFrame, text: str, doc_id: list[str]) -> DataFrame:
         """Candidate subjects per text through an equi-join of tokens and alias anchors.
@@ -211,9 +209,7 @@ def count_subjects(texts: DataFrame, aliases: AliasSet, text: str = "text", doc_
                    strict: bool = True, cues: tuple[str, ...] = config.CONTEXT_CUES) -> DataFrame:
     """``(doc_id.., subject, n, first_start)``: mentions per text and subject."""
     doc_id = [doc_id] if isinstance(doc_id, str) else list(doc_id)
-    return (aliases.with_candidates(texts.select(*doc_id, text), text, doc_id)
-            .select(*doc_id, F.inline_outer(mention_counts("_lc", F.col("_subjects"), strict, cues)))
-            .filter("subject is not null"))
+    return aliases.with_counts(texts.select(*doc_id, text), text, doc_id, strict, cues).select(*doc_id, F.inline("_counts"))
 
 
 def find_subjects(texts: DataFrame, aliases: AliasSet, text: str = "text", doc_id: list[str] | str = "doc_id",
@@ -246,7 +242,7 @@ def emit_set(counts: DataFrame, doc_id: list[str] | str = "doc_id") -> DataFrame
 def episodes_naming_a_subject(episodes: DataFrame, aliases: AliasSet) -> DataFrame:
     """Episodes whose title or description names a subject; loose, before any transcript work."""
     blob = F.concat_ws(" ", "title", "description")
-    if aliases.inline:
-        return episodes.filter(F.lower(blob).rlike(aliases.pattern()))
+    if aliases.indexed:
+        return episodes.filter(F.size(aliases.counts(F.lower(blob), strict=False)) > 0)
     named = find_subjects(episodes.select("guid", blob.alias("text")), aliases, doc_id="guid", strict=False)
     return episodes.join(named.select("guid"), "guid", "left_semi")

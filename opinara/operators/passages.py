@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from opinara import config
 from opinara.functions.scalars import let
 from opinara.functions.text import deep_link, minute_bucket, passage_id, word_count
-from opinara.operators.mentions import AliasSet, attribute, mention_counts
+from opinara.operators.mentions import AliasSet, attribute
 
 #: Segments with words in a chunk; positions in a block of the first ranking step.
 CHUNK_SEGMENTS = 512
@@ -124,17 +124,15 @@ def build_passages(segments: DataFrame, aliases: AliasSet, episodes: DataFrame |
     whole context.  ``episodes`` (``guid, show, title, audio_url, published``) fills in source,
     title, deep link and time.
     """
-    if aliases.inline:
-        passages = expand_passages(segments, F.lower("text").rlike(aliases.pattern()))
+    if aliases.indexed:
+        segments = segments.withColumn("_named", F.size(aliases.counts(F.lower("text"), False, cues)) > 0)
     else:
-        hits = aliases.with_candidates(segments.select("guid", "seg_idx", "text"), "text", ["guid", "seg_idx"])
-        named = (hits.filter(F.size(mention_counts("_lc", F.col("_subjects"), strict=False, cues=cues)) > 0)
-                 .select("guid", "seg_idx", F.lit(True).alias("_named")))
-        passages = expand_passages(segments.join(named, ["guid", "seg_idx"], "left"), F.col("_named"))
-    passages = passages.filter(F.col("words") >= config.MIN_WORDS)
-    counted = aliases.with_candidates(passages, "text", ["guid", "seg_idx"])
-    about = (counted.select("*", F.inline_outer(attribute(mention_counts("_lc", F.col("_subjects"), True, cues))))
-             .filter("subject is not null").drop("_subjects", "_lc", "first_start"))
+        hits = aliases.with_counts(segments.select("guid", "seg_idx", "text"), "text", ["guid", "seg_idx"], False, cues)
+        named = hits.filter(F.size("_counts") > 0).select("guid", "seg_idx", F.lit(True).alias("_named"))
+        segments = segments.join(named, ["guid", "seg_idx"], "left")
+    passages = expand_passages(segments, F.col("_named")).filter(F.col("words") >= config.MIN_WORDS)
+    counted = aliases.with_counts(passages, "text", ["guid", "seg_idx"], True, cues)
+    about = counted.select("*", F.inline_outer(attribute(F.col("_counts")))).filter("subject is not null").drop("_counts", "first_start")
     picked = one_per_minute(about.withColumnRenamed("n", "mentions"))
     if episodes is None:
         return picked

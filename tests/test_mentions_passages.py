@@ -105,6 +105,36 @@ def test_counting_against_brute_force(spark, inline):
             assert got.get(i, {}) == brute_counts(text, aliases, strict, ambiguous, cues), (i, text)
 
 
+def test_index_walks_texts_where_they_lie(spark):
+    dim = spark.createDataFrame([(f"S{i % 700}", f"name{i} inc", i % 50 == 0) for i in range(20_000)], "subject string, alias string, ambiguous boolean")
+    rng = random.Random(12)
+    picked = [[rng.randrange(30_000) for _ in range(60)] for _ in range(40)]
+    docs = spark.createDataFrame([(i, " and ".join(f"Name{k} Inc" for k in p)) for i, p in enumerate(picked)], "doc_id int, text string")
+    counted = M.count_subjects(docs, M.AliasSet(dim), strict=False)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, p in enumerate(picked):
+        for k in p:
+            if k < 20_000:
+                want[i, f"S{k % 700}"] = want.get((i, f"S{k % 700}"), 0) + 1
+    assert {(r.doc_id, r.subject): r.n for r in counted.collect()} == want
+
+
+def test_slices_and_cues_cut_by_the_window(spark, monkeypatch):
+    from opinara.operators import alias_index as I
+
+    rng = random.Random(13)
+    aliases = {"A": ["ab", "ab ab", "b ab b"], "B": ["cd cd", "cd"], "C": ["xbuy"]}
+    cues = ("buy", "y")
+    pieces = ["ab", "cd", "b", "xbuy", "buyx", "z" * 30, "é" * 40, " ", "ab ab", "cd cd cd"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    index = I.AliasIndex([(s, a, a in ("ab", "cd")) for s, names in aliases.items() for a in names], True, cues)
+    monkeypatch.setattr(I, "SLICE_CHARS", 500)
+    got = index.arrays(I.pa.array([*texts, None])).to_pylist()
+    for text, found in zip([*texts, ""], got):
+        assert {f["subject"]: (f["n"], f["first_start"]) for f in found} == brute_counts(text, aliases, True, {"ab", "cd"}, cues), text
+
+
 def segs(spark, texts, guid="e1"):
     return spark.createDataFrame([(guid, i, 5.0 * i, 5.0 * i + 5, None, t) for i, t in enumerate(texts)],
                                  "guid string, seg_idx int, start double, end double, speaker string, text string")
