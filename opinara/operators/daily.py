@@ -165,13 +165,16 @@ def daily_consensus(scored: DataFrame, now: Column | None = None) -> DataFrame:
     rated = (entries.withColumn("_mean", mean).withColumn("_score", py_round("_mean", 4))
              .filter((kind != "ticker") | (F.col("n") >= config.MIN_TICKER_MENTIONS)))
     strength = F.when(kind == "ticker", F.abs("_score")).when(kind == "theme", F.col("n").cast("double")).otherwise(0.0)
-    order = Window.partitionBy("run_date", "kind").orderBy(F.desc(strength), "_first")
-    ranked = rated.withColumn("rank", F.row_number().over(order)).filter(
-        kind.isin("tier", "ticker") | (F.col("rank") <= F.when(kind == "theme", config.TOP_THEMES).otherwise(config.TOP_SIGNALS)))
+    # tickers and tiers are all kept, so each stands alone; the plain bound lets a task drop the rest before the shuffle
+    alone = F.when(kind.isin("tier", "ticker"), F.col("key"))
+    order = Window.partitionBy("run_date", "kind", alone).orderBy(F.desc(strength), "_first")
+    bound = F.when(kind == "theme", config.TOP_THEMES).otherwise(config.TOP_SIGNALS)
+    ranked = (rated.withColumn("_order", -strength).withColumn("rank", F.row_number().over(order))
+              .filter(F.col("rank") <= max(config.TOP_THEMES, config.TOP_SIGNALS)).filter(F.col("rank") <= bound))
     tier, directional = kind == "tier", (kind == "tier") & is_directional(F.col("key").try_cast("int"))
 
     def listed(of: str, value: Column) -> Column:
-        pairs = F.array_sort(F.collect_list(F.when(kind == of, F.struct("rank", value.alias("v")))))
+        pairs = F.array_sort(F.collect_list(F.when(kind == of, F.struct("_order", "_first", value.alias("v")))))
         return F.transform(pairs, lambda s: s["v"])
     days = ranked.groupBy("run_date").agg(
         F.coalesce(F.try_divide(F.sum(F.when(tier, F.col("_wv"))), F.sum(F.when(tier, F.col("_w")))), F.lit(0.0)).alias("_consensus"),

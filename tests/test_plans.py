@@ -190,3 +190,16 @@ def test_daily_row_reads_its_items_once(spark, tmp_path):
 
     plan = plan_of(daily_consensus(spark.read.parquet(str(tmp_path / "items"))))
     assert plan.count("Location:") == 1
+
+
+def test_a_hot_day_sends_ten_of_each_kind_per_task(spark, tmp_path):
+    """A million-signal day must not meet in one task: the rank bound comes before the shuffle."""
+    from opinara.operators.daily import daily_consensus
+
+    day = A.daily_e(spark, SF).limit(1).drop("bull_signals", "ingest_seq")
+    hot = spark.range(5000).crossJoin(day).withColumns({
+        "ingest_seq": F.col("id"), "bull_signals": F.array(F.concat(F.lit("signal "), F.lit(5000) - F.col("id")), F.lit("Common"))})
+    hot.drop("id").write.parquet(str(tmp_path / "hot"))
+    out = daily_consensus(spark.read.parquet(str(tmp_path / "hot")))
+    assert "WindowGroupLimit" in plan_of(out)
+    assert out.first().bull_signals == ["signal 5000", "Common", *(f"signal {5000 - i}" for i in range(1, 9))][:len(out.first().bull_signals)]
