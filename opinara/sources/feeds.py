@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from opinara import config
@@ -291,6 +292,38 @@ def read_sources(spark: SparkSession, landed: list[tuple[str, str, str]]) -> Dat
     return spark.createDataFrame([], schemas.RAW_RECORD) if out is None else out
 
 
+STATUS = "position int, reader string, source string, path string, status string, records bigint, error string"
+
+
+def land_sources(spark: SparkSession, landed: list[tuple[str, str, str]], target: str) -> tuple[DataFrame, DataFrame]:
+    """Records of ``(reader, path, source)`` entries, each source written apart below ``target``, and a status row per source.
+
+    A source that cannot be read (``failed``, with its error) or has no files (``absent``) adds nothing and stops
+    no other: only a source that was written as a whole counts.  Numbers follow as in ``read_sources``.
+    """
+    from pyspark.errors import PySparkException
+
+    from opinara import schemas
+
+    done, status, files = [], [], 0
+    for position, (reader, path, source) in enumerate(landed):
+        records, state, error = 0, "absent", None
+        if _exists(spark, path):
+            folder = f"{target}/source={position}"
+            try:
+                part = READERS[reader](spark, path, source).withColumn("ingest_seq", F.col("ingest_seq") + F.lit(files << POSITION_BITS))
+                part.write.parquet(folder)
+                written = spark.read.schema(part.schema).parquet(folder)
+                records, state = written.count(), "ok"
+                files += len(part.inputFiles())
+                done.append(written)
+            except (PySparkException, Py4JError) as failure:
+                state, error = "failed", str(failure).split("\n")[0][:500]
+        status.append((position, reader, source, path, state, records, error))
+    out = union_sources(done)
+    return spark.createDataFrame([], schemas.RAW_RECORD) if out is None else out, spark.createDataFrame(status, STATUS)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())

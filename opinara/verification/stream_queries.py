@@ -14,7 +14,7 @@ from opinara.operators.store import OpinionStore
 from opinara.session import scratch_path
 from opinara.streaming.ingest import ingest_stream
 from opinara.streaming.limiter import ROCKSDB, admit_stream
-from opinara.streaming.periods import weekly_readings_stream
+from opinara.streaming.periods import follow_items, followed_weeks, weekly_readings_stream
 from opinara.verification.registry import query
 from opinara.verification.sql_views import py_round as R_, sql
 
@@ -131,3 +131,19 @@ def st4(spark, d):
     readings = weekly_readings_stream(items)
     _finish(readings, f"{path}/out", f"{path}/checkpoint")
     return spark.read.schema(readings.schema).parquet(f"{path}/out")
+
+
+@query("st4_late_items", sql("items_e", f""",
+r AS (SELECT subject, date_trunc('week', ts) AS w, avg(score) AS m, count(*) AS n FROM items_e GROUP BY 1, 2)
+SELECT subject, strftime(w, '%Y-%m-%d') AS period, {R_('m', 1)} AS consensus, n FROM r"""))
+def st4_late(spark, d):
+    """The second half of each month lands first, all earlier items come weeks late; no week misses them."""
+    path = scratch_path(spark, "late")
+    items = A.items_e(spark, d)
+    known = set(items.columns)
+    typed = items.select(*[(F.col(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.ITEM.fields])
+    for late in (False, True):
+        typed.filter((F.dayofmonth("ts") <= 15) == F.lit(late)).coalesce(1).write.mode("append").parquet(f"{path}/landed")
+    landed = spark.readStream.schema(schemas.ITEM).option("maxFilesPerTrigger", 1).parquet(f"{path}/landed")
+    follow_items(landed, OpinionStore(spark, f"{path}/store"), f"{path}/weekly", f"{path}/checkpoint").awaitTermination()
+    return followed_weeks(spark, f"{path}/weekly")

@@ -196,6 +196,29 @@ def u1(spark, d):
         F.count(F.lit(1)).alias("n"), F.count("points").alias("with_points"))
 
 
+@query("u1_one_source_fails", """
+SELECT 'news:' || lang AS source, 'ok' AS status, count(*) AS records FROM documents WHERE lang IN ('en', 'de') GROUP BY 1
+UNION ALL SELECT 'hackernews', 'failed', 0 UNION ALL SELECT 'arxiv', 'absent', 0 UNION ALL SELECT 'union', 'records', count(*) FROM documents WHERE lang IN ('en', 'de')""")
+def u1_isolated(spark, d):
+    """Two feeds made of the documents, between them one file that cannot be read and one that is not there."""
+    path = scratch_path(spark, "landed")
+    docs = A.table(spark, d, "documents").select("lang", F.concat(
+        F.lit("<item><title>Document "), "doc_id", F.lit("</title><link>https://n/"), "doc_id", F.lit("</link></item>")).alias("item"))
+    for lang in ("en", "de"):
+        pages = docs.filter(F.col("lang") == lang).groupBy((F.crc32(F.col("item").cast("binary")) % 8).alias("page")).agg(
+            F.array_join(F.collect_list("item"), "").alias("i"))
+        pages.select("page", F.concat(F.lit("<rss><channel>"), "i", F.lit("</channel></rss>")).alias("value")).write.partitionBy("page").text(f"{path}/{lang}")
+    broken = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/hits/page-0.json.gz")
+    out = broken.getFileSystem(spark._jsc.hadoopConfiguration()).create(broken)
+    out.write(bytearray(b"not a gzip file"))
+    out.close()
+    records, status = feeds.land_sources(spark, [
+        ("rss", f"{path}/en/*/*.txt", "news:en"), ("search_hits", f"{path}/hits/*", "hackernews"),
+        ("atom", f"{path}/papers/*.xml", "arxiv"), ("rss", f"{path}/de/*/*.txt", "news:de")], f"{path}/records")
+    return status.select("source", "status", "records").unionByName(
+        records.agg(F.count("*").alias("records")).select(F.lit("union").alias("source"), F.lit("records").alias("status"), "records"))
+
+
 # --- episodes: S13, A13, J6, J13, P12, W10 ----------------------------------------------------------------
 _EP = """,
 f AS (SELECT e.*, CAST(guid AS BIGINT) % 4 <> 1 AS named, CASE WHEN CAST(guid AS BIGINT) % 11 = 3 THEN 0 ELSE (SELECT count(*) FROM conversations c WHERE c.conv_id = CAST(e.guid AS BIGINT)) END AS n_segments,
