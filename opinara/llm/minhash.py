@@ -5,9 +5,10 @@ Class representatives are banded (``BANDS`` x ``ROWS`` minima, missing a pair of
 0.8 with probability 3e-6); of every minimum only ``BITS`` low bits are kept, packed into
 longs.  Within a bucket each member meets the bucket's smallest id; a pair whose
 collision-corrected estimate lies five standard errors below the threshold is dropped unless
-one set has fewer than ``SMALL`` shingles, the others are confirmed on their full sets.  Members that such a star leaves in different
-components then meet in blocks of bounded size, so that no link between different texts is
-lost and no pair list grows with the square of a group.
+one set has fewer than ``SMALL`` shingles, the others are confirmed on their full sets.  Members that such a star leaves outside
+a bucket's main component meet members of the main and of the next one, in rounds that go on while they pay.
+Those still in different components then meet in blocks of bounded size, so that no link between
+different texts is lost and no pair list grows with the square of a group.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ HASHES = BANDS * ROWS
 SMALL = 64
 #: Members of a bucket that one side of a block pair holds.
 BLOCK = 256
+#: A further round of stars follows while the last one has linked at least one in so many of those left.
+PAYS = 10
+#: Members of a component that a document meets in a round.
+MEETS = 16
 _rng = np.random.default_rng(7)
 _A = _rng.integers(0, 2**31, HASHES).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _rng.integers(0, 2**32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -235,6 +240,36 @@ def _block_pairs(own: DataFrame) -> DataFrame:
     return targets.union(probes)
 
 
+def _next_stars(own: DataFrame, step: int) -> tuple[DataFrame, int]:
+    """Pairs ``(a, b)`` of members outside their bucket's main component with ``MEETS`` members of that, and of the next.
+
+    Which members changes with the round; a document meets those of one bucket of each component.
+    Also returns how many documents are left outside.
+    """
+    some = F.array_distinct(F.array(*(F.min_by("id", F.xxhash64("id", F.lit(step * MEETS + k))) for k in range(MEETS)))).alias("some")
+    parts = saved(own.groupBy("bucket", "component").agg(F.count("*").alias("m"), some), "star-parts")
+    largest = F.max(F.struct("m", "component", "some"))
+    first = parts.groupBy("bucket").agg(largest.alias("main"), F.count("*").alias("c")).where("c > 1").drop("c")
+    second = parts.join(first, "bucket").where(F.col("component") != F.col("main.component")).groupBy("bucket").agg(largest.alias("next"))
+    left = own.join(first.join(second, "bucket"), "bucket").where(F.col("component") != F.col("main.component"))
+    met = left.select("id", "component", F.explode(F.array("main", "next")).alias("other")).where(F.col("component") != F.col("other.component"))
+    pairs = saved(met.groupBy("id", F.col("other.component").alias("c")).agg(F.min_by("other.some", F.xxhash64("id", "other.some")).alias("some"))
+                  .select(F.col("id").alias("a"), F.explode("some").alias("b")), "star-pairs")
+    return pairs, pairs.select("a").distinct().count()
+
+
+def _joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links: whole components are joined, so only links between them count."""
+    def of(end: str) -> DataFrame:
+        return labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    ends = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    joined = saved(connected_components(ends), "joined").toDF("component", "to")
+    old = labels.join(joined, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    new = joined.join(labels.select(F.col("id").alias("component")), "component", "left_anti").select(F.col("component").alias("id"), F.col("to").alias("component"))
+    return saved(old.unionByName(new), "labels")
+
+
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` per row of ``docs(doc_id, text)``; other columns are ignored.
 
@@ -267,10 +302,25 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     links = saved(_linked(star, full, percent), "links")
     labels = saved(connected_components(links), "labels")
 
-    own = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    def placed() -> DataFrame:
+        return members.select("bucket", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    step, linked, left = 1, 1, 1
+    while linked * PAYS >= left > 0:
+        pairs, left = _next_stars(saved(placed(), "placed"), step)
+        near = (pairs.join(bits.toDF("a", "x", "m"), "a").join(bits.toDF("b", "y", "n"), "b")
+                .where((F.least("m", "n") < SMALL) | (agreement("x", "y") >= _lowest_agreement(percent / 100))).select("a", "b"))
+        found = saved(_linked(saved(near, "star"), full, percent), "links")
+        linked = found.select("a").distinct().count()
+        if linked:
+            labels = _joined_labels(labels, found)
+            links = links.union(found)
+        step += 1
+    own = placed()
     rest = saved(_block_pairs(own), "unsettled")
     if not rest.isEmpty():
-        more = (rest.join(reps.select("id", "bands", "bits"), "id").join(full, "id")
+        # one join brings a dealt row all that its block needs
+        wide = saved(keep_keys(reps.select("id", "bands", "bits"), saved(rest.select("id").distinct(), "dealt"), ["id"]).join(full, "id"), "wide")
+        more = (rest.join(wide, "id")
                 .groupBy("bucket", "i", "j").applyInPandas(_across(percent), "a long, b long"))
         links = saved(links.union(more), "links")
         labels = saved(connected_components(links), "labels")

@@ -125,3 +125,27 @@ def test_small_sets_are_confirmed_whatever_the_estimate(spark, monkeypatch):
         words = [f"q{i}n{k}" for k in range(6)]
         texts[2 * i], texts[2 * i + 1] = " ".join(words), " ".join(words[:5])
     assert found(minhash.near_duplicates(docs_of(spark, texts), 2)) == brute(texts, 2)
+
+
+def test_near_copies_are_linked_before_blocks(spark, monkeypatch):
+    """Copies of which many are no match of their bucket's smallest id: blocks get next to none of them."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    texts = []
+    for i in range(600):
+        words = list(base)
+        for _ in range(rng.randint(3, 9)):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        texts.append((i, " ".join(words)))
+    dealt, plain = [], minhash.saved
+
+    def counting(df, name):
+        out = plain(df, name)
+        if name == "unsettled":
+            dealt.append(out.count())
+        return out
+    monkeypatch.setattr(minhash, "saved", counting)
+    out = minhash.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string").repartition(8)).collect()
+    assert {r.component_id for r in out} == {0} and dealt[0] <= len(texts)
