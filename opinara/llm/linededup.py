@@ -13,7 +13,8 @@ earlier line itself stays does not matter, so every line can be decided by itsel
 Equal sets collapse per task and then per key, so a line in a third of all documents costs a
 row per task; its repeats within a batch are spread over the tasks.  A line with many possible
 matches names ``FIRST`` of them per word and is not compared further; only if all of those fail
-are its other candidates looked up, without a limit.
+are its other candidates looked up, without a limit.  Under a word where it had no more than that
+it has met all of them, so the second lookup only sends the postings of words that left a line open.
 
 A word in the prefixes of many sets (estimated on a sample, which only shapes the work) is dealt
 to blocks of about ``BLOCK`` sets.  A line first meets the sets of its own block; a line without
@@ -83,33 +84,46 @@ def _rarity(counts: np.ndarray) -> np.ndarray:
     return place
 
 
-def _line_sets(data: np.ndarray, bounds: np.ndarray, place: np.ndarray, percent: int):
-    """Row, line number, size, hashes and bitmap of every line with words; line, position, word and counter of its postings."""
+def _mixed(order: np.ndarray) -> np.ndarray:
+    return mix(order + np.uint64(0x9E3779B97F4A7C15))
+
+
+def _line_sets(data: np.ndarray, bounds: np.ndarray, place: np.ndarray, percent: int, wanted=None):
+    """Row, line number, size, hashes and bitmap of every line with words; line, position, word and counter of its postings.
+
+    ``wanted`` is a function of words and counters: lines without any word that it wants are left out.
+    """
     words, starts, _ = hash_words(data, bounds)
     newlines = np.flatnonzero(data == 10)
     row = np.searchsorted(bounds, starts, "right") - 1
     before = np.searchsorted(newlines, starts)
     new = np.ones(len(words), bool)
     new[1:] = (row[1:] != row[:-1]) | (before[1:] != before[:-1])
+    order = (place[words >> np.uint64(64 - FREQUENCY_BITS)] << np.uint64(LOW_BITS)) | (words & np.uint64(2**LOW_BITS - 1))
+    if wanted is not None:
+        line = np.cumsum(new) - 1
+        has = np.zeros(line[-1] + 1, bool)
+        has[line[wanted(_mixed(order), (order >> np.uint64(LOW_BITS)).astype(np.int64))]] = True
+        whole = has[line]
+        row, before, order, new = row[whole], before[whole], order[whole], new[whole]
     first = np.flatnonzero(new)
     row_of, line_of = row[first], before[first] - np.searchsorted(newlines, bounds[row[first]])
-    order = (place[words >> np.uint64(64 - FREQUENCY_BITS)] << np.uint64(LOW_BITS)) | (words & np.uint64(2**LOW_BITS - 1))
     dense = np.cumsum(new) - 1
     mask, shift = np.uint64(2**(FREQUENCY_BITS + LOW_BITS) - 1), np.uint64(FREQUENCY_BITS + LOW_BITS)
     step = 2**(64 - FREQUENCY_BITS - LOW_BITS)
-    lines, sets = [], []
+    lines, sets = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for low in range(0, len(first), step):  # as many lines as fit above the word's order
-        a, b = first[low], first[low + step] if low + step < len(first) else len(words)
+        a, b = first[low], first[low + step] if low + step < len(first) else len(order)
         both = np.sort(((dense[a:b] - low).astype(np.uint64) << shift) | order[a:b])
         both = both[np.concatenate([[True], both[1:] != both[:-1]])]
         lines.append((both >> shift).astype(np.int64) + low)
         sets.append(both & mask)
     line, word = np.concatenate(lines), np.concatenate(sets)
-    head = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    head = np.flatnonzero(np.diff(line, prepend=-1))
     size = np.diff(np.append(head, len(line)))
-    mixed = mix(word + np.uint64(0x9E3779B97F4A7C15))
-    key = np.add.reduceat(mixed, head)
-    other = np.add.reduceat(mix(mixed ^ np.uint64(0xD6E8FEB86659FD93)), head).astype(np.uint32)
+    mixed = _mixed(word)
+    key = np.add.reduceat(mixed, head) if len(head) else mixed
+    other = (np.add.reduceat(mix(mixed ^ np.uint64(0xD6E8FEB86659FD93)), head) if len(head) else mixed).astype(np.uint32)
     slot = (mixed >> np.uint64(54)).astype(np.int64)
     bits = np.zeros((len(size), BITMAP_WORDS[-1]), np.uint64)
     group = np.searchsorted(CLASS_SIZES, size)
@@ -190,9 +204,14 @@ def _copies(word: np.ndarray, sets: np.ndarray, blocks: np.ndarray, probes: np.n
         yield wanted[more], under(wanted[more], i[more], k), True
 
 
-def _extract(place: np.ndarray, percent: int, cell_bits: int, blocks: np.ndarray, only: np.ndarray | None, probe_blocks: int):
+def _extract(place: np.ndarray, percent: int, cell_bits: int, blocks: np.ndarray,
+             only: tuple[np.ndarray, np.ndarray] | None, probe_blocks: int):
+    """Blobs of a batch of texts.  ``only`` has the filters of a second lookup, of its lines and of their words."""
     top = np.uint64(64 - cell_bits)
 
+    def sought(word: np.ndarray, counter: np.ndarray) -> np.ndarray:
+        return (blocks[counter] > 1) | _marked(only[1], word.astype(np.uint32), np.zeros(1, np.int64))
+
     def batch_of(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         kinds, cells, blobs = zip(*out)
         return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(cells, pa.int32()),
@@ -205,7 +224,11 @@ def _extract(place: np.ndarray, percent: int, cell_bits: int, blocks: np.ndarray
             for i, _, data, bounds in text_slices(batch.column(1)):
                 if _wordless(data):
                     continue
-                row, line_no, size, key, other, bits, line, at, word, counter = _line_sets(data, bounds, place, percent)
+                row, line_no, size, key, other, bits, line, at, word, counter = _line_sets(
+                    data, bounds, place, percent, None if only is None else sought)
+                if only is not None:
+                    mine = np.flatnonzero(sought(word, counter))
+                    line, at, word, counter = line[mine], at[mine], word[mine], counter[mine]
                 records = np.empty(len(key), LINE)
                 records["key"], records["other"] = key, other
                 records["doc"], records["line"] = ids[i + row], line_no
@@ -228,19 +251,20 @@ def _extract(place: np.ndarray, percent: int, cell_bits: int, blocks: np.ndarray
             repeat[1:] = (ordered["key"][1:] == ordered["key"][:-1]) & (ordered["other"][1:] == ordered["other"][:-1])
             earliest = np.ones(len(by), bool)
             earliest[by[repeat]] = False
-            gone = ordered[repeat & ~_twins(ordered)]
-            out = list(_blobs(EQUAL, (ordered["key"] >> top).astype(np.int64)[~repeat], ordered[~repeat]))
+            gone = ordered[repeat & ~_twins(ordered)] if only is None else ordered[:0]
+            out = [] if only is not None else list(_blobs(EQUAL, (ordered["key"] >> top).astype(np.int64)[~repeat], ordered[~repeat]))
             if len(gone):
                 # need no meeting: pieces of bounded size, each where its first line leads
                 piece = np.arange(len(gone)) // GONE_ROWS
                 to = mix(gone["doc"][::GONE_ROWS].astype(np.uint64) + mix(gone["line"][::GONE_ROWS].astype(np.uint64)))
                 out += _blobs(GONE, (to >> top).astype(np.int64)[piece], gone)
-            yield batch_of(out)
+            if out:
+                yield batch_of(out)
             for c, parts in enumerate(posted):
                 owner, word, dealt, posting = (np.concatenate(x) for x in zip(*parts))
                 mine = earliest[owner]
                 word, dealt, posting = word[mine], dealt[mine], posting[mine]
-                wanted = None if only is None else _marked(only, posting["doc"], posting["line"])
+                wanted = None if only is None else _marked(only[0], posting["doc"], posting["line"])
                 for which, under, marked in _copies(word, posting["set"], dealt, np.minimum(dealt, probe_blocks), wanted):
                     if len(which):
                         copy = posting[which]
@@ -389,14 +413,17 @@ def _candidates(parts: list[list[np.ndarray]], percent: int, first: int | None):
         away = -away if away > 0 else 1 - away
     s = np.flatnonzero(more)
     if len(s):
-        yield doc[s], line[s], doc[s], line[s], OPEN
+        yield doc[s], line[s], word[s].astype(np.int64), line[s], OPEN
 
 
 MATCHES = "doc long, line int, with_doc long, with_line int, kind int"
 
 
 def _resolve(percent: int, first: int | None):
-    """Of a partition's blobs: lines that go for an equal one, candidate pairs, and lines that have more of them."""
+    """Of blobs sorted by cell: lines that go for an equal one, candidate pairs, and lines that have more of them.
+
+    An open line comes with the word that left it open, or -1 for a dealt one.  A task holds a cell at a time.
+    """
     def rows(found: list[tuple]) -> pa.RecordBatch:
         d, l, wd, wl = (np.concatenate([x[k] for x in found]) for k in range(4))
         kinds = np.repeat(np.array([x[4] for x in found], np.int32), [len(x[0]) for x in found])
@@ -404,19 +431,12 @@ def _resolve(percent: int, first: int | None):
             [pa.array(d.astype(np.int64)), pa.array(l.astype(np.int32)), pa.array(wd.astype(np.int64)),
              pa.array(wl.astype(np.int32)), pa.array(kinds)], ["doc", "line", "with_doc", "with_line", "kind"])
 
-    def run(batches: Batches) -> Batches:
-        equal, gone, posted = [], [], [[] for _ in POSTING * 2]
-        for batch in batches:
-            for kind, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if kind >= POSTINGS:
-                    posted[kind - POSTINGS].append(np.frombuffer(blob, POSTING[(kind - POSTINGS) % CLASSES]))
-                else:
-                    (equal if kind == EQUAL else gone).append(np.frombuffer(blob, LINE))
+    def decided(equal: list, gone: list, posted: list[list]) -> Batches:
         if equal:
             gone.append(_later_equals(np.concatenate(equal)))
         found = [(x["doc"], x["line"], x["doc"], x["line"], GONE) for x in gone]
         if first is not None:  # a line under a dealt word has met one block only
-            found += [(x["doc"], x["line"], x["doc"], x["line"], OPEN) for part in posted[CLASSES:] for x in part]
+            found += [(x["doc"], x["line"], np.full(len(x), -1), x["line"], OPEN) for part in posted[CLASSES:] for x in part]
         held = 0
         for pairs in _candidates(posted, percent, first) if any(posted) else ():
             found.append(pairs)
@@ -426,18 +446,30 @@ def _resolve(percent: int, first: int | None):
                 found, held = [], 0
         if found:
             yield rows(found)
+
+    def run(batches: Batches) -> Batches:
+        cell, equal, gone, posted = None, [], [], [[] for _ in POSTING * 2]
+        for batch in batches:
+            for kind, at, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if at != cell:
+                    yield from decided(equal, gone, posted)
+                    cell, equal, gone, posted = at, [], [], [[] for _ in POSTING * 2]
+                blob = blob.as_py()
+                if kind >= POSTINGS:
+                    posted[kind - POSTINGS].append(np.frombuffer(blob, POSTING[(kind - POSTINGS) % CLASSES]))
+                else:
+                    (equal if kind == EQUAL else gone).append(np.frombuffer(blob, LINE))
+        yield from decided(equal, gone, posted)
     return run
 
 
-def _matches(docs: DataFrame, place: np.ndarray, percent: int, blocks: np.ndarray, only: np.ndarray | None = None,
-             probe_blocks: int = 1) -> DataFrame:
+def _matches(docs: DataFrame, place: np.ndarray, percent: int, blocks: np.ndarray,
+             only: tuple[np.ndarray, np.ndarray] | None = None, probe_blocks: int = 1) -> DataFrame:
     partitions = shuffle_partitions(docs.sparkSession)
     cell_bits = min(24, max(8, (CELLS_PER_PARTITION * partitions - 1).bit_length()))
     blobs = docs.mapInArrow(_extract(place, percent, cell_bits, blocks, only, probe_blocks), "kind int, cell int, blob binary")
-    if only is not None:
-        blobs = blobs.where(F.col("kind") >= POSTINGS)
     # by the cell alone: sets of different classes under a word must meet
-    return blobs.repartition(partitions, "cell").mapInArrow(_resolve(percent, FIRST if only is None else None), MATCHES)
+    return blobs.repartition(partitions, "cell").sortWithinPartitions("cell").mapInArrow(_resolve(percent, FIRST if only is None else None), MATCHES)
 
 
 def _pairs_of(found: DataFrame) -> DataFrame:
@@ -466,7 +498,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 
 
 def _filter_of(lines: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the bit of every given line set."""
+    """A bitmap of fixed size with the bit of every given line, or of other pairs of numbers, set."""
     def bits(batches: Batches) -> Batches:
         for batch in batches:
             at = _position(batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64))
@@ -497,11 +529,14 @@ def later_matches(docs: DataFrame, percent: int = 80) -> DataFrame:
     pairs = _pairs_of(found).join(gone, ["doc", "line"], "left_anti")
     sure = saved(_verified(pairs, docs, percent), "lines-similar")
     gone = gone.union(sure)
-    open_lines = saved(found.where(F.col("kind") == OPEN).select("doc", "line").distinct()
-                       .join(gone, ["doc", "line"], "left_anti"), "lines-open")
+    left_open = saved(found.where(F.col("kind") == OPEN).select("doc", "line", F.col("with_doc").alias("word")).distinct()
+                      .join(gone, ["doc", "line"], "left_anti"), "lines-open")
+    open_lines = left_open.select("doc", "line").distinct()
     n_open = open_lines.count()
     if n_open:
-        again = _matches(docs, place, percent, blocks, _filter_of(open_lines), -(-n_open // BLOCK))
+        words = left_open.where("word >= 0").select("word", F.lit(0).alias("line")).distinct()
+        only = _filter_of(open_lines), _filter_of(words)
+        again = _matches(docs, place, percent, blocks, only, -(-n_open // BLOCK))
         rest = saved(_pairs_of(again).join(open_lines, ["doc", "line"], "left_semi"), "line-matches")
         gone = gone.union(_verified(rest, docs, percent))
     return gone.distinct().select(F.col("doc").alias("doc_id"), "line")
