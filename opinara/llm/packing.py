@@ -1,16 +1,20 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Only lengths move.  Documents longer than the largest capacity are cut into pieces of it;
-pieces are dealt by hash into shards of about ``SHARD`` pieces, and each shard packs its
-histogram of lengths: the longest piece left opens a bin, for every permitted capacity the bin
-is filled with the longest pieces that still fit, and the capacity whose bin, downsized to its
-contents, costs least per unit of text is taken, as often as the histogram allows.
+pieces are dealt by hash into shards of about ``SHARD`` pieces.  A shard packs its pieces from the
+longest on: each goes to the open bin with the least room that takes it, and where none does a
+new bin is opened at the capacity that costs least per unit of what is still to come for it.  That
+is weighed against opening no bin below a given capacity, for each of them; the plan whose bins,
+downsized to their contents, cost least in all is taken.
 """
 
 from __future__ import annotations
 
-import bisect
+import heapq
+from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Callable
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,42 +37,68 @@ def length_in_words(text: Column) -> Column:
     return (F.coalesce(F.regexp_count(text, F.lit("[^\\x09-\\x0D\\x20]+")), F.lit(0)) + 1).cast("int")
 
 
+def best_fit(lengths: Counter, opened: Callable[[int, int, int], int]) -> list[list[int]]:
+    """Bins of pieces, packed from the longest on; of open bins with equal room the earliest takes a piece.
+
+    ``opened(n, more, room)`` is the size of a new bin for a piece of length ``n``, where ``more``
+    pieces of that length follow and the open bins have ``room`` left in all.
+    """
+    bins: list[list[int]] = []
+    rooms, by_room, free = [], {}, 0  # distinct rooms in order, and a heap of bins for each
+    for n in sorted((n for n, c in lengths.items() if c > 0), reverse=True):
+        for more in range(lengths[n] - 1, -1, -1):
+            at = bisect_left(rooms, n)
+            if at < len(rooms):
+                room = rooms[at]
+                taken = heapq.heappop(by_room[room])
+                if not by_room[room]:
+                    del by_room[room], rooms[at]
+            else:
+                room, taken = opened(n, more, free), len(bins)
+                bins.append([])
+                free += room
+            bins[taken].append(n)
+            free -= n
+            room -= n
+            if room:
+                if room not in by_room:
+                    by_room[room] = []
+                    rooms.insert(bisect_left(rooms, room), room)
+                heapq.heappush(by_room[room], taken)
+    return bins
+
+
+def _least_cost(lengths: Counter, capacities: tuple[int, ...]) -> Callable[[int, int, int], int]:
+    """The size of a new bin that costs least per unit, if what fits and finds no room elsewhere goes there."""
+    order = sorted(n for n, c in lengths.items() if c > 0)
+    mass = [0, *accumulate(n * lengths[n] for n in order)]
+
+    def opened(n: int, more: int, room: int) -> int:
+        def rate(size: int) -> float:
+            spare = size - n
+            to_come = mass[bisect_right(order, min(spare, n - 1))] + (n * more if spare >= n else 0)
+            filled = n + min(spare, max(0, to_come - room))
+            return cost(capacities[bisect_left(capacities, filled)]) / filled
+        return min(capacities[bisect_left(capacities, n):], key=rate)
+    return opened
+
+
+def _at_least(floor: int, capacities: tuple[int, ...]) -> Callable[[int, int, int], int]:
+    return lambda n, more, room: capacities[bisect_left(capacities, max(n, floor))]
+
+
 def plan(lengths: Counter, capacities: tuple[int, ...]) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """``(capacity, bins, [(length, pieces)])`` patterns that use up a histogram of piece lengths."""
-    left = Counter({n: c for n, c in lengths.items() if c > 0})
-    order = sorted(left)
-    out = []
-    while order:
-        longest, best = order[-1], None
-        for size in capacities[bisect.bisect_left(capacities, longest):]:
-            filled, room = [(longest, 1)], size - longest
-            at = bisect.bisect_right(order, room)
-            if at and order[-1] <= room:
-                at = len(order)
-            while at and room:
-                n = order[at - 1]
-                k = min(left[n] - (n == longest), room // n)
-                if k:
-                    filled.append((n, k))
-                    room -= k * n
-                at = min(at - 1, bisect.bisect_right(order, room))
-            used = size - room
-            fits = capacities[bisect.bisect_left(capacities, used)]
-            rate = cost(fits) / used
-            if best is None or rate < best[0]:
-                best = (rate, fits, filled)
-        _, size, filled = best
-        pieces = Counter()
-        for n, k in filled:
-            pieces[n] += k
-        times = min(left[n] // k for n, k in pieces.items())
-        for n, k in pieces.items():
-            left[n] -= k * times
-            if not left[n]:
-                del left[n]
-                order.pop(bisect.bisect_left(order, n))
-        out.append((size, times, sorted(pieces.items(), reverse=True)))
-    return out
+    """``(capacity, bins, [(length, pieces)])`` patterns that use up a histogram of piece lengths, in order of opening."""
+    best = None
+    for opened in [_least_cost(lengths, capacities), *(_at_least(c, capacities) for c in capacities)]:
+        bins = best_fit(lengths, opened)
+        sizes = [capacities[bisect_left(capacities, sum(b))] for b in bins]
+        total = sum(map(cost, sizes))
+        if best is None or total < best[0]:
+            best = (total, sizes, bins)
+    _, sizes, bins = best
+    return [(size, len(list(same)), [(n, len(list(g))) for n, g in groupby(pieces)])
+            for (size, pieces), same in groupby(zip(sizes, bins))]
 
 
 def _pack(capacities: tuple[int, ...]):

@@ -65,6 +65,46 @@ def test_longest_fitting_piece_fills():
     assert packing.plan(Counter({3: 2}), (4, 16)) in ([(16, 1, [(3, 2)])], [(4, 2, [(3, 1)])])
 
 
+def test_best_fit_equals_a_scan_of_all_bins():
+    rng = random.Random(3)
+    for capacities in ((64, 128, 256), (100,)):
+        for _ in range(30):
+            lengths = Counter(rng.randrange(1, capacities[-1] + 1) for _ in range(rng.randrange(120)))
+
+            def opened(n, more, room):
+                return rng.choice([c for c in capacities if c >= n])
+            state = rng.getstate()
+            got = packing.best_fit(lengths, opened)
+            rng.setstate(state)
+            rooms, bins = [], []
+            for n in sorted(lengths.elements(), reverse=True):
+                fitting = [(r, k) for k, r in enumerate(rooms) if r >= n]
+                if not fitting:
+                    rooms.append(opened(n, 0, 0))
+                    bins.append([])
+                _, k = min(fitting, default=(0, len(bins) - 1))
+                rooms[k] -= n
+                bins[k].append(n)
+            assert got == bins
+
+
+def test_new_bins_open_at_the_least_cost():
+    """Short pieces alone share large bins only if enough of them follow; bins are downsized at the end."""
+    assert packing.plan(Counter({500: 1}), packing.CAPACITIES) == [(512, 1, [(500, 1)])]
+    assert packing.plan(Counter({256: 64}), packing.CAPACITIES) == [(512, 32, [(256, 2)])]
+    assert packing.plan(Counter({600: 1, 400: 1}), packing.CAPACITIES) == [(1024, 1, [(600, 1), (400, 1)])]
+    for size, _, pieces in packing.plan(Counter({700: 3, 90: 5, 3000: 2}), packing.CAPACITIES):
+        assert size == min(c for c in packing.CAPACITIES if c >= sum(n * k for n, k in pieces))
+
+
+def test_a_shard_is_planned_fast_enough():
+    rng = random.Random(4)
+    lengths = Counter(min(8192, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(packing.SHARD))
+    packed = packing.plan(lengths, packing.CAPACITIES)
+    held = sum(size * times for size, times, _ in packed)
+    assert sum(n * c for n, c in lengths.items()) / held > 0.98
+
+
 def test_ties_are_stable(spark):
     docs = spark.createDataFrame([(i, 10) for i in range(50)], "doc_id long, n int")
     one = sorted(map(tuple, packing.pack(docs, F.col("n")).collect()))
