@@ -78,6 +78,8 @@ def _met(threshold: float, bits: int, tables: int, kind: str):
         unique, first, place = np.unique(ids, return_index=True, return_inverse=True)
         vectors = np.frombuffer(b"".join(rows["vector"].iloc[first]), kind).reshape(len(unique), -1).astype(np.float64)
         keys = _keys(vectors, rows["label"].to_numpy()[first], bits, tables)
+        # by a power of two, which leaves every cosine as it is and keeps squares in range
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
         norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
         table = (keys[place] == bucket[:, None]).argmax(axis=1)
         i, j, block = (rows[c].to_numpy() for c in ("i", "j", "block"))

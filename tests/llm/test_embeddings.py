@@ -80,3 +80,12 @@ def test_odd_vectors(spark):
     assert embeddings.near_vectors(df.where("false")).count() == 0
     twice = embeddings.near_vectors(df.where("vec_id = 1").union(df.where("vec_id = 1"))).collect()
     assert [(r.n_links, r.component_id, r.kept) for r in twice] == [(1, 1, True)] * 2
+
+
+def test_vectors_of_extreme_size(spark):
+    """Squares that would vanish or overflow neither make nor lose a link."""
+    rows = [(1, [1e-200, 0.0, 0.0]), (2, [1.0, 0.3, 0.3]), (3, [1.0, -0.35, 0.3]), (4, [1e200, 1e200, 0.0]), (5, [1e200, 1.01e200, 0.0]),
+            (6, [0.0, 0.0, 5e-324]), (7, [0.0, 0.0, 1e308])]
+    vectors = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(vectors).collect()}
+    assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (1, 6)}
