@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 MODULES = ("reading_queries", "daily_queries", "study_queries", "table_queries", "text_queries",
-           "scoring_queries", "source_queries", "stream_queries")
+           "scoring_queries", "source_queries", "stream_queries", "headline_queries")
 
 
 def load_all() -> None:

@@ -16,8 +16,9 @@ from opinara.operators.mentions import AliasSet
 from opinara.operators.readings import pick_citations, subject_reading
 from opinara.operators.search import semantic_search
 from opinara.operators.store import OpinionStore
-from opinara.plans import daily, nightly, study
+from opinara.plans import daily, headlines, nightly, study
 from opinara.sources.sinks import first_wins
+from opinara.sources.tables import headlines_long
 
 SF = "/root/testdata/sf0.001"
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -203,3 +204,29 @@ def test_a_hot_day_sends_ten_of_each_kind_per_task(spark, tmp_path):
     out = daily_consensus(spark.read.parquet(str(tmp_path / "hot")))
     assert "WindowGroupLimit" in plan_of(out)
     assert out.first().bull_signals == ["signal 5000", "Common", *(f"signal {5000 - i}" for i in range(1, 9))][:len(out.first().bull_signals)]
+
+
+def test_headline_test(spark):
+    """A day's score meets the return to the next close; unanswered and unreadable headlines are left out."""
+    days = [(f"2015-01-{d:02d}", "b'up'" if d % 2 else "b'down'", '"noise"' if d != 3 else None, "b'odd'") for d in range(1, 9)]
+    found = headlines_long(spark.createDataFrame([*days, ("2014-12-31", "b'down'", None, None)], "Date string, Top1 string, Top2 string, Top3 string"), 2015)
+    _, requests = headlines.headline_requests(found)
+    assert requests.select("custom_id").distinct().count() == requests.count() == 23
+
+    def answers(score):
+        return json.dumps({"sentiment_score": score, "tickers": [], "themes": [], "bull_signals": [], "bear_signals": []})
+    title = F.regexp_extract("content", "TITLE: (.*)", 1)
+    responses = requests.filter(title != "noise").select(
+        "custom_id", F.when(title == "up", answers(0.8)).when(title == "down", answers(-0.8)).otherwise("none").alias("body"),
+        F.lit(None).cast("string").alias("error_class"))
+    assert {r.run_date: r.score for r in headlines.daily_scores(found, responses).collect()} == {
+        f"2015-01-{d:02d}": 0.8 if d % 2 else -0.8 for d in range(1, 9)}
+    closes = [("X", f"2015-01-{d:02d}", 100.0 if d % 2 else 110.0) for d in range(1, 10)]
+    closes += [("Y", "2015-01-01", 100.0), ("Y", "2015-01-02", None), ("Y", "2015-01-03", 90.0), ("Y", "2015-01-05", 99.0), ("Z", "2015-01-01", 5.0)]
+    got = {r.symbol: r for r in headlines.headline_test(found, responses, spark.createDataFrame(closes, "symbol string, run_date string, close double")).collect()}
+    assert set(got) == {"X", "Y"}  # one close alone has no return
+    assert (got["X"].n, got["X"].calls, got["X"].hit_rate, got["X"].up_rate, got["X"].verdict) == (8, 8, 1.0, 0.5, "too few calls")
+    assert got["X"].strategy_return == pytest.approx(1.1**4 - 1)
+    assert (got["Y"].n, got["Y"].hit_rate) == (2, 0.5)
+    with pytest.raises(scoring.ScoringFailed):
+        headlines.daily_scores(found, responses.withColumn("error_class", F.lit("RateLimitError")))
