@@ -74,13 +74,15 @@ def answer(requests: DataFrame, dim: DataFrame, readings: DataFrame, items: Data
     stored readings.
     """
     known, unresolved = resolve_subjects(requests, dim)
+    known = written(known, "requests")
     # several spellings may name a subject; its row of least display name and so on stands for all
     columns = ["proxy", "display", "asset_type", "is_financial"]
     asked = known.groupBy("subject").agg(F.min(F.struct(*columns)).alias("a")).select("subject", "a.*")
     if force_refresh:
         readings = readings.limit(0)
     fresh = fresh_readings(R.latest_reading(readings.join(asked.select("subject"), "subject", "left_semi")), now, max_age_hours)
-    misses = asked.join(fresh.select("subject"), "subject", "left_anti")
+    # a row per subject without a fresh reading: numbers, citations, months and prices all look them up
+    misses = written(asked.join(fresh.select("subject"), "subject", "left_anti"), "to-compute")
     market, out_of_scope = market_split(misses)
     queries = None if embed is None else query_vectors(market, embed)
     made = compute_readings(market, items, prices, now, period, queries, k)

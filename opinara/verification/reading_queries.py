@@ -499,6 +499,31 @@ def v5_retrieved(spark, d):
     return made.select("subject", "consensus_score", "conviction", "dispersion", "volume", F.size("citations").cast("bigint").alias("n_citations"))
 
 
+@query("v5_readings_with_panel", sql(("aligned", "items_o"), _PANEL + """,
+ranked_items AS (SELECT *, ((CAST(substr(external_id, 3) AS BIGINT) * 7919) % 10007) / 10007e0 AS similarity FROM items_o)""" + _PICK.replace("items_e", "ranked_items") + f""",
+v AS (SELECT subject, avg(score) AS m, avg(abs(score)) AS a, count(*) AS volume FROM items_o GROUP BY 1),
+z AS (SELECT subject, string_agg(external_id, ',' ORDER BY n) AS cited FROM picked GROUP BY 1)
+SELECT subject, {R_('m', 1)} AS consensus_score, {R_('a', 1)} AS conviction, volume, cited, n_periods, {R_('l', 3)} AS lead_r, {R_('k', 3)} AS coincident_r,
+       {R_('g', 3)} AS lag_r, n_periods AS series_length, subject AS proxy FROM v JOIN z USING (subject) JOIN c USING (subject)"""))
+def v5_panel(spark, d):
+    """Complete readings: numbers, citations and the panel over the subjects' own prices."""
+    from opinara import schemas
+    from opinara.sources.tables import price_series
+    n = F.substring("external_id", 3, 20).cast("long")
+    items = A.items_o(spark, d).withColumn("similarity", (n * 7919) % 10007 / F.lit(10007.0)).withColumn("url", F.col("external_id"))
+    for field in schemas.ITEM.fields:
+        if field.name not in items.columns:
+            items = items.withColumn(field.name, F.lit(None).cast(field.dataType))
+    items = items.withColumn("source", F.lit("news")).withColumn("text", F.concat(F.lit("text "), "external_id"))
+    market = F.col("c_mktsegment")
+    subjects = A.table(spark, d, "customer").select(market.alias("subject"), market.alias("proxy"), market.alias("display"), F.lit("stock").alias("asset_type")).distinct()
+    made = V.compute_readings(subjects, items, price_series(A.bars(spark, d)), _now())
+    panel = F.col("backtest")
+    return made.select("subject", "consensus_score", "conviction", "volume", F.array_join(F.transform("citations", lambda x: x["url"]), ",").alias("cited"),
+                       panel["n_periods"].cast("bigint").alias("n_periods"), panel["lead_r"].alias("lead_r"), panel["coincident_r"].alias("coincident_r"),
+                       panel["lag_r"].alias("lag_r"), F.size(panel["series"]).cast("bigint").alias("series_length"), panel["proxy"].alias("proxy"))
+
+
 @query("flagship_readings", sql(("items_e",), _PICK + f""",
 r AS (SELECT subject, avg(score) m, avg(abs(score)) c, stddev_pop(score) d, count(*) volume FROM items_e GROUP BY 1),
 q AS (SELECT subject, {R_('m', 1)} consensus_score, {R_('c', 1)} conviction, {R_('d', 1)} dispersion, volume FROM r),
