@@ -72,13 +72,22 @@ def search_many(items: DataFrame, queries: DataFrame, k: int = 200) -> DataFrame
 
 
 # --- inverted file ------------------------------------------------------------------------------
-def train_cells(items: DataFrame, lists: int = 100, seed: int = 42, iterations: int = 10) -> list[list[float]]:
-    """Cell centres by distributed k-means on unit vectors; ``lists`` short vectors."""
+def train_cells(items: DataFrame, lists: int = 100, seed: int = 42, iterations: int = 10,
+                sample: int = 100_000) -> list[list[float]]:
+    """Cell centres by distributed k-means on unit vectors; ``lists`` short vectors.
+
+    Trained on about ``sample`` items, chosen by a hash of id and vector, all items if there are fewer; the index
+    covers every item.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import Normalizer
     from pyspark.ml.functions import array_to_vector
 
-    vectors = with_embedding(items).select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    scope = with_embedding(items)
+    total = scope.count()
+    if total > sample:
+        scope = scope.filter(F.pmod(F.xxhash64("external_id", "embedding"), F.lit(total)) < sample)
+    vectors = scope.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     unit = Normalizer(inputCol="v", outputCol="features", p=2.0).transform(vectors).select("features").cache()
     try:
         model = KMeans(k=lists, seed=seed, maxIter=iterations, initSteps=2).fit(unit)
@@ -96,14 +105,46 @@ def _cell_of(centres: list[list[float]]):
     return nearest
 
 
+def _nearest_cells(centres: list[list[float]], n: int):
+    unit_centres = _unit(np.asarray(centres, dtype=np.float64))
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def nearest(vectors: pa.Array) -> pa.Array:
+        order = np.argsort(-(_unit(_matrix(vectors)) @ unit_centres.T), axis=1, kind="stable")[:, :n].astype(np.int32)
+        borders = np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]
+        return pa.ListArray.from_arrays(pa.array(borders), pa.array(order.ravel()))
+    return nearest
+
+
 def assign_cells(items: DataFrame, centres: list[list[float]]) -> DataFrame:
     return with_embedding(items).withColumn("cell", _cell_of(centres)("embedding"))
 
 
-def write_index(items: DataFrame, centres: list[list[float]], path: str) -> None:
-    """Items laid out by cell, so that a search reads only the folders it probes."""
-    (assign_cells(items, centres).hint("rebalance", "cell")
-     .write.mode("overwrite").partitionBy("cell").parquet(path))
+def _laid_out(items: DataFrame, centres: list[list[float]], copies: int) -> DataFrame:
+    if copies == 1:
+        return assign_cells(items, centres).hint("rebalance", "cell")
+    near = with_embedding(items).withColumn("cells", _nearest_cells(centres, copies)("embedding"))
+    return near.withColumn("cell", F.explode("cells")).hint("rebalance", "cell")
+
+
+def write_index(items: DataFrame, centres: list[list[float]], path: str, copies: int = 1) -> None:
+    """Items laid out by cell, so that a search reads only the folders it probes.
+
+    With ``copies`` an item lies in its nearest cells, all named in ``cells``: more disk for fewer probes.
+    """
+    _laid_out(items, centres, copies).write.mode("overwrite").partitionBy("cell").parquet(path)
+
+
+def add_to_index(items: DataFrame, centres: list[list[float]], path: str, copies: int = 1) -> None:
+    """New items join the folders of their cells; what is there stays untouched."""
+    _laid_out(items, centres, copies).write.mode("append").partitionBy("cell").parquet(path)
+
+
+def _met_once(index: DataFrame, probed: Column) -> DataFrame:
+    """A copied item counts in the first of its cells that is probed, so that no copies need to meet."""
+    if "cells" not in index.columns:
+        return index
+    return index.filter(F.get(F.filter("cells", lambda c: F.array_contains(probed, c)), F.lit(0)) == F.col("cell")).drop("cells")
 
 
 def probe_cells(centres: list[list[float]], query: list[float], probes: int) -> list[int]:
@@ -115,4 +156,22 @@ def match_items(index: DataFrame, centres: list[list[float]], query: list[float]
                 subject: str | None = None, probes: int = 10) -> DataFrame:
     """Approximate top-k: the nearest ``probes`` cells, ranked exactly."""
     cells = probe_cells(centres, query, probes)
-    return semantic_search(index.filter(F.col("cell").isin(cells)), query, k, subject)
+    probed = _met_once(index.filter(F.col("cell").isin(cells)), F.array(*map(F.lit, cells)))
+    return semantic_search(probed, query, k, subject)
+
+
+def match_many(index: DataFrame, centres: list[list[float]], queries: DataFrame, k: int = 200, probes: int = 10) -> DataFrame:
+    """Approximate top k per query row ``(query_id, query_vector)`` in one job; within its subject if queries have one.
+
+    Queries are exploded to their nearest ``probes`` cells and meet the items of those in an equi-join.  Only folders
+    that some query probes are read: their numbers, at most one per centre, are asked for first.  A query without a
+    vector finds nothing.  Ranks are bounded per partition ahead of the shuffle on the query.
+    """
+    asked = (queries.filter(F.size("query_vector") > 0).withColumn("_probed", _nearest_cells(centres, probes)("query_vector"))
+             .withColumn("cell", F.explode("_probed")))
+    probed = sorted(r["cell"] for r in asked.select("cell").distinct().collect())
+    keys = ["cell", "subject"] if "subject" in queries.columns else ["cell"]
+    joined = _met_once(index.filter(F.col("cell").isin(probed)).join(asked, keys), F.col("_probed")).drop("_probed")
+    scored = joined.withColumn("similarity", cosine_pairs("embedding", "query_vector")).drop("embedding", "query_vector")
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "external_id")
+    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

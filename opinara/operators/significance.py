@@ -133,24 +133,152 @@ def bootstrap_draws(spark: SparkSession, n_subjects: Column, iters: int, seed: i
             .select("iter", F.pmod(draw, n_subjects).alias("idx")))
 
 
+SUMS = ("n", "sxx", "syy", "sxy")
+
+#: Fixed, as the numbers drawn depend on them: leaves of the tree of subject ranges at most, subjects a leaf
+#: aims at and is walked by, and iterations that one task sums at a time.
+MOST_LEAVES = 4_096
+PER_CHUNK = 1_024
+PER_GROUP = 64 * PER_GENERATOR
+
+
+def _sums_by_numbers(subjects: DataFrame, iters: int, seed: int) -> DataFrame:
+    """Draws numbered by MD5 meet the subjects' moments in a join: slower, and reproducible by any engine that has MD5."""
+    n_subjects = subjects.agg(F.count(F.lit(1)).alias("n")).scalar()
+    drawn = bootstrap_draws(subjects.sparkSession, n_subjects, iters, seed).join(subjects.select("idx", *SUMS), "idx")
+    return drawn.groupBy("iter").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def _chunks(batches):
+    """``(group, leaf, values)`` of up to ``PER_CHUNK`` subjects of one leaf, cut alike however the rows are batched."""
+    import numpy as np
+
+    at, held = None, []
+
+    def cut(rows, whole):
+        size = len(rows) if whole else len(rows) - len(rows) % PER_CHUNK
+        return [rows[i:i + PER_CHUNK] for i in range(0, size, PER_CHUNK)], rows[size:]
+    for batch in batches:
+        keys = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("grp", "leaf")])
+        values = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in SUMS]).astype(float)
+        borders = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+        for rows, key in zip(np.split(values, borders), keys[np.r_[0, borders]] if len(keys) else ()):
+            if at is not None and tuple(key) != at:
+                yield from ((*at, c) for c in cut(np.concatenate(held), True)[0])
+                held = []
+            at = tuple(map(int, key))
+            done, rest = cut(np.concatenate([*held, rows]), False)
+            yield from ((*at, c) for c in done)
+            held = [rest]
+    if at is not None:
+        yield from ((*at, c) for c in cut(np.concatenate(held), True)[0])
+
+
+def _drawn_counts(totals: list[int], iters: int, seed: int):
+    """Function of a partition: sums per iteration of the moments times how often their subject is drawn.
+
+    ``totals`` holds the subjects below each node of a binary tree (root 1, children 2i and 2i + 1).  Of a node's
+    draws a binomial share falls on its left child, by a generator that only (seed, block of iterations, node)
+    name; so every task finds the draws of its leaves by walking down from the root.
+    """
+    leaves = len(totals) // 2
+
+    def generators(first, n, node):
+        import numpy as np
+        return [np.random.Generator(np.random.Philox(key=[seed & (2**64 - 1), (b << 32) | node]))
+                for b in range(first // PER_GENERATOR, -(-(first + n) // PER_GENERATOR))]
+
+    def parts(values):
+        return [values[i:i + PER_GENERATOR] for i in range(0, len(values), PER_GENERATOR)]
+
+    def share(rngs, draws, part, whole):
+        import numpy as np
+        if part == whole:
+            return draws
+        return np.concatenate([g.binomial(d, part / whole) for g, d in zip(rngs, parts(draws))])
+
+    def sums(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def emit(first, total):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(first, first + len(total))), *(pa.array(c) for c in total.T)], ["iter", *SUMS])
+        group = leaf = None
+        for grp, at, values in _chunks(batches):
+            if grp != group:
+                if group is not None:
+                    yield emit(group * PER_GROUP, total)
+                n = min(PER_GROUP, iters - grp * PER_GROUP)
+                group, leaf, total = grp, None, np.zeros((n, len(SUMS)))
+                path = {1: np.full(n, totals[1], dtype=np.int64)}
+            first = group * PER_GROUP
+            if at != leaf:
+                leaf, node = at, leaves + at
+                steps = [node >> i for i in range(node.bit_length() - 1, -1, -1)]
+                path = {s: path[s] for s in steps if s in path}
+                for parent, child in zip(steps, steps[1:]):
+                    if child not in path:
+                        left = share(generators(first, n, parent), path[parent], totals[2 * parent], totals[parent])
+                        path[child] = left if child % 2 == 0 else path[parent] - left
+                draws, subjects, rngs = path[node], totals[node], generators(first, n, node)
+            here = share(rngs, draws, len(values), subjects)
+            draws, subjects = draws - here, subjects - len(values)
+            done = 0
+            for rng, counts in zip(rngs, parts(here)):
+                size = len(values)
+                slots = np.repeat(np.arange(len(counts)) * size, counts) + rng.integers(0, size, counts.sum())
+                times = np.bincount(slots, minlength=len(counts) * size).reshape(-1, size)
+                total[done:done + len(counts)] += times @ values
+                done += len(counts)
+        if group is not None:
+            yield emit(group * PER_GROUP, total)
+    return sums
+
+
+def drawn_sums(subjects: DataFrame, iters: int, seed: int = 42) -> DataFrame:
+    """No draw is a row: how often a subject is drawn comes from binomials split down a tree of subject ranges.
+
+    The counts of an iteration are exactly multinomial and depend on seed, iteration and subjects alone.  A subject's
+    moments travel once per 4,096 iterations, then one sum per iteration and task.
+    """
+    bucketed = subjects.withColumn("leaf", F.pmod(F.xxhash64("subject"), F.lit(MOST_LEAVES)).cast("int"))
+    sizes = [0] * MOST_LEAVES
+    for r in bucketed.groupBy("leaf").count().collect():  # at most MOST_LEAVES rows
+        sizes[r["leaf"]] = r["count"]
+    leaves = 1
+    while leaves < MOST_LEAVES and leaves * PER_CHUNK < sum(sizes):
+        leaves *= 2
+    width = MOST_LEAVES // leaves
+    totals = [0] * leaves + [sum(sizes[i:i + width]) for i in range(0, MOST_LEAVES, width)]
+    for node in range(leaves - 1, 0, -1):
+        totals[node] = totals[2 * node] + totals[2 * node + 1]
+    groups = F.sequence(F.lit(0), F.lit(max(0, -(-iters // PER_GROUP) - 1)))
+    work = (bucketed.select(F.explode(groups).alias("grp"), F.floor(F.col("leaf") / width).cast("int").alias("leaf"), "subject", *SUMS)
+            .repartition("grp", "leaf").sortWithinPartitions("grp", "leaf", "subject").select("grp", "leaf", *SUMS))
+    drawn = work.mapInArrow(_drawn_counts(totals, iters, seed), "iter bigint, " + ", ".join(f"{c} double" for c in SUMS))
+    return drawn.groupBy("iter").agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
 def bootstrap_ci(spark: SparkSession, pairs: DataFrame, iters: int, seed: int = 42,
-                 low: float = 0.025, high: float = 0.975, indexed: DataFrame | None = None) -> DataFrame:
+                 low: float = 0.025, high: float = 0.975, indexed: DataFrame | None = None,
+                 method: str = "generator") -> DataFrame:
     """Nearest-rank interval of the pooled r over subjects drawn with replacement.
 
-    Draws meet per-subject moments in an equi-join on the subject number; (0, 0) when no
-    iteration gives an r.
+    ``generator`` draws counts per subject, ``digest`` draws single subject numbers by MD5, over ``indexed`` moments
+    if they are given.  (0, 0) when no iteration gives an r.
     """
-    subjects = indexed
-    if subjects is None:
-        # One short row per subject, used three times below: written once instead of recomputed.
+    if indexed is not None:
+        per_iter = _sums_by_numbers(indexed, iters, seed)
+    else:
+        # One short row per subject, read more than once below: written instead of recomputed.
         per_subject = moments(pairs, ["subject"]).filter("n >= 3")
         path = scratch_path(spark, "moments")
         per_subject.write.parquet(path)
-        subjects = dense_index(spark.read.schema(per_subject.schema).parquet(path), "subject")
-    n_subjects = subjects.agg(F.count(F.lit(1)).alias("n")).scalar()
-    drawn = bootstrap_draws(spark, n_subjects, iters, seed).join(subjects.select("idx", "n", "sxx", "syy", "sxy"), "idx")
-    rs = (drawn.groupBy("iter").agg(*[F.sum(c).alias(c) for c in ("n", "sxx", "syy", "sxy")])
-          .select(pooled_r(F.col("sxx"), F.col("syy"), F.col("sxy"), F.col("n")).alias("r")).filter("r is not null"))
+        subjects = spark.read.schema(per_subject.schema).parquet(path)
+        per_iter = {"generator": lambda: drawn_sums(subjects, iters, seed),
+                    "digest": lambda: _sums_by_numbers(dense_index(subjects, "subject"), iters, seed)}[method]()
+    rs = per_iter.select(pooled_r(F.col("sxx"), F.col("syy"), F.col("sxy"), F.col("n")).alias("r")).filter("r is not null")
     # One number per iteration: bounded by ``iters``.
     ordered = rs.agg(F.array_sort(F.collect_list("r")).alias("rs"))
     pick = lambda q: F.coalesce(F.get("rs", F.floor(F.lit(q) * F.size("rs")).cast("int")), F.lit(0.0))

@@ -214,6 +214,15 @@ def a21_named(spark, d):
     return out.select(py_round("ci_low", 6).alias("ci_low"), py_round("ci_high", 6).alias("ci_high"))
 
 
+@query("a21_tree_draws", sql("moments_n", f""",
+m AS (SELECT count(*) AS drawn FROM moments_n WHERE kind = 'lead')
+SELECT it AS iter, drawn FROM range({ITERS}) r(it), m"""))
+def a21_draws(spark, d):
+    """The counts that the tree hands to all subjects of an iteration add up to the number of subjects."""
+    per = W.moments(_lead(spark, d), ["subject"]).filter("n >= 3").select("subject", F.lit(1.0).alias("n"), "sxx", "syy", "sxy")
+    return G.drawn_sums(per, ITERS).select("iter", F.col("n").cast("bigint").alias("drawn"))
+
+
 # --- A23, A24, J3 ----------------------------------------------------------------------------------------------------
 _EVAL = """,
 s AS (SELECT subject, period, consensus / 100e0 AS score FROM months),

@@ -30,7 +30,13 @@ def _md5(c):
 
 
 # --- F1, F12..F16 --------------------------------------------------------------------------------
-@query("f1_strip_html")
+# The entities that the pages hold, some cut off by the end of a page; one pass, so a decoded ampersand starts no new one.
+@query("f1_strip_html", f"""
+WITH t AS (SELECT page_id, regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g') AS t FROM pages),
+p AS (SELECT page_id, regexp_split_to_array(t, '&(amp|quot|middot|copy);?') AS gaps, regexp_extract_all(t, '&(amp|quot|middot|copy);?', 1) AS names FROM t),
+d AS (SELECT page_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(
+        CASE names[i] WHEN 'amp' THEN '&' WHEN 'quot' THEN '"' WHEN 'middot' THEN chr(183) WHEN 'copy' THEN chr(169) END, '')), '') AS t FROM p)
+SELECT page_id, trim(regexp_replace(t, '{SPACE_CLASS}+', ' ', 'g')) AS text FROM d""")
 def f1(spark, d):
     return A.table(spark, d, "pages").select("page_id", X.strip_html("html").alias("text"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -50,6 +51,29 @@ def test_inverted_file_recall_and_layout(spark, tmp_path):
     assert "PartitionFilters: [cell" in plan or "cell" in plan.split("PartitionFilters:")[1].split("]")[0]
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_batch_search_equals_single_searches(spark, tmp_path, copies):
+    vectors = A.vectors(spark, SF)
+    centres = S.train_cells(vectors, 16, sample=200)
+    path = f"{tmp_path}/index"
+    S.write_index(vectors.filter("external_id % 3 > 0"), centres, path, copies)
+    S.add_to_index(vectors.filter("external_id % 3 = 0"), centres, path, copies)
+    index = spark.read.parquet(path)
+    assert index.count() == vectors.count() * copies
+    queries = vectors.filter("external_id % 100 = 0").select(F.col("external_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    queries = queries.unionByName(queries.limit(1).select(F.lit(-1).cast("bigint").alias("query_id"), F.lit(None).cast("array<float>").alias("query_vector")))
+    got = {}
+    for r in S.match_many(index, centres, queries, 10, probes=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.external_id)
+    asked = queries.filter("query_id in (0, 200, 400)").collect()
+    for r in asked:
+        assert got[r.query_id] == [x.external_id for x in S.match_items(index, centres, list(map(float, r.query_vector)), 10, probes=4).collect()]
+    assert -1 not in got and len(got) == queries.count() - 1
+    every = S.match_many(index, centres, queries, 10, probes=16).filter("query_id = 200").orderBy("rank").collect()
+    query = next(list(map(float, r.query_vector)) for r in asked if r.query_id == 200)
+    assert [r.external_id for r in every] == [r.external_id for r in S.semantic_search(vectors, query, 10).collect()]
+
+
 def test_passages_are_the_same_on_both_candidate_paths(spark):
     dim = spark.createDataFrame([("S1", "the", False), ("S2", "that", False), ("S6", "was", True), ("S7", "of the", False)],
                                 "subject string, alias string, ambiguous boolean")

@@ -105,6 +105,43 @@ def test_bootstrap_draws_every_slot(spark):
     assert draws.agg(F.min("idx"), F.max("idx")).first() == (0, 6)
 
 
+def test_bootstrap_counts_are_multinomial(spark):
+    """Every iteration draws as many subjects as there are, each as often as a binomial says."""
+    names, iters = [f"s{i}" for i in range(40)], 5_000
+    subjects = spark.createDataFrame([(s, 1.0, float(i == 3), float(i == 7), float(i in (3, 7))) for i, s in enumerate(names)],
+                                     "subject string, n double, sxx double, syy double, sxy double")
+    out = G.drawn_sums(subjects, iters, 1).orderBy("iter").toPandas()
+    assert list(out.iter) == list(range(iters)) and set(out.n) == {40.0}
+    assert (out.sxy == out.sxx + out.syy).all()
+    for c in ("sxx", "syy"):  # binomial(40, 1/40): mean 1, variance 39/40
+        assert abs(out[c].mean() - 1) < 0.07 and abs(out[c].var() - 39 / 40) < 0.1
+    assert abs(np.cov(out.sxx, out.syy)[0, 1] + 1 / 40) < 0.07
+    assert abs((out.sxx == 0).mean() - (39 / 40) ** 40) < 0.03
+
+
+def test_bootstrap_tree_over_many_leaves(spark):
+    """Several leaves and chunks: counts still add up, and no number depends on the partitions."""
+    n = 10_000
+    subjects = spark.range(n).select(F.concat(F.lit("s"), F.col("id")).alias("subject"), F.lit(1.0).alias("n"),
+                                     (F.col("id") < n // 4).cast("double").alias("sxx"), F.col("id").cast("double").alias("syy"),
+                                     (F.col("id") % 2).cast("double").alias("sxy"))
+    one, other = (G.drawn_sums(subjects.repartition(p), 200, 5).orderBy("iter").toPandas() for p in (1, 13))
+    assert one.equals(other) and set(one.n) == {float(n)}
+    for c, share in (("sxx", 0.25), ("sxy", 0.5)):
+        assert abs(one[c].mean() - n * share) < 5 * (n * share * (1 - share) / 200) ** 0.5
+        assert abs(one[c].std() / (n * share * (1 - share)) ** 0.5 - 1) < 0.25
+    few = G.drawn_sums(subjects, 70, 5).orderBy("iter").toPandas()
+    assert few.equals(one[:70])
+
+
+def test_bootstrap_methods_agree(spark):
+    df, _ = pairs(spark, n_subjects=25, slope=0.5)
+    a, b = (G.bootstrap_ci(spark, df, 2000, method=m).first() for m in ("generator", "digest"))
+    assert abs(a.ci_low - b.ci_low) < 0.03 and abs(a.ci_high - b.ci_high) < 0.03
+    nothing = G.bootstrap_ci(spark, df.limit(0), 50).first()
+    assert (nothing.ci_low, nothing.ci_high, nothing.iters) == (0.0, 0.0, 0)
+
+
 def test_dense_index(spark):
     out = G.dense_index(spark.range(1000).select((F.col("id") * 3).cast("string").alias("k")), "k", 16)
     assert sorted(r.idx for r in out.collect()) == list(range(1000))
