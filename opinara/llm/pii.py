@@ -82,25 +82,55 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+#: Elements that a scan appends to one array before it opens the next.
+BLOCK = 128
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(items: Column, state: Column, step) -> Column:
+    """What ``step(state, item)`` puts out, an array as long as ``items``; it returns the next state and the output.
+
+    An appended array is copied, so outputs are gathered in blocks: a text with many spans costs blocks squared,
+    not spans squared.
+    """
+    def over(items: Column) -> Column:
+        nothing = F.transform(F.slice(items, 1, 0), lambda i: step(state, i)[1])
+
+        def inner(acc: Column, i: Column) -> Column:
+            after, out = step(acc["state"], i)
+            return F.struct(after.alias("state"), F.array_append(acc["out"], out).alias("out"))
+
+        def block(acc: Column, n: Column) -> Column:
+            begin = F.struct(F.element_at(acc, -1)["state"].alias("state"), nothing.alias("out"))
+            return F.array_append(acc, F.aggregate(F.slice(items, n * BLOCK + 1, F.lit(BLOCK)), begin, inner))
+        blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+        done = F.aggregate(blocks, F.array(F.struct(state.alias("state"), nothing.alias("out"))), block)
+        return F.when(F.size(items) == 0, nothing).otherwise(F.flatten(F.transform(done, lambda d: d["out"])))
+    return _let(items, over)
+
+
 def _spans(text: Column, pattern: str, test, gate: Column) -> Column:
     """Matches of ``pattern`` that pass ``test``, with code point offsets and up to 40 characters around.
 
     The text between matches comes from splitting by the same pattern; offsets are running sums.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    pairs = F.zip_with(pairs, F.slice(gaps, 2, F.size(found)),
-                       lambda p, g: F.struct(p["gap"].alias("gap"), p["match"].alias("match"), F.left(g, F.lit(40)).alias("after")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + F.length(p["gap"])
+    def between(found: Column, gaps: Column) -> Column:
+        pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+        return F.zip_with(pairs, F.slice(gaps, 2, F.size(found)), lambda p, g: F.struct(
+            p["gap"].alias("gap"), p["match"].alias("match"), F.left(g, F.lit(40)).alias("after")))
+
+    def step(at: Column, p: Column):
+        begin = at + F.length(p["gap"])
         end = begin + F.length(p["match"])
-        span = F.struct(begin.alias("start"), end.alias("end"), p["match"].alias("value"),
-                        F.right(p["gap"], F.lit(40)).alias("before"), p["after"].alias("after"))
-        return F.struct(end.alias("at"), F.when(test(p["match"]), F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-    return F.when(gate, F.aggregate(pairs, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
+        return end, F.struct(begin.alias("start"), end.alias("end"), p["match"].alias("value"),
+                             F.right(p["gap"], F.lit(40)).alias("before"), p["after"].alias("after"))
+    pairs = _let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps")),
+                 lambda t: between(t["found"], t["gaps"]))
+    return F.when(gate, F.filter(_scan(pairs, F.lit(0), step), lambda s: test(s["value"]))).otherwise(F.array().cast(SPAN))
 
 
 def _gate(kind: str, text: Column, wide: bool) -> Column:
@@ -273,10 +303,32 @@ def find(docs: DataFrame, model: Model | None, base_as: str = "base_spans", span
     def accepted(kind: str) -> Column:
         return _named(kind, F.filter(wider[kind], lambda s: _accepted(model, kind, s)))
     proposed = F.concat(*map(accepted, KINDS))
-    free = F.filter(proposed, lambda s: ~F.exists(base_as, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    apart = F.aggregate(F.array_sort(free), F.slice(free, 1, 0), lambda acc, s: F.when(
-        F.exists(acc, lambda a: s["start"] < a["end"]), acc).otherwise(F.array_append(acc, s)))
-    return found.withColumn(spans_as, F.array_sort(F.concat(base_as, apart)))
+    return found.withColumn(spans_as, _let(proposed, lambda p: F.when(F.size(p) == 0, F.col(base_as)).otherwise(
+        _with_added(F.col(base_as), p))))
+
+
+def _with_added(base: Column, proposed: Column) -> Column:
+    """Base spans and those proposed ones that touch none of them nor an added one before, sorted.
+
+    Two scans of the sorted spans: from the end, the start of the next base span; from the front, how far base and
+    added spans reach.
+    """
+    def tagged(spans: Column, added: bool) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"], s["order"], s["end"], s["kind"], F.lit(added).alias("added")))
+
+    def backward(upcoming: Column, s: Column):
+        return (F.when(s["added"], upcoming).otherwise(s["start"]),
+                F.struct(s.alias("span"), upcoming.alias("upcoming")))
+
+    def forward(reach: Column, e: Column):
+        s = e["span"]
+        stays = ~s["added"] | ((reach <= s["start"]) & (s["end"] <= e["upcoming"]))
+        return (F.when(stays, F.greatest(reach, s["end"])).otherwise(reach),
+                F.struct(s["start"], s["order"], s["end"], s["kind"], stays.alias("stays")))
+    merged = F.array_sort(F.concat(tagged(base, False), tagged(proposed, True)))
+    ahead = F.reverse(_scan(F.reverse(merged), F.lit(2**31 - 1), backward))
+    return F.transform(F.filter(_scan(ahead, F.lit(0), forward), lambda s: s["stays"]), lambda s: F.struct(
+        s["start"], s["order"], s["end"], s["kind"]))
 
 
 def joined(spans: str) -> Column:

@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from opinara.llm import pii
 
@@ -109,6 +110,36 @@ def test_method_adds_and_base_stays(spark):
     assert added > 150
 
 
+def test_added_spans_touch_nothing(spark):
+    """The two scans against all pairs, over crowded spans that overlap, touch and repeat, more than a block of them."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        width = 60 if i % 2 else 3000
+
+        def some(n):
+            return sorted({(a := rng.randrange(width), k := rng.randrange(4), a + rng.randrange(1, 9), pii.KINDS[k]) for _ in range(n)})
+        rows.append((i, some(rng.randrange(12) if i % 2 else 300), some(rng.randrange(25) if i % 2 else 400)))
+    spans = "array<struct<start:int,order:int,end:int,kind:string>>"
+    df = spark.createDataFrame(rows, f"i int, base {spans}, proposed {spans}")
+    got = {r.i: [tuple(s) for s in r.every] for r in df.select("i", pii._with_added(F.col("base"), F.col("proposed")).alias("every")).collect()}
+    for i, base, proposed in rows:
+        free = [s for s in proposed if not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        added = []
+        for s in free:
+            if not any(s[0] < a[2] for a in added):
+                added.append(s)
+        assert got[i] == sorted(base + added)
+
+
+def test_text_dense_with_spans(spark):
+    """A megabyte in which every few characters are a span or a candidate."""
+    text = "a@b.cd x (at) y.de 1.2.3.4 " * 37_000
+    every = pii.Model({}, 0.5, (0.0,) * pii.FEATURES + (5.0,))
+    row = pii.find(docs_of(spark, {1: text}), every).select(F.size("base_spans").alias("base"), F.size("spans").alias("every")).first()
+    assert (row.base, row.every) == (2 * 37_000, 3 * 37_000)
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark, "spans")
     found = pii.find(docs, pii.fit(docs)).collect()
