@@ -88,3 +88,20 @@ def test_odd_rows_and_labels(spark, model):
 def test_empty_documents(spark, model):
     rows = quality.score(docs_of(spark, {1: None, 2: "", 3: "  "}), model).collect()
     assert len(rows) == 3 and rows[0].quality_score == rows[1].quality_score
+
+
+def test_labelled_sample_is_the_lowest_hashes(spark):
+    """The bound before the sort changes no choice, and leaves little more than the sample."""
+    from pyspark.sql import functions as F
+
+    from opinara.llm import common
+
+    docs = spark.range(30_000).selectExpr("id as doc_id", "'x' as text")
+    labels = spark.range(30_000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    may = labels.where(~common.held_out(F.col("doc_id")))
+    for most in (1, 500, 40_000):
+        got = {r.doc_id for r in common.labelled(docs, labels, "quality", most).collect()}
+        assert got == {r.doc_id for r in may.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()}
+    total = may.count()
+    assert may.where(F.xxhash64("doc_id") <= common.hash_bound(total, 500)).count() < 1_100
+    assert common.labelled(docs, labels.where("false"), "quality", 5).count() == 0
