@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from opinara import adapters as A
 from opinara.operators import passages as G
@@ -74,6 +74,49 @@ def test_batch_search_equals_single_searches(spark, tmp_path, copies):
     assert [r.external_id for r in every] == [r.external_id for r in S.semantic_search(vectors, query, 10).collect()]
 
 
+@pytest.mark.parametrize("copies,probes", [(1, 8), (3, 8), (3, 2)])
+def test_batch_search_meets_in_blocks_and_equals_all_pairs(spark, tmp_path, monkeypatch, copies, probes):
+    """Many small blocks, copied and near vectors, repeated and null ids, NaN and zero vectors: the rows of all pairs."""
+    for name, value in (("ITEM_BLOCK", 32), ("QUERY_BLOCK", 4), ("QUERIES_AT_ONCE", 3)):
+        monkeypatch.setattr(S, name, value, raising=False)
+    m = np.random.default_rng(3).normal(size=(400, 6)).round(1).astype(np.float32)
+    m[100:180] = m[100]
+    m[180:200] = m[100] * np.float32(2)
+    m[200], m[201], m[202, 0] = 0, m[101], np.nan
+    data = [(None if i in (5, 120) else i, [float(x) for x in v]) for i, v in enumerate(m)]
+    data += [data[100], data[150], data[300], data[300], (400, None)]
+    vectors = spark.createDataFrame(data, "external_id long, embedding array<float>")
+    asked = [(i, data[i][1]) for i in (0, 7, 100, 101, 180, 200, 300, 300, 399)] + [(0, data[8][1]), (500, None), (None, data[9][1])]
+    queries = spark.createDataFrame(asked, "query_id long, query_vector array<float>")
+    centres = np.random.default_rng(4).normal(size=(8, 6)).tolist()
+    S.write_index(vectors, centres, f"{tmp_path}/index", copies)
+    found = S.match_many(spark.read.parquet(f"{tmp_path}/index"), centres, queries, 10, probes)
+    assert set(found.columns) == {"cell", "external_id", "query_id", "similarity", "rank"}
+    near = vectors.filter("embedding IS NOT NULL").withColumn("own", S._nearest_cells(centres, copies)("embedding"))
+    probed = queries.filter("query_vector IS NOT NULL").withColumn("probed", S._nearest_cells(centres, probes)("query_vector"))
+    pairs = near.crossJoin(probed).filter(F.arrays_overlap("own", "probed")).withColumn("s", S.cosine_pairs("embedding", "query_vector"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("s"), "external_id")
+    want = pairs.withColumn("rank", F.row_number().over(best)).filter("rank <= 10")
+    got = rows(found, "query_id", "rank", "external_id", "similarity")
+    assert str(got) == str(rows(want, "query_id", "rank", "external_id", "s")) and len(got) > 50
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString(), "a row for each pair"
+
+
+def test_blocks_of_a_cell_are_bounded_and_lose_nothing(spark, tmp_path):
+    """One cell with more items than a block holds: each query meets them in several groups, k rows come out of each."""
+    n = 3 * S.ITEM_BLOCK
+    items = spark.range(n, numPartitions=4).select(
+        F.col("id").alias("external_id"), F.array(F.lit(1.0), F.col("id") / n, F.lit(0.5)).cast("array<float>").alias("embedding"))
+    S.write_index(items, [[1.0, 0.0, 0.0]], f"{tmp_path}/index")
+    queries = items.filter("external_id % 1000 = 0").select(F.col("external_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = queries.withColumn("cell", F.lit(0))
+    best = S._best_of_blocks(spark.read.parquet(f"{tmp_path}/index"), asked, {0: 25}, 5)
+    assert best.count() == 25 * 3 * 5
+    found = S.match_many(spark.read.parquet(f"{tmp_path}/index"), [[1.0, 0.0, 0.0]], queries, 1, 1)
+    similar = found.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("external_id") - F.col("query_id"))).alias("off")).first()
+    assert similar.n == 25 and similar.off <= 1
+
+
 def test_passages_are_the_same_on_both_candidate_paths(spark):
     dim = spark.createDataFrame([("S1", "the", False), ("S2", "that", False), ("S6", "was", True), ("S7", "of the", False)],
                                 "subject string, alias string, ambiguous boolean")
